@@ -22,13 +22,14 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_PIECES, special_strings, split_pieces
+from .pieces import CACHE_PIECES, Cut, lead, special_strings, text_blocks, unsafe, with_special
 from .storage import new_path
-from .token_counts import text_blocks
+from .token_counts import byte_symbols
 
 MAGIC = b"DACT"
 #: Bits of a bitmap for each entry of its rank directory.
@@ -47,51 +48,74 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.lib, self.special = Tokenizer.from_file(path), special_strings(path)
+        self.symbols = {b: c for b, c in enumerate(byte_symbols()) if b != 10}
         self._reset()
 
     def _reset(self) -> None:
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.starts, self.sizes, self.count = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], known: dict[str, int], lead: str) -> None:
-        for s in range(0, len(pieces), 4096):
-            part = pieces[s : s + 4096]
-            for p, ids in zip(part, self._encode([lead + p for p in part]), strict=True):
-                known[p] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), dtype=np.uint32)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _store(self, pieces: list[str], known: dict[str, int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.count + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : self.count + len(sizes)] = sizes
+        known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+
+    def _learn(self, pieces: list[str], known: dict[str, int], prefix=lead) -> None:
+        lists = self._encode([prefix(p) + p for p in pieces])
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self._store(pieces, known, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Pieces of letters alone, each one pre-token, straight through the library's model."""
+        if not words:
+            return
+        stand_ins = (" " + "\n ".join(words)).encode("utf-8").decode("latin-1").translate(self.symbols).split("\n")
+        lists = [[t.id for t in self.lib.model.tokenize(x)] for x in stand_ins]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self._store(words, self.later, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, equal to the library's for the whole text."""
-        if len(self.starts) > CACHE_PIECES:
+        if self.count > CACHE_PIECES:
             self._reset()
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        cut = [split_pieces(t) for t in texts]
+        cut = Cut(texts)
+        whole = with_special(texts, self.special)
         for i in whole:
-            cut[i] = [""]
-        self._learn(list({p[0] for p in cut} - self.first.keys()), self.first, "")
-        wanted: set[str] = set()
-        for p in cut:
-            wanted.update(p[1:])
-        self._learn(list(wanted - self.later.keys()), self.later, " ")
-        lengths = [len(p) for p in cut]
-        at = np.fromiter(chain.from_iterable(chain((self.first[p[0]],), map(self.later.__getitem__, p[1:])) for p in cut), dtype=np.int64, count=sum(lengths))
-        starts, sizes = np.array(self.starts, dtype=np.int64)[at], np.array(self.sizes, dtype=np.int64)[at]
+            cut.empty(i)
+        number = np.fromiter((self.later.get(p, -1) for p in cut.later), dtype=np.int64, count=len(cut.later))
+        missing = np.flatnonzero(number < 0).tolist()
+        if bad := {p for p in map(cut.later.__getitem__, missing) if unsafe(p)}:
+            whole += cut.drop(bad)
+            missing = [i for i in missing if cut.later[i] not in bad]
+        self._learn(list(set(cut.first) - self.first.keys()), self.first, lambda p: "")
+        new = [cut.later[i] for i in missing]
+        letters = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
+        base = self.count
+        self._learn_words([p for p, x in zip(new, letters.tolist(), strict=True) if x])
+        self._learn([p for p, x in zip(new, letters.tolist(), strict=True) if not x], self.later)
+        number[np.array(missing, dtype=np.int64)[np.argsort(~letters, kind="stable")]] = base + np.arange(len(new))
+        head, on = cut.bounds[:-1], cut.at >= 0
+        at = np.full(len(cut.at), -1, dtype=np.int64)
+        at[on] = number[cut.at[on]]
+        at[head] = np.fromiter(map(self.first.__getitem__, cut.first), dtype=np.int64, count=len(cut.first))
+        sizes = np.where(at >= 0, self.sizes[at], 0)
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.r_[0, ends][np.cumsum([0, *lengths])]
+        shift = np.where(at >= 0, self.starts[at], 0) - (ends - sizes)
+        ids = self.flat[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][cut.bounds]
         out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i, x in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+        for i, x in zip(whole, self._encode([texts[i].as_py() for i in whole]), strict=True):
             out[i] = np.array(x, dtype=np.uint32)
         return out
 
@@ -101,30 +125,36 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _fields(width: int) -> list[tuple[int, int, int]]:
+    """(value, byte, shift) of all overlaps between 8 fields of ``width`` bits and the ``width`` bytes they fill."""
+    return [(i, j, (i + 1) * width - 8 * (j + 1)) for i in range(8) for j in range(width) if i * width < 8 * (j + 1) and 8 * j < (i + 1) * width]
+
+
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    """Big-endian fields of ``width`` bits, one after the other."""
-    out = []
-    for s in range(0, len(values), 1 << 18):  # a multiple of 8 fields, so that blocks end on bytes
-        bits = np.unpackbits(values[s : s + (1 << 18)].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-        out.append(np.packbits(bits[:, 32 - width :]).tobytes())
-    return b"".join(out)
+    """Big-endian fields of ``width`` bits, one after the other, filled up to 8 fields with zeros."""
+    v = np.zeros(-(-len(values) // 8) * 8, dtype=np.uint32)
+    v[: len(values)] = values
+    v = np.ascontiguousarray(v.reshape(-1, 8).T)
+    out = np.zeros((width, v.shape[1]), dtype=np.uint8)
+    for i, j, shift in _fields(width):
+        out[j] |= (v[i] >> shift if shift >= 0 else v[i] << -shift).astype(np.uint8)
+    return np.ascontiguousarray(out.T).tobytes()
 
 
 def unpack_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint32)
-    for s in range(0, n, 1 << 18):
-        m = min(1 << 18, n - s)
-        bits = np.zeros((m, 32), dtype=np.uint8)
-        bits[:, 32 - width :] = np.unpackbits(data[s * width // 8 : (s * width + m * width + 7) // 8])[: m * width].reshape(m, width)
-        out[s : s + m] = np.packbits(bits, axis=1).view(">u4").ravel()
-    return out
+    b = np.ascontiguousarray(data.reshape(-1, width).T).astype(np.uint32)
+    out = np.zeros((8, b.shape[1]), dtype=np.uint32)
+    for i, j, shift in _fields(width):
+        out[i] |= b[j] << shift if shift >= 0 else b[j] >> -shift
+    out &= (1 << width) - 1
+    return np.ascontiguousarray(out.T).ravel()[:n]
 
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths (up to three levels) with the fewest bits in all."""
-    bits = np.frexp(ids.astype(np.float64))[1]  # bit length; 0 for 0
-    over = len(ids) - np.cumsum(np.bincount(bits, minlength=ID_BITS + 1))  # ids of more than k bits
-    top = max(1, int(bits.max(initial=1)))
+    above = len(ids) - np.cumsum(np.bincount(ids, minlength=1 << ID_BITS))
+    over = [int(above[(1 << k) - 1]) for k in range(ID_BITS + 1)]  # ids of more than k bits
+    top = max(1, int(ids.max(initial=1)).bit_length())
     best, widths = math.inf, [top]
     for cuts in chain.from_iterable(combinations(range(1, top), k) for k in (0, 1, 2)):
         edges, cost = [0, *cuts, top], 0.0
@@ -208,43 +238,52 @@ def _open(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri)
 
 
-def write_codes(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 2, file_chars: int = 12_000_000) -> list[dict]:
+def write_codes(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 2, file_bytes: int = 12_000_000) -> list[dict]:
     """Encode every whole text, append ``end_id``, and write files in ascending ``key`` order below ``folder`` (a URI that
     driver and executors share; by default a new one in the shared folder). One entry per file, in order: ``path``,
     ``docs``, ``tokens``, ``base`` (tokens in the files before).
 
     A null text is empty (its end id alone); null keys come first; rows that repeat a key stand side by side; an empty
-    table makes no file. The rows shuffle once, by key range, with ``file_chars`` characters to a file on average, and a
-    retried task writes a file of another name, of which the list knows nothing.
+    table makes no file. The rows shuffle once, by key range; a task starts another file once ``file_bytes`` of text have gone
+    into one, and a retried task writes files of other names, of which the list knows nothing.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "codes")
     slim = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    total = slim.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    parts = max(1, math.ceil(total / file_chars))
+    parts = 2 * max(1, docs.rdd.getNumPartitions())
+
+    def store(keys: list, lists: list[np.ndarray]) -> str:
+        fs, top = _open(folder)
+        fs.create_dir(top, recursive=True)
+        name = f"{uuid.uuid4().hex}.dact"
+        with fs.open_output_stream(f"{top}/{name}.part") as out:
+            out.write(encode_file(keys, lists))
+        fs.move(f"{top}/{name}.part", f"{top}/{name}")
+        return f"{folder}/{name}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, keys, lists = encoder(tokenizer), [], []
-        end = np.array([end_id], dtype=np.uint32)
+        own, keys, lists, held, files = encoder(tokenizer), [], [], 0, []
+        end, least = np.array([end_id], dtype=np.uint32), None
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for s in text_blocks(texts):
-                lists += [np.concatenate([x, end]) for x in own.encode(texts[s])]
-            keys += b.column(0).to_pylist()
+            for s in text_blocks(b.column(1)):
+                if not files and not keys:
+                    least = b.column(0)[s.start].as_py()
+                keys += b.column(0)[s].to_pylist()
+                lists += [np.concatenate([x, end]) for x in own.encode(b.column(1)[s])]
+                held += pc.sum(pc.binary_length(b.column(1)[s])).as_py()
+                if held >= file_bytes:
+                    files.append((store(keys, lists), len(keys), sum(map(len, lists))))
+                    keys, lists, held = [], [], 0
         if keys:
-            fs, top = _open(folder)
-            fs.create_dir(top, recursive=True)
-            name = f"{uuid.uuid4().hex}.dact"
-            with fs.open_output_stream(f"{top}/{name}.part") as out:
-                out.write(encode_file(keys, lists))
-            fs.move(f"{top}/{name}.part", f"{top}/{name}")
-            least = [k for k in keys if k is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([min(least, default=None)], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([sum(map(len, lists))], pa.int64())], names=["path", "least", "docs", "tokens"])
+            files.append((store(keys, lists), len(keys), sum(map(len, lists))))
+        if files:
+            path, docs_in, tokens = zip(*files, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array([least] * len(files), pa.int64()), pa.array(range(len(files)), pa.int32()), pa.array(docs_in, pa.int64()), pa.array(tokens, pa.int64())], names=["path", "least", "place", "docs", "tokens"])
 
     ordered = slim.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    files = ordered.mapInArrow(run, "path string, least long, docs long, tokens long").collect()  # a row for each file
+    files = ordered.mapInArrow(run, "path string, least long, place int, docs long, tokens long").collect()  # a row for each file
     out, base = [], 0
-    for f in sorted(files, key=lambda f: (f["least"] is not None, f["least"] or 0)):
+    for f in sorted(files, key=lambda f: (f["least"] is not None, f["least"] or 0, f["place"])):
         out.append({"path": f["path"], "docs": f["docs"], "tokens": f["tokens"], "base": base})
         base += f["tokens"]
     return out

@@ -10,17 +10,18 @@ simultaneous step equals merging one pair at a time.
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_PIECES, split_pieces
+from .pieces import CACHE_PIECES, Cut, lead, special_strings, text_blocks, unsafe, with_special
 
 _NONE = np.int32(2**31 - 1)
 #: White space as the tokenizer's pattern engine has it (fixed values).
@@ -89,7 +90,9 @@ class MergeTable:
             alive[hit + 1] = False
             now = np.cumsum(alive)[hit] - 1
             sym, seq, rank = sym[alive], seq[alive], rank[alive]
-            stale = np.union1d(now, now[now > 0] - 1)
+            touched = np.zeros(len(sym) + 1, dtype=bool)  # the last entry takes the -1 of a first symbol
+            touched[now] = touched[now - 1] = True
+            stale = np.flatnonzero(touched[:-1])
             rank[stale] = _NONE
             stale = stale[stale < len(sym) - 1]
             stale = stale[seq[stale] == seq[stale + 1]]
@@ -101,47 +104,48 @@ class TokenCounter:
     """Counts whole texts; remembers the counts of pieces."""
 
     def __init__(self, path: str):
-        self.table = MergeTable(path)
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.split_special = regex.compile("|".join(map(regex.escape, self.table.special))) if self.table.special else None
-
-    def _learn(self, pieces: set[str], known: dict[str, int], lead: str) -> None:
-        new = list(pieces)
-        found = [PRE_TOKEN.findall(lead + p) for p in new]
-        flat = [t.encode("utf-8", "surrogatepass") for x in found for t in x]
-        unique = {t: i for i, t in enumerate(dict.fromkeys(flat))}
-        counts = self.table.count(list(unique)).tolist() if unique else []
-        at = iter(flat)
-        for p, x in zip(new, found, strict=True):
-            known[p] = sum(counts[unique[next(at)]] for _ in x)
-
-    def count(self, texts: list[str]) -> list[int]:
+        self.table, self.special, self.later = MergeTable(path), special_strings(path), {}
+        self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+
+    def _count(self, strings: list[str]) -> list[int]:
+        found = [PRE_TOKEN.findall(s) for s in strings]
+        number = {t: i for i, t in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        counts = self.table.count([t.encode("utf-8", "surrogatepass") for t in number]).tolist()
+        return [sum([counts[number[t]] for t in x]) for x in found]
+
+    def _learn(self, pieces: list[str]) -> None:
+        words = [p for p in pieces if p.isalpha()]  # each one pre-token
+        if words:
+            self.later.update(zip(words, self.table.count((" " + "\n ".join(words)).encode("utf-8").split(b"\n")).tolist(), strict=True))
+        rest = [p for p in pieces if not p.isalpha()]
+        self.later.update(zip(rest, self._count([lead(p) + p for p in rest]), strict=True))
+
+    def count(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; special strings inside a text count as one token each, as the library takes them."""
-        if len(self.first) + len(self.later) > CACHE_PIECES:
-            self.first.clear()
+        if len(self.later) > CACHE_PIECES:
             self.later.clear()
-        owner, extra, parts = [], [0] * len(texts), []
-        for i, t in enumerate(texts):
-            if self.split_special and any(s in t for s in self.table.special):
-                found = self.split_special.split(t)
-                extra[i] = len(found) - 1
-            else:
-                found = [t]
-            for x in found:
-                if x:
-                    pieces = split_pieces(x)
-                    owner.append(i)
-                    parts.append((pieces[0], Counter(pieces[1:])))
-        self._learn({p for p, _ in parts} - self.first.keys(), self.first, "")
-        wanted: set[str] = set()
-        for _, c in parts:
-            wanted |= c.keys() - self.later.keys()
-        self._learn(wanted, self.later, " ")
-        later = self.later
-        for i, (p, c) in zip(owner, parts, strict=True):
-            extra[i] += self.first[p] + sum(later[w] * n for w, n in c.items())
-        return extra
+        cut = Cut(texts)
+        whole = with_special(texts, self.special)
+        for i in whole:
+            cut.empty(i)
+        number = np.fromiter((self.later.get(p, -1) for p in cut.later), dtype=np.int64, count=len(cut.later))
+        missing = np.flatnonzero(number < 0).tolist()
+        if bad := {p for p in map(cut.later.__getitem__, missing) if unsafe(p)}:
+            whole += cut.drop(bad)
+            missing = [i for i in missing if cut.later[i] not in bad]
+        new = [cut.later[i] for i in missing]
+        self._learn(new)
+        number[missing] = np.fromiter(map(self.later.__getitem__, new), dtype=np.int64, count=len(new))
+        each = np.zeros(len(cut.at), dtype=np.int64)
+        on = cut.at >= 0
+        each[on] = number[cut.at[on]]
+        each[cut.bounds[:-1]] = self._count(cut.first)
+        out = np.add.reduceat(each, cut.bounds[:-1]) if len(each) else np.zeros(0, dtype=np.int64)
+        parts = [self.split_special.split(texts[i].as_py()) if self.split_special else [texts[i].as_py()] for i in whole]
+        flat = iter(self._count(list(chain.from_iterable(parts))))
+        for i, x in zip(whole, parts, strict=True):
+            out[i] = len(x) - 1 + sum(next(flat) for _ in x)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -149,18 +153,6 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def text_blocks(texts: list[str], size: int = 2_000_000) -> Iterator[slice]:
-    """Slices of about ``size`` characters, so that what a block needs stays bounded."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield slice(start, i + 1)
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 1024, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default ``doc_id``) with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit``).
 
@@ -172,12 +164,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+            texts = b.column(len(keep))
             for s in text_blocks(texts):
-                counts = own.count(texts[s])
-                size = [len(t.encode("utf-8", "surrogatepass")) for t in texts[s]]
-                cols = [b.column(i).slice(s.start, s.stop - s.start) for i in range(len(keep))]
-                cols += [pa.array(size, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])]
+                part, counts = b.slice(s.start, s.stop - s.start), own.count(texts[s])
+                size = pc.binary_length(texts[s]).cast(pa.int64())
+                cols = [part.column(i) for i in range(len(keep))] + [size, pa.array(counts, pa.int64()), pa.array(counts > limit)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     slim = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
