@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrail.llm import exact_dedup, packing, registry
-from paytrail.llm.storage import new_path, release_tables
+from paytrail.llm import exact_dedup, mixing, ngram_join, packing, quality, registry
+from paytrail.llm.storage import release_tables, shared_dir
 
+#: The classifier, the mixture's rates and the packing are fitted or greedy, beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (score of 0.3 or more)."""
+    release_tables(spark)
+    return quality.keep_good(docs, quality.fit(docs, registry.table(spark, sf_dir, "labels")))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
     release_tables(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8), the row with the least doc_id."""
+    release_tables(spark)
+    return ngram_join.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the rates that bring the domains' tokens to their targets say."""
+    release_tables(spark)
+    return mixing.resample(docs, registry.table(spark, sf_dir, "labels"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece of a document."""
+    """Training sequences: a row for each piece of a document, with its bin and place."""
     release_tables(spark)
     return packing.pack_documents(docs, registry.tokenizer())
 
 
-STAGES = [("exact_dedup", dedup_stage), ("best_fit_packing", packing_stage)]
+#: Each stage releases what the one before has left in the shared folder; that one's result is stored by then.
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard_join", ngram_join_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs = registry.table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        path = new_path(spark, f"stage-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        out.write.option("compression", "zstd").parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}-{name}")
+    release_tables(spark)
     return docs

@@ -2,7 +2,7 @@
 
 Trees are fitted on a bounded sample of the vectors and then every vector is filed in each of them. A query walks the
 forest best first: the queue holds nodes of all trees by the least margin on their path, and leaves are taken until they
-hold ``search_rows`` vectors. Leaves are joined with the queries that want them, distances in double precision are taken
+hold enough vectors. Leaves are joined with the queries that want them, distances in double precision are taken
 block by block, and the nearest of all leaves are merged.
 
 Equal vectors are filed once, with their k + 1 least ids: ties go to smaller ids, so no other copy can be in an answer.
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .storage import shared_table
 
+#: Directions that a node tries.
+TRIALS = 16
+
 
 class Forest:
     """Complete binary trees: ``normals[t, node]`` and ``cuts[t, node]``, leaves numbered from 0."""
@@ -35,14 +38,17 @@ class Forest:
             parts = {0: np.arange(len(sample))}
             for node in range(inner):
                 own = parts.pop(node)
-                # of a few random directions, the one along which the vectors spread most
-                trial = rng.standard_normal((8, sample.shape[1])).astype(np.float32)
-                trial /= np.linalg.norm(trial, axis=1, keepdims=True)
-                proj = sample[own] @ trial.T
-                k = int(np.argmax(proj.std(axis=0))) if len(own) else 0
-                cut = float(np.median(proj[:, k])) if len(own) else 0.0
+                # of a few differences of random pairs, the direction along which the vectors spread most
+                trial = np.zeros((TRIALS, sample.shape[1]), dtype=np.float32)
+                if len(own):
+                    trial = sample[own[rng.integers(0, len(own), TRIALS)]] - sample[own[rng.integers(0, len(own), TRIALS)]]
+                    trial /= np.maximum(np.linalg.norm(trial, axis=1, keepdims=True), 1e-9)
+                seen = sample[own[rng.integers(0, len(own), 256)]] if len(own) else sample[:0]
+                k = int(np.argmax((seen @ trial.T).std(axis=0))) if len(own) else 0
+                proj = sample[own] @ trial[k]
+                cut = float(np.median(proj)) if len(own) else 0.0
                 self.normals[t, node], self.cuts[t, node] = trial[k], cut
-                right = proj[:, k] > cut
+                right = proj > cut
                 parts[2 * node + 1], parts[2 * node + 2] = own[~right], own[right]
 
     def file(self, vectors: np.ndarray) -> np.ndarray:
@@ -82,7 +88,7 @@ def _matrix(column: pa.Array, kind=np.float32) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1) if n else np.empty((0, 0), kind)
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = 10, trees: int = 10, leaf_rows: int = 128, search_rows: int = 8000, sample_rows: int = 200_000, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = 10, trees: int = 6, leaf_rows: int = 256, search_rows: int = 8000, search_share: float = 1.2, sample_rows: int = 200_000, block_rows: int = 4096) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``key``, ``score`` (Euclidean distance): the ``k`` nearest found of each row for
     which ``is_query`` (a Column) holds, its own id left out, nearest first, ties to the smaller id.
 
@@ -90,7 +96,9 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     nor do null ids. Rows that repeat count once; fewer candidates than ``k`` give all of them; an empty table gives no
     rows. Trees are fitted on about ``sample_rows`` vectors, picked by hash, and have as many leaves as ``leaf_rows``
     vectors each would fill, but no more than a sixteenth of the sample; larger leaves are searched in blocks of
-    ``block_rows``.
+    ``block_rows``. A query's leaves hold ``search_rows`` vectors or ``search_share`` of all, whichever is more, counting a
+    vector once per tree. Directions without structure (vectors evenly spread over a sphere of 64 dimensions, say) need a
+    large share for a recall of 0.9; where vectors cluster a small one does.
     """
     x = F.col("v")
     whole = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & x.isNotNull())
@@ -122,7 +130,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     sizes = np.zeros((trees, 2**depth), dtype=np.int64)
     for r in located.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():  # at most trees * sample / 16
         sizes[r["tree"], r["leaf"]] = r["count"]
-    counts = spark.sparkContext.broadcast(sizes)
+    counts, want = spark.sparkContext.broadcast(sizes), max(search_rows, int(search_share * n))
     queries = fine.where(F.col("q")).select("id", "v").distinct()
     asked = queries.groupBy("v").agg(F.min("id").alias("ask"))
 
@@ -131,7 +139,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
         for b in batches:
             rows, tree, leaf, sub = [], [], [], []
             for i, v in enumerate(_matrix(b.column(0))):
-                for t, x in own.search(v, size, search_rows):
+                for t, x in own.search(v, size, want):
                     for s in range(-(-int(size[t, x]) // block_rows)):
                         rows.append(i)
                         tree.append(t)

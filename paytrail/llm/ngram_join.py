@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .pieces import text_blocks
 from .storage import shared_table
-from .token_counts import text_blocks
+from .words import word_numbers
 
 #: Rows of document ids that may be broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -42,14 +43,6 @@ def choose_bands(threshold: float, recall: float = 0.9999, hashes: int = 96) ->
     return hashes, 1
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _C
     x = (x ^ (x >> np.uint64(32))) * _C
@@ -60,14 +53,14 @@ class Shingler:
     """Hashed word n-grams of lower-cased texts; fewer than ``n`` words make one n-gram, no words none."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, _WordHash()
+        self.n = n
         self.weights = _mix(np.arange(1, n + 2, dtype=np.uint64) * _M) | np.uint64(1)
 
-    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all n-grams, how many each text has), in order and with repeats."""
-        lists = [t.lower().split() for t in texts]
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        words = np.fromiter((self.words[w] for x in lists for w in x), dtype=np.uint64, count=int(sizes.sum()))
+        distinct, at, bounds = word_numbers(texts, lower=True)
+        sizes = np.diff(bounds)
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), dtype=np.uint64, count=len(distinct))[at]
         many = np.where(sizes >= self.n, sizes - self.n + 1, np.minimum(sizes, 1))
         first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         width = np.repeat(np.minimum(sizes, self.n), many)
@@ -97,9 +90,8 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(n)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for s in text_blocks(texts, 500_000):
-                grams, many = own.grams(texts[s])
+            for s in text_blocks(batch.column(1), 500_000):
+                grams, many = own.grams(batch.column(1)[s])
                 starts = np.cumsum(many) - many
                 some = many > 0
                 hashes = band_hashes(grams, starts[some], bands, rows).view(np.int64) if some.any() else np.empty((0, bands), np.int64)
@@ -190,9 +182,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(n)
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for s in text_blocks(texts, 500_000):
-                grams, many = own.grams(texts[s])
+            for s in text_blocks(batch.column("t"), 500_000):
+                grams, many = own.grams(batch.column("t")[s])
                 sets = [np.unique(grams[a - m : a]) for a, m in zip(np.cumsum(many), many, strict=True)]
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
                 part = batch.slice(s.start, s.stop - s.start)
