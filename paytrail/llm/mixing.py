@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``tokens`` (words between white space, plus one for the end of the text) and ``posterior``."""
+    """``keep``, ``__tokens`` (words between white space, plus one for the end of the text) and ``__posterior``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +105,11 @@ def memberships(docs: DataFrame, model: DomainModel, keep: list[str], text: str
                 p, n = sent.value.posteriors(texts[s])
                 part = b.slice(s.start, s.stop - s.start)
                 lists = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(n + 1, pa.int64()), lists], names=[*keep, "tokens", "posterior"])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(n + 1, pa.int64()), lists], names=[*keep, "__tokens", "__posterior"])
 
     slim = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{kinds}, tokens long, posterior array<double>")
+    return slim.mapInArrow(run, f"{kinds}, __tokens long, __posterior array<double>")
 
 
 def replay(p: np.ndarray, start: float, gradients: list[np.ndarray], momentum: list[float], top: float) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +164,10 @@ def _expected(members: DataFrame, d: int, start: float, gradients: list[np.ndarr
     return tuple(np.array([r[f"s{i}"] for i in range(d)]) for r in rows)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None = None, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", rows: int = 4000, top: float = 4.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None = None, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", rows: int = 4000, top: float = 4.0, prefix: str = "") -> DataFrame:
     """One row per input row: ``keep`` (default ``key``), ``tokens``, ``p_<domain>`` for each domain, ``rate`` (0 to
     ``top``) and ``copies`` (the rate rounded up or down, at random by a hash of key and text, so that copies have the
-    rate as their mean).
+    rate as their mean). ``prefix`` stands before the names of the columns that are added.
 
     A null, empty or blank text has one token (its end) and the posterior that the classifier gives to no words. Equal rows
     have equal rates; a null key is a key. Without labels the posteriors are equal. An empty table gives no rows.
@@ -179,21 +179,24 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None
         raise ValueError("targets must be nonnegative, and one positive")
     salted = docs.withColumn("__hash", F.xxhash64(F.col(key), F.col(text)))
     members = shared_table(memberships(salted, fit(docs, labels, key, text, rows), [*keep, "__hash"], text), "members")
-    start, gradients, momentum, _ = fit_rates(members, goal, top=top)
+    start, gradients, momentum, _ = fit_rates(members.select(F.col("__tokens").alias("tokens"), F.col("__posterior").alias("posterior")), goal, top=top)
+    names = [prefix + x for x in ("tokens", *(f"p_{x}" for x in DOMAINS), "rate", "copies")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.column(b.schema.get_field_index("posterior")).flatten().to_numpy().reshape(-1, len(goal))
+            p = b.column(b.schema.get_field_index("__posterior")).flatten().to_numpy().reshape(-1, len(goal))
             r, _ = replay(p, start, gradients, momentum, top)
             u = (b.column(b.schema.get_field_index("__hash")).to_numpy().view(np.uint64) >> np.uint64(11)) / 2.0**53
-            cols = [b.column(i) for i in range(len(keep))] + [b.column(b.schema.get_field_index("tokens"))] + [pa.array(p[:, i]) for i in range(len(goal))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(r), pa.array(np.floor(r + u).astype(np.int32))], names=[*keep, "tokens", *(f"p_{x}" for x in DOMAINS), "rate", "copies"])
+            cols = [b.column(i) for i in range(len(keep))] + [b.column(b.schema.get_field_index("__tokens"))] + [pa.array(p[:, i]) for i in range(len(goal))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(r), pa.array(np.floor(r + u).astype(np.int32))], names=[*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return members.mapInArrow(run, f"{kinds}, tokens long, {', '.join(f'p_{x} double' for x in DOMAINS)}, rate double, copies int")
+    types = ["long", *("double" for _ in DOMAINS), "double", "int"]
+    return members.mapInArrow(run, f"{kinds}, {', '.join(f'{a} {b}' for a, b in zip(names, types, strict=True))}")
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say, all columns."""
-    rates = mix(docs, labels, targets, docs.columns, key, text)
-    return rates.where(F.col("copies") > 0).withColumn("__c", F.explode(F.expr("sequence(1, copies)"))).select(docs.columns)
+    rates = mix(docs, labels, targets, docs.columns, key, text, prefix="__mix_")
+    often = rates.where(F.col("__mix_copies") > 0).withColumn("__c", F.explode(F.expr("sequence(1, __mix_copies)")))
+    return often.select(docs.columns)

@@ -123,7 +123,7 @@ def _compare(rows: pa.Table, threshold: float) -> pa.Table:
     place[order] = np.arange(len(code))
     stop = first[code + 1]
     links, parent = np.zeros(m, dtype=np.int64), list(range(m))
-    split = blk.min() != blk.max()
+    split = rows["i"][0] != rows["j"][0]  # of two blocks, only pairs across them
 
     def find(x: int) -> int:
         while parent[x] != x:

@@ -43,11 +43,16 @@ def weight_score(a: Column, b: Column, shard: int, weight: float) -> Column:
     return -F.log((x + 0.5) / P) / F.lit(float(weight)) if weight > 0 else F.lit(math.inf)
 
 
-def assign(docs: DataFrame, key: str, weights: Sequence[float]) -> DataFrame:
-    """``docs`` with ``shard`` and ``grown_shard``, the shard if one more of the mean weight is added."""
+def check_weights(weights: Sequence[float]) -> list[float]:
     weights = [float(w) for w in weights]
     if not weights or min(weights) < 0 or sum(weights) == 0:
         raise ValueError("weights must be nonnegative, and one positive")
+    return weights
+
+
+def assign(docs: DataFrame, key: str, weights: Sequence[float]) -> DataFrame:
+    """``docs`` with ``shard`` and ``grown_shard``, the shard if one more of the mean weight is added."""
+    weights = check_weights(weights)
     n, mean = len(weights), sum(weights) / len(weights)
     rows = docs.withColumns(dict(zip(("__a", "__b"), key_parts(F.col(key)), strict=True)))
     bids = F.array(*(F.struct(weight_score(F.col("__a"), F.col("__b"), s, w).alias("bid"), F.lit(s).alias("shard")) for s, w in enumerate(weights)))
@@ -64,6 +69,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, key
     shard and get slots of their own. Slots are numbered in blocks of about ``block_rows`` rows (by hash, then key, size,
     crc), so no task sorts a shard. An empty table gives no rows.
     """
+    weights = check_weights(weights)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     slim = docs.select(F.col(key).alias("__k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     blocks = max(1, math.ceil(docs.count() / (len(weights) * block_rows)))
