@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from paytrail.plans import ledger_queries, report_queries, text_queries  # noqa: F401  (register)
+from paytrail.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

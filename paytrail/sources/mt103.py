@@ -62,7 +62,9 @@ def amount_reason(raw: Column) -> Column:
 
 
 def parse_amount(raw: Column) -> Column:
-    return F.when(~F.contains(raw, F.lit(".")), F.replace(raw, F.lit(","), F.lit(".")).try_cast("decimal(18,2)"))
+    """Digits with one decimal comma and no dot; null for anything else."""
+    one = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit(""))) == 1
+    return F.when(one & ~F.contains(raw, F.lit(".")), F.replace(raw, F.lit(","), F.lit(".")).try_cast("decimal(18,2)"))
 
 
 def parse_value_date(raw: Column) -> Column:
