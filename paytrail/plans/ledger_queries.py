@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paytrail.operators import baseline, detectors, evaluate, graph, greedy, scoring
 from paytrail.sources import ledger as source
 
+from .cut import cut
 from .params import DAY_US, HOUR_US, PRECEDENCE, Params
 from .registry import query
 
@@ -281,8 +282,8 @@ def bipartite(spark, sf_dir):
 
 
 def _audit(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    raw = detectors.detect_raw(edges, P)
+    edges = cut(_edges(spark, sf_dir), "ledger")
+    raw = cut(detectors.detect_raw(edges, P), "raw")
     return edges, greedy.reconcile(raw, P.precedence, P.overlap)
 
 
@@ -299,8 +300,6 @@ def reconcile(spark, sf_dir):
 @query()
 def detect_all(spark, sf_dir):
     """Kept candidates with their evidence and a sentence about the shape."""
-    from paytrail.plans.cut import cut
-
     edges, found = _audit(spark, sf_dir)
     kept = cut(found.where("kept").drop("kept", "absorber"), "kept")
     shown = kept.join(graph.edge_lines(graph.subgraph(edges, kept)), "candidate_id")

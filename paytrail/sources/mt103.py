@@ -16,7 +16,8 @@ FIELDS = ["file", "ordinal", "reference", "value_date", "currency", "amount", "s
 
 
 def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file``, ``text`` of log files: UTF-8, or Latin-1 where the bytes aren't; no bytes are refused."""
+    """``file``, ``text`` of log files: UTF-8, or Latin-1 where the bytes aren't; no bytes are refused, and an
+    empty file gives no row."""
     raw = spark.read.format("binaryFile").load(paths)
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return raw.select(F.col("path").alias("file"), text.alias("text"))
