@@ -56,7 +56,8 @@ class Cut:
     def drop(self, pieces: set[str]) -> list[int]:
         """Empty the texts that hold one of the later ``pieces``, which can't be cut, and tell which they are."""
         bad = np.array([p in pieces for p in self.later], dtype=bool)
-        hit = np.flatnonzero((self.at >= 0) & bad[self.at])
+        hit = np.flatnonzero(self.at >= 0)
+        hit = hit[bad[self.at[hit]]]
         texts = np.unique(np.searchsorted(self.bounds, hit, side="right") - 1)
         for i in texts.tolist():
             self.empty(i)
