@@ -1,34 +1,55 @@
 """Ordered greedy suppression: a set stays unless one that comes before it, and stays, covers most of it.
 
 The order makes this sequential in principle; in rounds it is a plan of joins. A set is decided once every earlier set that
-covers it is: it goes if one of them stays, else it stays. Only pairs that overlap enough are ever joined.
+covers it is: it goes if one of them stays, else it stays. Only pairs that overlap enough are kept, and while these are few
+(their number is checked) one task takes them in order instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paytrail.plans.cut import cut
 
 
+#: Pairs up to which one task takes the sets in order; more are decided in rounds.
+FOLD_PAIRS = 500_000
+
+
 def covering_pairs(sets: DataFrame, overlap: float) -> DataFrame:
-    """``sup``, ``sub``: ``sup`` comes before ``sub`` (by ``rank``, then ``id``) and holds more than ``overlap`` of its members."""
+    """``sup``, ``sub`` and their ranks ``r1``, ``r2``: ``sup`` comes before ``sub`` (by ``rank``, then ``id``) and holds more
+    than ``overlap`` of its members."""
     flat = sets.select("id", "rank", F.size("refs").alias("size"), F.explode("refs").alias("ref"))
     a = flat.select(F.col("id").alias("sup"), F.col("rank").alias("r1"), "ref")
     b = flat.select(F.col("id").alias("sub"), F.col("rank").alias("r2"), "size", "ref")
     met = a.join(b, "ref").where((F.struct("r1", "sup") < F.struct("r2", "sub")) & (F.col("sup") != F.col("sub")))
-    return met.groupBy("sup", "sub", "size").agg(F.count("*").alias("c")).where(F.col("c") / F.col("size") > overlap).select("sup", "sub")
+    return met.groupBy("sup", "sub", "r1", "r2", "size").agg(F.count("*").alias("c")).where(F.col("c") / F.col("size") > overlap).select("sup", "sub", "r1", "r2")
 
 
-def keep_first(sets: DataFrame, overlap: float) -> DataFrame:
-    """``id``, ``kept``, ``absorber`` (the first kept set that covers it) for sets with ``id``, ``rank``, ``refs``."""
-    sets = cut(sets.select("id", "rank", F.array_distinct("refs").alias("refs")), "sets")
-    pairs = cut(covering_pairs(sets, overlap), "covers")
+def _fold(pairs: DataFrame) -> DataFrame:
+    """``id``, ``absorber`` of the sets that go, taking all sets in order in one task."""
+    key = lambda r: tuple(map(key, r.values())) if isinstance(r, dict) else tuple(map(key, r)) if isinstance(r, list) else r
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((key(r["r2"]), r["sub"], key(r["r1"]), r["sup"]) for b in batches for r in b.to_pylist())
+        gone: dict[str, str] = {}
+        for _, sub, _, sup in rows:  # a set's earlier ones are decided, and come in order
+            if sub not in gone and sup not in gone:
+                gone[sub] = sup
+        yield pa.RecordBatch.from_arrays([pa.array(list(gone), pa.string()), pa.array(list(gone.values()), pa.string())], names=["id", "absorber"])
+
+    return pairs.coalesce(1).mapInArrow(run, "id string, absorber string")
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """The same by rounds of joins: free sets (nothing open comes before them) stay, and what they cover goes."""
     gone: list[DataFrame] = []
-    left = pairs
+    left = pairs.select("sup", "sub")
     # every round decides at least the first open set, so this ends
     while left.limit(1).count():
         free = left.select(F.col("sup").alias("id")).distinct().join(left.select(F.col("sub").alias("id")), "id", "left_anti")
@@ -36,9 +57,16 @@ def keep_first(sets: DataFrame, overlap: float) -> DataFrame:
         gone.append(lost)
         rest = left.join(free.withColumnRenamed("id", "sup"), "sup", "left_anti")
         left = cut(rest.join(lost.withColumnRenamed("id", "sup"), "sup", "left_anti").join(lost.withColumnRenamed("id", "sub"), "sub", "left_anti"), "open")
-    dropped = reduce(DataFrame.unionByName, gone) if gone else sets.select("id").limit(0)
-    by = pairs.join(dropped.withColumnRenamed("id", "sup"), "sup", "left_anti").join(sets.select(F.col("id").alias("sup"), "rank"), "sup")
-    first = by.groupBy("sub").agg(F.min_by("sup", F.struct("rank", "sup")).alias("absorber")).withColumnRenamed("sub", "id")
+    dropped = reduce(DataFrame.unionByName, gone) if gone else pairs.select(F.col("sub").alias("id")).limit(0)
+    by = pairs.join(dropped.withColumnRenamed("id", "sup"), "sup", "left_anti")
+    return by.groupBy("sub").agg(F.min_by("sup", F.struct("r1", "sup")).alias("absorber")).withColumnRenamed("sub", "id")
+
+
+def keep_first(sets: DataFrame, overlap: float, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """``id``, ``kept``, ``absorber`` (the first kept set that covers it) for sets with ``id`` (text), ``rank``, ``refs``."""
+    sets = cut(sets.select("id", "rank", F.array_distinct("refs").alias("refs")), "sets")
+    pairs = cut(covering_pairs(sets, overlap), "covers")
+    first = _fold(pairs) if pairs.count() <= fold_pairs else _rounds(pairs)
     return sets.select("id").join(first, "id", "left").select("id", F.col("absorber").isNull().alias("kept"), "absorber")
 
 

@@ -283,8 +283,7 @@ def bipartite(spark, sf_dir):
 
 def _audit(spark, sf_dir):
     edges = cut(_edges(spark, sf_dir), "ledger")
-    raw = cut(detectors.detect_raw(edges, P), "raw")
-    return edges, greedy.reconcile(raw, P.precedence, P.overlap)
+    return edges, greedy.reconcile(detectors.detect_raw(edges, P), P.precedence, P.overlap)
 
 
 @query()

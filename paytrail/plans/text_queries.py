@@ -191,7 +191,7 @@ def rank_fusion(spark, sf_dir):
     return retrieval.fuse(both[0].unionByName(both[1]), ["vec_id"]).select("vec_id", F.round("fused", 9).alias("fused"))
 
 
-NAMES = ["AML_VER09.211223.txt", "Rules (Consolidated_December 2023).txt", "Guidance 5 March 2021.pdf", "Framework 2017.txt", "notes.txt", "CRS Regulations 2017 (Consolidated October 2023).txt"]
+NAMES = ["Manual_VER02.211223.txt", "Handbook (Revised_December 2023).txt", "Guidance 5 March 2021.pdf", "Framework 2017.txt", "notes.txt", "Tax Rules 2017 (Revised October 2023).txt"]
 DATES = ["2023-12-21", "2023-12", "2021-03-05", "2017", None, "2023-10"]
 
 
