@@ -105,3 +105,52 @@ class Store:
     def jobs(self) -> DataFrame:
         newest = Window.partitionBy("job_id").orderBy(F.desc("changed_at"))
         return self.read("jobs").withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+
+
+class BackendMismatch(ValueError):
+    """Vectors of one encoder were asked of a table that another one filled."""
+
+
+class ChunkTable:
+    """Chunks with vectors, by id. Rows are appended with the time of their upsert; the newest of an id counts."""
+
+    def __init__(self, spark: SparkSession, path: str, backend: str, dimension: int):
+        self.spark, self.path, self.backend, self.dimension = spark, path, backend, dimension
+
+    def _rows(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+                return None
+            raise
+
+    def upsert(self, chunks: DataFrame) -> None:
+        """``chunks``: ``chunk_id``, ``embedding`` and any metadata."""
+        self._guard()
+        wrong = chunks.where(F.size("embedding") != self.dimension).limit(1).count()
+        if wrong:
+            raise BackendMismatch(f"vectors must have {self.dimension} components")
+        out = chunks.withColumns({"backend": F.lit(self.backend), "upserted_at": F.current_timestamp()})
+        with_retry(lambda: out.write.mode("append").parquet(self.path))
+
+    def _guard(self) -> None:
+        rows = self._rows()
+        other = rows.where(F.col("backend") != self.backend).select("backend").head() if rows is not None else None
+        if other:
+            raise BackendMismatch(f"filled by {other['backend']}, not {self.backend}")
+
+    def read(self) -> DataFrame:
+        self._guard()
+        rows = self._rows()
+        if rows is None:
+            raise FileNotFoundError(self.path)
+        newest = Window.partitionBy("chunk_id").orderBy(F.desc("upserted_at"))
+        return rows.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn", "backend", "upserted_at")
+
+    def get(self, ids: list[str]) -> DataFrame:
+        return self.read().where(F.col("chunk_id").isin(*ids))
+
+    def counts(self, *by: str) -> DataFrame:
+        """Chunks by every one of the columns and in all, as grouping sets."""
+        return self.read().groupingSets([*([c] for c in by), []], *by).agg(F.count("*").alias("n"))

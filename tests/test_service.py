@@ -96,3 +96,46 @@ def test_codes_and_references(spark):
         spark.createDataFrame([("Nowhere",)], "name string").select(generate.iso(F.col("name"), generate.COUNTRIES)).collect()
     out = generate.mint_references(edges(spark, [("a", "b", 1, 0), ("a", "b", 1, 0.5), ("a", "b", 1, 1)]), ["us"]).orderBy("us").collect()
     assert [r.reference for r in out] == ["FGO24010100001", "FGO24010100002", "FGO24010200001"]
+
+
+def test_chunk_table_guards_its_backend(spark, tmp_path):
+    t = store.ChunkTable(spark, str(tmp_path / "chunks"), "hashed", 2)
+    rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, tier string, embedding array<float>")
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    t.upsert(rows(("a", "statute", [1.0, 0.0]), ("b", "guidance", [0.0, 1.0])))
+    t.upsert(rows(("a", "regulation", [1.0, 1.0])))
+    assert {r.chunk_id: r.tier for r in t.read().collect()} == {"a": "regulation", "b": "guidance"} and t.get(["b", "x"]).count() == 1
+    assert {(r.tier, r.n) for r in t.counts("tier").collect()} == {("regulation", 1), ("guidance", 1), (None, 2)}
+    with pytest.raises(store.BackendMismatch):
+        t.upsert(rows(("c", "statute", [1.0])))
+    with pytest.raises(store.BackendMismatch):
+        store.ChunkTable(spark, t.path, "other", 2).read()
+
+
+def test_files(spark, tmp_path):
+    from paytrail.sources import files
+
+    head = "Time,Date,Sender_account,Receiver_account,Amount,Payment_currency,Received_currency,Sender_bank_location,Receiver_bank_location,Payment_type,Is_laundering,Laundering_type"
+    (tmp_path / "t.csv").write_text(head + "\n10:35:19,2024-01-07,1,2,14.50,USD,USD,US,GB,Cash Deposit,0,Normal\n10:35:20,2024-02-07,3,4,x,USD,USD,US,US,ACH,1,Fan_In\n")
+    rows = files.read_transactions(spark, str(tmp_path / "t.csv"))
+    assert rows.count() == 2 and files.read_transactions(spark, str(tmp_path / "t.csv"), ["2024-01"]).count() == 1
+    one = files.as_ledger(rows).orderBy("ts").first()
+    assert (str(one.ts), one.payment_kind, str(one.amount)) == ("2024-01-07 10:35:19", "cash_deposit", "14.50")
+    (tmp_path / "p.json").write_text('[{"ID": "a", "DocumentID": 1, "PassageID": "1.1", "Passage": "x"}, {"ID": "b", "DocumentID": 1, "PassageID": "1.2", "Passage": null}]')
+    assert [r.Passage for r in files.read_passages(spark, str(tmp_path / "p.json")).orderBy("ID").collect()] == ["x", ""]
+    (tmp_path / "q.json").write_text('[{"Question": "q", "Passages": [{"DocumentID": 1, "PassageID": "1.1"}, {"DocumentID": 2, "PassageID": "9"}]}]')
+    assert files.read_questions(spark, str(tmp_path / "q.json")).count() == 2
+    good = spark.createDataFrame([("c1", "text", "statute", "binding", "s", "1", "US", ["x"], None, "1", "f")], files.CHUNK_SCHEMA)
+    files.write_chunks(good, str(tmp_path / "chunks"))
+    assert files.read_chunks(spark, str(tmp_path / "chunks")).first() == good.first()
+    bad = good.unionByName(good.withColumn("authority", F.lit("illustrative")))
+    assert {r.problem for r in files.chunk_problems(bad).collect()} == {"repeated", "authority"}
+    with pytest.raises(ValueError, match="repeated|authority"):
+        files.write_chunks(bad, str(tmp_path / "more"))
+    labels = lambda *r: spark.createDataFrame(list(r), "reference string, log_file string")
+    files.write_labels(labels(("a", "x"), ("b", "y")), str(tmp_path / "labels"))
+    files.write_labels(labels(("c", "x")), str(tmp_path / "labels"))
+    assert sorted((r.reference, r.log_file) for r in spark.read.option("header", True).csv(str(tmp_path / "labels")).collect()) == [("b", "y"), ("c", "x")]
+    (tmp_path / "m.json").write_text('{"a.txt": {"sha256": "00", "role": "text", "tier": "statute", "authority": "binding"}}')
+    assert files.read_manifest(spark, str(tmp_path / "m.json")).first().tier == "statute"
