@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +16,8 @@ def fold(key: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", rows: int = 4000, chars: int = 30_000_000) -> list:
-    """Whole texts of labelled rows that aren't held out, with ``columns`` of ``labels`` and ``fold``.
+def labelled_texts(docs: DataFrame, labels: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", rows: int = 4000, chars: int = 16_000_000) -> DataFrame:
+    """Whole texts of labelled rows that aren't held out: ``text``, ``columns`` of ``labels`` and ``fold``, in one partition.
 
     A sample of at most ``rows`` rows, in the order of a hash of the key, cut where their texts pass ``chars`` characters.
     Rows with a null label or key are left out; a key that repeats counts once, with the label that sorts first.
@@ -24,4 +29,35 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, columns: list[str], key:
     # the sample has at most ``rows`` rows
     found = texts.join(F.broadcast(chosen), "k").groupBy("k", *columns, "fold").agg(F.min("text").alias("text"))
     size = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("k"), "k"))
-    return found.withColumn("size", size).where(F.col("size") <= chars).drop("size").orderBy(F.xxhash64("k"), "k").collect()
+    return found.withColumn("size", size).where(F.col("size") <= chars).select("text", *columns, "fold")
+
+
+class Packed:
+    """A fitted model as bytes, which each worker unpacks once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.mark = data, uuid.uuid4().hex
+
+    @classmethod
+    def of(cls, model) -> Packed:
+        return model if isinstance(model, cls) else cls(pickle.dumps(model))
+
+    def load(self):
+        if self.mark not in _unpacked:
+            _unpacked.clear()
+            _unpacked[self.mark] = pickle.loads(self.data)
+        return _unpacked[self.mark]
+
+
+_unpacked: dict = {}
+
+
+def fit_in_task(sample: DataFrame, build) -> Packed:
+    """``build(rows)`` run in one task of the cluster, whose memory it takes, over the bounded ``sample`` (rows as dicts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build(rows))], pa.binary())], names=["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return Packed(bytes(found[0]["model"])) if found else Packed.of(build([]))  # an empty table may have no task

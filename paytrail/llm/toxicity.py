@@ -16,9 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, labelled_texts
+from .labelled import Packed, fit_in_task, fold, labelled_texts
 from .networks import Adam
 from .pieces import text_blocks
+from .storage import bound_batches
 from .words import word_numbers
 
 WINDOW, STEP = 40, 20
@@ -34,7 +35,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: pa.Array, block: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_word_features`` of all words, a block at a time: it needs a few hundred bytes for each letter."""
+    parts = [_word_features(words[s : s + block]) for s in range(0, max(len(words), 1), block)]
+    grams = [p[1].astype(np.int32) for p in parts]
+    return np.concatenate([p[0] for p in parts]), np.concatenate(grams), np.r_[0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]
+
+
+def _word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each word, buckets of all n-grams, bounds of the words in them). Words are lower-cased and keep letters
     and digits alone; ``^`` and ``$`` stand at their ends in n-grams."""
     clean = pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.string())), r"[^\p{L}\p{N}]+", "")
@@ -75,6 +83,26 @@ def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+class Windows:
+    """All windows of a block of texts: ``rows`` (first word of each), ``bounds`` (windows of each text), ``words``."""
+
+    def __init__(self, texts: pa.Array):
+        self.words, self.flat, ends = word_numbers(texts)
+        rows, many = [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = window_starts(b - a)
+            rows += [a + s for s in own]
+            many.append(len(own))
+        self.rows, self.bounds = np.array(rows, dtype=np.int64), np.r_[0, np.cumsum(many, dtype=np.int64)]
+        self.stop = np.repeat(ends[1:], many)
+
+    def numbers(self, which) -> np.ndarray:
+        """Word numbers at (window, step) of some windows; a short text's window ends in padding, numbered after all words."""
+        place = self.rows[which][:, None] + np.arange(WINDOW)
+        inside = place < self.stop[which][:, None]
+        return np.where(inside, self.flat[np.minimum(place, len(self.flat) - 1)] if len(self.flat) else 0, len(self.words))
+
+
 class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -89,8 +117,12 @@ class Network:
 
     def inputs(self, word: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """A row per distinct word, and at the end that of the padding."""
-        char = _sum_by(self.gram[grams], bounds) / np.maximum(np.diff(bounds), 1)[:, None].astype(np.float32)
-        return np.concatenate([np.concatenate([self.word[word], char], axis=1), self.pad[None]])
+        out = np.empty((len(word) + 1, 2 * PART), dtype=np.float32)
+        out[:-1, :PART], out[-1] = self.word[word], self.pad
+        for s in range(0, len(word), 20_000):
+            own = bounds[s : s + 20_001]
+            out[s : s + len(own) - 1, PART:] = _sum_by(self.gram[grams[own[0] : own[-1]]], own - own[0]) / np.maximum(np.diff(own), 1)[:, None].astype(np.float32)
+        return out
 
     def _run(self, proj: np.ndarray, at: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States (steps, windows, units) of one direction; ``at``: number of the word at (window, step)."""
@@ -149,30 +181,15 @@ class Network:
             d_x += d_proj @ self.p[f"w{d}"].T
         return g, d_x
 
-    def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """(word numbers of all windows, the text of each, bounds of the windows of texts, features of distinct words)."""
-        words, at, bounds = word_numbers(texts)
-        rows, owner = [], []
-        flat = np.r_[at, np.full(WINDOW, len(words), dtype=np.int64)]  # a short text's window ends in padding
-        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            own = window_starts(b - a)
-            rows += [a + s for s in own]
-            owner += [i] * len(own)
-        rows = np.array(rows, dtype=np.int64)
-        place = rows[:, None] + np.arange(WINDOW)
-        owner = np.array(owner, dtype=np.int64)
-        place = np.where(place < bounds[1:][owner][:, None], place, len(at)) if len(rows) else place.reshape(0, WINDOW)
-        return flat[place], owner, np.searchsorted(owner, np.arange(len(texts) + 1)), word_features(words)
-
     def logits(self, texts: pa.Array) -> np.ndarray:
         """The largest window logit of each text; minus infinity for a text without words."""
-        at, _, bounds, features = self.windows(texts)
-        x = self.inputs(*features)
-        out = np.concatenate([self.forward(x, at[s : s + 2048]) for s in range(0, len(at), 2048)] or [np.empty(0, np.float32)])
+        own = Windows(texts)
+        x = self.inputs(*word_features(own.words))
+        out = np.concatenate([self.forward(x, own.numbers(slice(s, s + 2048))) for s in range(0, len(own.rows), 2048)] or [np.empty(0, np.float32)])
         top = np.full(len(texts), -np.inf)
-        some = np.flatnonzero(np.diff(bounds))
+        some = np.flatnonzero(np.diff(own.bounds))
         if len(some):
-            top[some] = np.maximum.reduceat(out, bounds[some])
+            top[some] = np.maximum.reduceat(out, own.bounds[some])
         return top
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -181,12 +198,9 @@ class Network:
         return np.where(fine, 1 / (1 + np.exp(-(self.slope * np.where(fine, top, 0) + self.shift))), self.empty)
 
 
-def _log_odds(buckets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    count = np.zeros((2, size))
-    for own, v in zip(buckets, y, strict=True):
-        count[v, np.unique(own)] += 1
-    smooth = 1.0
-    rate = (count + smooth * (count.sum(axis=0) + 0.5) / (len(y) + 1)) / (np.bincount(y, minlength=2)[:, None] + smooth)
+def _log_odds(count: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``count``: texts of either label that hold a bucket."""
+    rate = (count + (count.sum(axis=0) + 0.5) / (len(y) + 1)) / (np.bincount(y, minlength=2)[:, None] + 1.0)
     return np.log((rate[1] + 1e-4) / (rate[0] + 1e-4))
 
 
@@ -198,16 +212,22 @@ def train(texts: list[str], y: np.ndarray, spare: np.ndarray, steps: int = 900,
     if not len(y) or y.min() == y.max():
         net.slope, net.shift = 0.0, float(np.log(net.empty / (1 - net.empty)))
         return net
-    own = ~spare if len(set(y[~spare].tolist())) == 2 else np.ones(len(y), dtype=bool)
-    arr = pa.array([t for t, o in zip(texts, own, strict=True) if o])
-    labels = y[own]
-    at, owner, bounds, (word, grams, span) = net.windows(arr)
-    docs = [np.unique(at[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    docs = [d[d < len(word)] for d in docs]
-    by_word, by_gram = [word[d] for d in docs], [np.concatenate([grams[span[w] : span[w + 1]] for w in d] or [np.empty(0, np.int64)]) for d in docs]
-    net.word[:, 0], net.gram[:, 0] = _log_odds(by_word, labels, WORDS) / 3, _log_odds(by_gram, labels, GRAMS) / 2
+    use = ~spare if len(set(y[~spare].tolist())) == 2 else np.ones(len(y), dtype=bool)
+    arr = pa.array([t for t, o in zip(texts, use, strict=True) if o])
+    labels = y[use]
+    own = Windows(arr)
+    bounds, (word, grams, span) = own.bounds, word_features(own.words)
+    count_word, count_gram = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
+    for v, a, b in zip(labels.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b > a:
+            d = np.unique(own.numbers(slice(a, b)))
+            d = d[d < len(word)]
+            count_word[v, np.unique(word[d])] += 1
+            count_gram[v, np.unique(np.concatenate([grams[span[w] : span[w + 1]] for w in d]))] += 1
+    net.word[:, 0], net.gram[:, 0] = _log_odds(count_word, labels) / 3, _log_odds(count_gram, labels) / 2
     x = net.inputs(word, grams, span)
-    hint = np.sort(np.r_[x[:-1, 0] + x[:-1, PART], -9.0][at], axis=1)[:, -3:].sum(axis=1)
+    odds = np.r_[x[:-1, 0] + x[:-1, PART], -9.0].astype(np.float32)
+    hint = np.concatenate([np.sort(odds[own.numbers(slice(s, s + 4096))], axis=1)[:, -3:].sum(axis=1) for s in range(0, len(own.rows), 4096)] or [np.empty(0)])
     examples, truth = [], []
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         if b > a:
@@ -222,7 +242,7 @@ def train(texts: list[str], y: np.ndarray, spare: np.ndarray, steps: int = 900,
     adam, seen_word, seen_gram = Adam(net.p, 4e-3), np.full(net.word.shape, 0.02, np.float32), np.full(net.gram.shape, 0.02, np.float32)
     for _ in range(steps):
         pick = np.r_[rng.choice(pos, batch // 4), rng.choice(neg, batch - batch // 4)]
-        used, inner = np.unique(at[examples[pick]], return_inverse=True)
+        used, inner = np.unique(own.numbers(examples[pick]), return_inverse=True)
         pad = len(used) if used[-1] != len(word) else len(used) - 1
         kinds = used[:pad]
         sizes = span[kinds + 1] - span[kinds]
@@ -240,7 +260,8 @@ def train(texts: list[str], y: np.ndarray, spare: np.ndarray, steps: int = 900,
             seen[u] += total * total
             table[u] -= 0.02 * total / np.sqrt(seen[u])
     check = spare if spare.any() and y[spare].min() != y[spare].max() else np.ones(len(y), dtype=bool)
-    top = net.logits(pa.array([t for t, c in zip(texts, check, strict=True) if c]))
+    rest = pa.array([t for t, c in zip(texts, check, strict=True) if c])
+    top = np.concatenate([net.logits(rest[s]) for s in text_blocks(rest, 1_000_000)])
     fine = np.isfinite(top)
     net.slope, net.shift = _scale(top[fine], y[check][fine])
     return net
@@ -260,26 +281,30 @@ def _scale(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 6000) -> Network:
+def _build(rows: list[dict]) -> Network:
+    return train([r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows], dtype=np.int64), np.array([r["fold"] == 1 for r in rows], dtype=bool))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 4000) -> Packed:
     """A network for ``labels.toxic``, from at most ``rows`` labelled rows outside fold 0; fold 1 scales the scores."""
-    sample = labelled_texts(docs, labels, ["toxic"], key, text, rows)
-    return train([r["text"] for r in sample], np.array([int(r["toxic"]) for r in sample], dtype=np.int64), np.array([r["fold"] == 1 for r in sample], dtype=bool))
+    return fit_in_task(labelled_texts(docs, labels, ["toxic"], key, text, rows), _build)
 
 
-def score_toxicity(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, net: Network | Packed, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``key``, ``held_out``, ``score`` (probability of label 1) and ``predicted`` (score >= ``threshold``).
 
     Every overlapping window of every whole text, in one narrow pass. A null, empty or blank text has the share of toxic
     labels as its score; repeated rows and null keys come back as they are; without both labels to learn from all scores
     are that share; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    bound_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(Packed.of(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in text_blocks(b.column(2), 3_000_000):
+            for s in text_blocks(b.column(2), 2_000_000):
                 part = b.slice(s.start, s.stop - s.start)
-                score = sent.value.score(part.column(2))
+                score = sent.value.load().score(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     slim = docs.select(F.col(key), (fold(key) == 0).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("__text"))

@@ -40,7 +40,7 @@ def test_fold_is_crc32_of_the_key(spark):
 
 def test_sample_leaves_out_the_held_out_fold_and_is_bounded(spark, tables):
     docs, labels, _ = tables
-    some = labelled.labelled_texts(docs, labels, ["quality"], rows=50)
+    some = labelled.labelled_texts(docs, labels, ["quality"], rows=50).collect()
     assert 0 < len(some) <= 50 and all(r["fold"] != 0 for r in some)
 
 
