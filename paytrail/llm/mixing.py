@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import labelled_texts
+from .labelled import Packed, fit_in_task, labelled_texts
 from .networks import TwoLayer
 from .pieces import text_blocks
-from .storage import shared_table
+from .storage import bound_batches, shared_table
 from .words import word_numbers
 
 #: Domains of the production query, by the labels' columns, and the share of tokens that each is to have.
@@ -87,22 +87,26 @@ def domain_of(quality: int, toxic: int) -> int:
     return 2 if toxic else 0 if quality else 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 4000) -> DomainModel:
+def _build(rows: list[dict]) -> DomainModel:
+    y = np.array([domain_of(r["quality"], r["toxic"]) for r in rows], dtype=np.int64)
+    return DomainModel([r["text"] for r in rows], y, np.array([r["fold"] == 1 for r in rows], dtype=bool), len(DOMAINS))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 4000) -> Packed:
     """A model of the three domains from at most ``rows`` labelled rows outside fold 0; fold 1 sets the temperature."""
-    sample = labelled_texts(docs, labels, ["quality", "toxic"], key, text, rows)
-    y = np.array([domain_of(r["quality"], r["toxic"]) for r in sample], dtype=np.int64)
-    return DomainModel([r["text"] for r in sample], y, np.array([r["fold"] == 1 for r in sample], dtype=bool), len(DOMAINS))
+    return fit_in_task(labelled_texts(docs, labels, ["quality", "toxic"], key, text, rows), _build)
 
 
-def memberships(docs: DataFrame, model: DomainModel, keep: list[str], text: str = "text") -> DataFrame:
+def memberships(docs: DataFrame, model: DomainModel | Packed, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``__tokens`` (words between white space, plus one for the end of the text) and ``__posterior``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(Packed.of(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(keep))
-            for s in text_blocks(texts):
-                p, n = sent.value.posteriors(texts[s])
+            for s in text_blocks(texts, 2_000_000):
+                p, n = sent.value.load().posteriors(texts[s])
                 part = b.slice(s.start, s.stop - s.start)
                 lists = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(n + 1, pa.int64()), lists], names=[*keep, "__tokens", "__posterior"])

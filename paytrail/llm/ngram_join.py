@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .pieces import text_blocks
-from .storage import shared_table
+from .storage import bound_batches, shared_table
 from .words import word_numbers
 
 #: Rows of document ids that may be broadcast (16 bytes each); beyond, they are joined by shuffle.
@@ -165,6 +165,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     links. Repeated rows count as documents; ``key`` should not stand for two different texts (one of them is compared).
     A pair at the threshold is missed with probability 1 - ``recall`` at most; every reported link is exact.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
     table = shared_table(signatures(docs, key, text, n, bands, rows), "signatures")

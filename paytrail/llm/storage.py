@@ -17,6 +17,11 @@ _own: list[str] = []
 _written: list[str] = []
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Have Spark hand texts to Python in Arrow batches of about ``size`` bytes, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; for ``local[*]`` without one, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import CACHE_PIECES, Cut, lead, special_strings, text_blocks, unsafe, with_special
-from .storage import new_path
+from .storage import bound_batches, new_path
 from .token_counts import byte_symbols
 
 MAGIC = b"DACT"
@@ -248,6 +248,7 @@ def write_codes(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
     into one, and a retried task writes files of other names, of which the list knows nothing.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or new_path(spark, "codes")
     slim = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     parts = 2 * max(1, docs.rdd.getNumPartitions())

@@ -9,7 +9,6 @@ its tokens.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Sequence
 from itertools import chain
 
@@ -22,7 +21,7 @@ from .words import word_numbers
 #: Length of the vectors, non-zero places of an index vector, and words either side that count as context.
 DIMS, PLACES, WINDOW = 64, 4, 2
 #: Pieces that a worker remembers before it starts afresh.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -58,15 +57,22 @@ def index_vectors(tokens: Sequence[str], dims: int = DIMS) -> np.ndarray:
 
 def fit_context(texts: Sequence[str], min_docs: int = 3, most: int = 50_000) -> dict[str, np.ndarray]:
     """Word vectors of the tokens that at least ``min_docs`` of the texts hold (the ``most`` frequent)."""
-    lists = [[t for p in x.split() for t in tokens_of(p)] for x in texts]
-    seen = Counter(chain.from_iterable(set(x) for x in lists))
-    words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= min_docs][:most]
-    number = {w: i + 1 for i, w in enumerate(words)}  # 0: any other token, which gives no context
+    known: dict[str, int] = {}
+    docs = [np.fromiter((known.setdefault(t, len(known)) for p in x.split() for t in tokens_of(p)), dtype=np.int32) for x in texts]
+    seen = np.zeros(len(known), dtype=np.int64)
+    for d in docs:
+        seen[np.unique(d)] += 1
+    tokens = list(known)
+    chosen = sorted(np.flatnonzero(seen >= min_docs).tolist(), key=lambda i: (-seen[i], tokens[i]))[:most]
+    words = [tokens[i] for i in chosen]
+    place = np.zeros(len(known), dtype=np.int64)  # 0: any other token, which gives no context
+    place[chosen] = np.arange(1, len(words) + 1)
+    del known, tokens
     index = np.zeros((len(words) + 1, DIMS), dtype=np.float32)
     index[1:] = index_vectors(words)
     context = np.zeros_like(index)
-    for x in lists:
-        at = np.fromiter((number.get(t, 0) for t in x), dtype=np.int64, count=len(x))
+    for d in docs:
+        at = place[d]
         around = np.zeros((len(at), DIMS), dtype=np.float32)
         for k in range(1, WINDOW + 1):
             around[k:] += index[at[:-k]]
@@ -77,7 +83,7 @@ def fit_context(texts: Sequence[str], min_docs: int = 3, most: int = 50_000) ->
             context[own] += np.add.reduceat(around[order], first, axis=0)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = index + context / np.maximum(norm, 1e-9)
-    return {w: vectors[i] for w, i in number.items()}
+    return {w: vectors[i] for i, w in enumerate(words, 1)}
 
 
 class Pooler:
