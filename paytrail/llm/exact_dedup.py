@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from .storage import bound_batches, shared_table
 
 #: Bytes by which a heavy prefix is extended in one round.
 STEP = 2
-#: Bytes of a heavy group's texts that are compared to skip its common prefix.
+#: First bytes of a text in a column of their own: rounds that need no more read nothing else.
+HEAD = 160
+#: Bytes of a heavy group's texts that are compared at least to skip its common prefix beyond ``HEAD``.
 LOOK = 1024
 
 
@@ -48,7 +50,8 @@ def radix_groups(values: list[bytes]) -> Iterator[list[int]]:
 
 
 def _local(batches: Iterator[pa.RecordBatch], buffer_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(id, text bytes) -> id, rep, n, bytes: the representative of a local group is its row with the largest id and alone has bytes."""
+    """(id, text bytes) -> id, rep, n, size, head, body: the representative of a local group is its row with the largest id and
+    alone has a size, its first ``HEAD`` bytes and all of them."""
     ids: list[int] = []
     texts: list[bytes] = []
     held = 0
@@ -60,7 +63,8 @@ def _local(batches: Iterator[pa.RecordBatch], buffer_bytes: int) -> Iterator[pa.
             for r in rows:
                 rep[r] = ids[top]
             n[top], body[top] = len(rows), texts[top]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(body, pa.binary())], names=["row_id", "rep", "n", "body"])
+        size, head = [None if b is None else len(b) for b in body], [None if b is None else b[:HEAD] for b in body]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(head, pa.binary()), pa.array(body, pa.binary())], names=["row_id", "rep", "n", "size", "head", "body"])
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -85,35 +89,40 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def heavy_prefixes(reps: DataFrame, leaf_bytes: int) -> tuple[dict[bytes, int], dict[bytes, int]]:
+def heavy_prefixes(reps: DataFrame, leaf_bytes: int | None) -> tuple[dict[bytes, int], dict[bytes, int]]:
     """(heavy, ended): prefixes whose texts exceed ``leaf_bytes``, each with the length of the prefixes that split it, and
     texts whose copies alone exceed it, numbered. Groups of up to 8 rows count as light whatever their size."""
-    spark, size = reps.sparkSession, F.octet_length("body")
+    spark, size = reps.sparkSession, F.col("size")
     whole = reps.agg(F.sum(size).alias("b"), F.count("*").alias("c")).first()
+    leaf_bytes = leaf_bytes or max(4 << 20, (whole["b"] or 0) // 400_000)
     heavy: dict[bytes, int] = {}
     ended: dict[bytes, int] = {}
     front = {b"": STEP} if (whole["b"] or 0) > leaf_bytes and whole["c"] > 8 else {}
     while front:
         heavy |= front
-        by_len: dict[tuple[int, int], list[bytes]] = {}
-        for p, n in front.items():
-            by_len.setdefault((len(p), n), []).append(p)
-        front = {}
-        for (m, n), prefixes in by_len.items():
-            here = spark.createDataFrame([(bytearray(p),) for p in prefixes], "__p binary")
-            inside = reps.withColumn("__p", F.expr(f"substring(body, 1, {m})")).join(F.broadcast(here), "__p")
-            parts = inside.withColumn("__c", F.expr(f"substring(body, 1, {n})"))
-            big = parts.groupBy("__c").agg(F.sum(size).alias("b"), F.count("*").alias("c"), F.max(size).alias("longest")).where((F.col("b") > leaf_bytes) & (F.col("c") > 8))
-            rows = big.select("__c", "longest").collect()
-            found = [bytes(r["__c"]) for r in rows if r["longest"] > n and len(r["__c"]) == n]
-            ended |= {bytes(r["__c"]): len(ended) + i for i, r in enumerate(r for r in rows if r["longest"] <= n)}
-            if not found:
+        now, front = front, {}
+        for short in (True, False):
+            own = [(len(p), bytearray(p), n) for p, n in now.items() if (n + 32 <= HEAD) == short]
+            if not own:
+                continue
+            # each text starts with at most one of the prefixes, of which there are at most (total bytes / leaf_bytes)
+            here = spark.createDataFrame(own, "m int, p binary, n int")
+            starts = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.expr(f"substring(__x, 1, {m})").alias("p")) for m in sorted({m for m, _, _ in own}))))
+            rows = reps.select("size", F.col("head" if short else "body").alias("__x")).withColumn("k", starts).select("size", "__x", "k.*")
+            parts = rows.join(F.broadcast(here), ["m", "p"]).select("size", "__x", "n", F.expr("substring(__x, 1, n)").alias("__c"))
+            big = parts.groupBy("__c", "n").agg(F.sum(size).alias("b"), F.count("*").alias("c"), F.max(size).alias("longest")).where((F.col("b") > leaf_bytes) & (F.col("c") > 8))
+            found = big.select("__c", "n", "longest").collect()
+            split = [(r["__c"], r["n"]) for r in found if r["longest"] > r["n"] and len(r["__c"]) == r["n"]]
+            for r in found:
+                if r["longest"] <= r["n"]:
+                    ended[bytes(r["__c"])] = len(ended)
+            if not split:
                 continue
             # the common prefix of a group is that of its least and its greatest text
-            grown, width = spark.createDataFrame([(bytearray(p),) for p in found], "__c binary"), max(LOOK, n)
-            look = parts.join(F.broadcast(grown), "__c").select("__c", F.expr(f"substring(body, {n + 1}, {width})").alias("w"))
-            for r in look.groupBy("__c").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).collect():
-                front[bytes(r["__c"])] = n + _common(bytes(r["lo"]), bytes(r["hi"])) + STEP
+            width = f"{HEAD} - n" if short else f"greatest({LOOK}, n)"
+            look = parts.join(F.broadcast(spark.createDataFrame(split, "__c binary, n int")), ["__c", "n"]).select("__c", "n", F.expr(f"substring(__x, n + 1, {width})").alias("w"))
+            for r in look.groupBy("__c", "n").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).collect():
+                front[bytes(r["__c"])] = r["n"] + _common(bytes(r["lo"]), bytes(r["hi"])) + STEP
     return heavy, ended
 
 
@@ -127,18 +136,20 @@ def leaf_of(text: bytes, heavy: dict[bytes, int]) -> bytes:
     return p
 
 
-def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int = 16 << 20, buffer_bytes: int = 16 << 20) -> DataFrame:
+def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: ``key``, ``keep_id`` (largest key of its equals), ``group_size``, ``kept``, ``text_sha256``.
 
     ``key`` is a distinct integer; rows with a null key take no part. A null text counts as empty, and all empty texts are
-    equal. Rows that repeat with the same key count each, and the first stays. ``text_sha256`` only labels the result. An
+    equal. A leaf has at most ``leaf_bytes`` of distinct texts (by default a 400,000th of all, 4 MB at least). Rows that repeat with the same key count each, and the first stays. ``text_sha256`` only labels the result. An
     empty table gives no rows; other columns may have any names.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    local = slim.select("row_id", F.encode("__t", "UTF-8").alias("body")).mapInArrow(lambda it: _local(it, buffer_bytes), "row_id long, rep long, n long, body binary")
+    local = slim.select("row_id", F.encode("__t", "UTF-8").alias("body")).mapInArrow(lambda it: _local(it, buffer_bytes), "row_id long, rep long, n long, size long, head binary, body binary")
     table = shared_table(local, "radix")
-    reps = table.where(F.col("n") > 0).select("row_id", "n", "body")
-    heavy, ended = heavy_prefixes(reps, leaf_bytes)
+    reps = table.where(F.col("n") > 0)
+    heavy, ended = heavy_prefixes(reps.select("size", "head", "body"), leaf_bytes)
+    reps = reps.select("row_id", "n", "body")
     sent = reps.sparkSession.sparkContext.broadcast((heavy, ended))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
