@@ -18,7 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,15 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_PIECES, Cut, lead, special_strings, text_blocks, unsafe, with_special
+from .pieces import Cut, lead, special_strings, text_blocks, unsafe, with_special
 from .storage import bound_batches, new_path
 from .token_counts import byte_symbols
 
 MAGIC = b"DACT"
+#: Distinct pieces whose ids a worker remembers before it starts afresh (about 200 bytes each).
+CACHE_PIECES = 1_000_000
+#: Bytes of text that are cut at once.
+BLOCK = 8_000_000
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BLOCK = 512
 #: Bits of the largest id.
@@ -81,9 +85,9 @@ class PieceEncoder:
         if not words:
             return
         stand_ins = (" " + "\n ".join(words)).encode("utf-8").decode("latin-1").translate(self.symbols).split("\n")
-        lists = [[t.id for t in self.lib.model.tokenize(x)] for x in stand_ins]
+        lists = list(map(self.lib.model.tokenize, stand_ins))
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        self._store(words, self.later, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes)
+        self._store(words, self.later, np.array([t.id for x in lists for t in x], dtype=np.uint32), sizes)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, equal to the library's for the whole text."""
@@ -93,7 +97,7 @@ class PieceEncoder:
         whole = with_special(texts, self.special)
         for i in whole:
             cut.empty(i)
-        number = np.fromiter((self.later.get(p, -1) for p in cut.later), dtype=np.int64, count=len(cut.later))
+        number = np.fromiter(map(self.later.get, cut.later, repeat(-1)), dtype=np.int64, count=len(cut.later))
         missing = np.flatnonzero(number < 0).tolist()
         if bad := {p for p in map(cut.later.__getitem__, missing) if unsafe(p)}:
             whole += cut.drop(bad)
@@ -266,7 +270,7 @@ def write_codes(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
         own, keys, lists, held, files = encoder(tokenizer), [], [], 0, []
         end, least = np.array([end_id], dtype=np.uint32), None
         for b in batches:
-            for s in text_blocks(b.column(1)):
+            for s in text_blocks(b.column(1), BLOCK):
                 if not files and not keys:
                     least = b.column(0)[s.start].as_py()
                 keys += b.column(0)[s].to_pylist()
