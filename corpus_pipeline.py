@@ -32,9 +32,10 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates that bring the domains' tokens to their targets say."""
+    """Documents as often as the rates that bring the domains' tokens to their targets say. The quality stage has removed the
+    low domain, so what is left of it keeps its share, and good and toxic have the rest in the targets' proportion."""
     release_tables(spark)
-    return mixing.resample(docs, registry.table(spark, sf_dir, "labels"))
+    return mixing.resample(docs, registry.table(spark, sf_dir, "labels"), mixing.GATED_TARGETS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

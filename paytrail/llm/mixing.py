@@ -4,10 +4,13 @@ A classifier learned from a labelled table gives every document posterior probab
 ``r`` of the documents are then fitted by least squares, so that the expected tokens of each domain, ``sum of r * tokens *
 posterior``, come to its target. The method is projected gradient, scaled by the documents' tokens and accelerated, from
 one common rate: what a task needs to know is one vector per round, so a round is one aggregate over (tokens, posteriors).
+Where that is slow, because a domain is rare, a last step projects the rates on those that meet the targets.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -25,6 +28,10 @@ from .words import word_numbers
 #: Domains of the production query, by the labels' columns, and the share of tokens that each is to have.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.93, "low": 0.04, "toxic": 0.03}
+#: For documents that have passed the quality gate, which leaves no low ones to raise: low stays as rare as it is.
+GATED_TARGETS = TARGETS | {"low": None}
+#: The share of all tokens by which a domain may be off its target.
+TOLERANCE = 1e-4
 
 
 def traits(words: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -125,12 +132,13 @@ def replay(p: np.ndarray, start: float, gradients: list[np.ndarray], momentum: l
     return r, y
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = None, top: float = 4.0, rounds: int = 60, tolerance: float = 1e-4) -> tuple[float, list[np.ndarray], list[float], np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = None, top: float = math.inf, rounds: int = 60, tolerance: float = TOLERANCE) -> tuple[float, list[np.ndarray], list[float], np.ndarray]:
     """(start, steps, momenta, expected domain tokens reached). ``total``: tokens of the mixture, by default all there are.
 
     One pass adds up the domains' tokens and the matrix of the problem, whose largest eigenvalue sets the step; every round
     is one pass that replays the rates and adds up their expected domain tokens. It ends once no domain is off by more than
-    ``tolerance`` of the total, or after ``rounds``.
+    ``tolerance`` of the total. After ``rounds`` the rest is one step, of a length that ``last_step`` finds; where it finds
+    none, no rates meet the targets, and those of the last round stand with what they reach.
     """
     d = len(targets)
     p = [F.col("posterior")[i] for i in range(d)]
@@ -150,6 +158,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = Non
         momentum.append(float((at - 1) / nxt))
         at = nxt
         reached, now = _expected(members, d, start, gradients, momentum, top)
+    if np.abs(reached - goal).max() > tolerance * total:
+        found = last_step(members, goal, start, gradients, momentum, top, tolerance * total)
+        if found is not None:
+            gradients.append(found[0])
+            momentum.append(0.0)
+            reached = found[1]
     return start, gradients, momentum, reached
 
 
@@ -168,23 +182,83 @@ def _expected(members: DataFrame, d: int, start: float, gradients: list[np.ndarr
     return tuple(np.array([r[f"s{i}"] for i in range(d)]) for r in rows)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None = None, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", rows: int = 4000, top: float = 4.0, prefix: str = "") -> DataFrame:
+def last_step(members: DataFrame, goal: np.ndarray, start: float, gradients: list[np.ndarray], momentum: list[float], top: float, within: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray] | None:
+    """(step, expected domain tokens reached): the step to the nearest rates, by squares weighted by tokens, that meet
+    ``goal``; None if there are none. Newton's method on the dual problem, which has a variable per domain and is convex; a
+    round is one pass that tries several lengths."""
+    d = len(goal)
+    g, way, lengths = np.zeros(d), np.zeros(d), [0.0]
+    value, slope = math.inf, 0.0
+    for _ in range(rounds):
+        tried = [g + s * way for s in lengths]
+        values = _trials(members, d, start, gradients, momentum, top, tried)
+        fair = [k for k, v in enumerate(values) if v[2] + tried[k] @ goal <= value + 1e-4 * lengths[k] * slope]
+        k = fair[0] if fair else int(np.argmin([v[2] + h @ goal for v, h in zip(values, tried, strict=True)]))
+        g, (reached, matrix, own) = tried[k], values[k]
+        if np.abs(reached - goal).max() <= within:
+            return g, reached
+        way = np.linalg.lstsq(matrix, reached - goal, rcond=1e-14)[0]
+        value, slope, lengths = own + g @ goal, (goal - reached) @ way, [0.5**k for k in range(8)]
+    return None
+
+
+def _trials(members: DataFrame, d: int, start: float, gradients: list[np.ndarray], momentum: list[float], top: float, tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each step: expected domain tokens, the matrix of documents whose rates are free, the dual's sum over documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(tried), d + d * d + 1))
+        for b in batches:
+            p, t = b.column(1).flatten().to_numpy().reshape(-1, d), b.column(0).to_numpy()
+            _, y = replay(p, start, gradients, momentum, top)
+            for k, g in enumerate(tried):
+                x = y - p @ g
+                r = np.clip(x, 0.0, top)
+                free = t * ((x > 0) & (x < top))
+                out[k] += np.r_[(r * t) @ p, ((p.T * free) @ p).ravel(), (t * r) @ (x - r / 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tried))), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["k", "s"])
+
+    parts = members.select("tokens", "posterior").mapInArrow(run, "k long, s array<double>")
+    rows = parts.groupBy("k").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d + d * d + 1))).orderBy("k").collect()
+    sums = [np.array(r[1:]) for r in rows]
+    return [(s[:d], s[d:-1].reshape(d, d), float(s[-1])) for s in sums]
+
+
+def goal_of(targets: Mapping[str, float | None], shares: np.ndarray) -> np.ndarray:
+    """Target shares of ``DOMAINS``, which add up to 1. A domain whose target is None keeps its share; the others have what
+    remains, in proportion."""
+    own = np.array([np.nan if targets[x] is None else targets[x] for x in DOMAINS], dtype=float)
+    kept = np.isnan(own)
+    if (own < 0).any() or np.nansum(own) <= 0:
+        raise ValueError("targets must be nonnegative, and one positive")
+    return np.where(kept, shares, own / np.nansum(own) * (1 - shares[kept].sum()))
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None] | None = None, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", rows: int = 4000, top: float = math.inf, prefix: str = "") -> DataFrame:
     """One row per input row: ``keep`` (default ``key``), ``tokens``, ``p_<domain>`` for each domain, ``rate`` (0 to
-    ``top``) and ``copies`` (the rate rounded up or down, at random by a hash of key and text, so that copies have the
-    rate as their mean). ``prefix`` stands before the names of the columns that are added.
+    ``top``), ``copies`` (the rate rounded up or down, at random by a hash of key and text, so that copies have the
+    rate as their mean) and ``off_<domain>`` (share of the tokens that the rates reach less that of the target, the same in
+    all rows). ``prefix`` stands before the names of the columns that are added.
+
+    A domain whose target is None keeps the share that it has. Where no nonnegative rates meet the targets, a warning says
+    by how much each domain is off, and the rates are those of the last round.
 
     A null, empty or blank text has one token (its end) and the posterior that the classifier gives to no words. Equal rows
     have equal rates; a null key is a key. Without labels the posteriors are equal. An empty table gives no rows.
     """
     targets = TARGETS if targets is None else targets
     keep = [key] if keep is None else keep
-    goal = np.array([targets[x] for x in DOMAINS], dtype=float)
-    if (goal < 0).any() or goal.sum() <= 0:
-        raise ValueError("targets must be nonnegative, and one positive")
+    goal_of(targets, np.zeros(len(DOMAINS)))
     salted = docs.withColumn("__hash", F.xxhash64(F.col(key), F.col(text)))
     members = shared_table(memberships(salted, fit(docs, labels, key, text, rows), [*keep, "__hash"], text), "members")
-    start, gradients, momentum, _ = fit_rates(members.select(F.col("__tokens").alias("tokens"), F.col("__posterior").alias("posterior")), goal, top=top)
-    names = [prefix + x for x in ("tokens", *(f"p_{x}" for x in DOMAINS), "rate", "copies")]
+    slim = members.select(F.col("__tokens").alias("tokens"), F.col("__posterior").alias("posterior"))
+    sums = slim.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(DOMAINS)))).first()
+    n, has = float(sums[0] or 1), np.array([x or 0.0 for x in sums[1:]])
+    goal = goal_of(targets, has / n)
+    start, gradients, momentum, reached = fit_rates(slim, goal, top=top)
+    off = reached / n - goal if sums[0] else np.zeros(len(goal))
+    if np.abs(off).max() > TOLERANCE:
+        warnings.warn("mixing: no rates meet the targets; token shares reached (targets): " + ", ".join(f"{x} {a:.5f} ({b:.5f})" for x, a, b in zip(DOMAINS, reached / n, goal, strict=True)), stacklevel=2)
+    names = [prefix + x for x in ("tokens", *(f"p_{x}" for x in DOMAINS), "rate", "copies", *(f"off_{x}" for x in DOMAINS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,14 +266,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None
             r, _ = replay(p, start, gradients, momentum, top)
             u = (b.column(b.schema.get_field_index("__hash")).to_numpy().view(np.uint64) >> np.uint64(11)) / 2.0**53
             cols = [b.column(i) for i in range(len(keep))] + [b.column(b.schema.get_field_index("__tokens"))] + [pa.array(p[:, i]) for i in range(len(goal))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(r), pa.array(np.floor(r + u).astype(np.int32))], names=[*keep, *names])
+            miss = [pa.array(np.full(len(r), x)) for x in off]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(r), pa.array(np.floor(r + u).astype(np.int32)), *miss], names=[*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    types = ["long", *("double" for _ in DOMAINS), "double", "int"]
+    types = ["long", *("double" for _ in DOMAINS), "double", "int", *("double" for _ in DOMAINS)]
     return members.mapInArrow(run, f"{kinds}, {', '.join(f'{a} {b}' for a, b in zip(names, types, strict=True))}")
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say, all columns."""
     rates = mix(docs, labels, targets, docs.columns, key, text, prefix="__mix_")
     often = rates.where(F.col("__mix_copies") > 0).withColumn("__c", F.explode(F.expr("sequence(1, __mix_copies)")))

@@ -133,3 +133,44 @@ def test_rates_against_a_plain_solver(spark):
         r, y, lead = new, new + (lead - 1) / nxt * (new - r), nxt
     assert np.allclose(mixing.replay(p, start, steps, momentum, 4.0)[0], r, atol=1e-8)
     assert np.abs(reached - goal * total).max() <= 1e-3 * total
+
+
+def test_rates_of_a_rare_domain_meet_its_target(spark):
+    rng = np.random.default_rng(8)
+    p = np.vstack([rng.dirichlet([8.0, 0.01, 0.2], 995), rng.dirichlet([0.2, 8.0, 0.2], 5)])
+    t = rng.integers(20, 300, 1000)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens long, posterior array<double>")
+    goal = np.array([0.85, 0.12, 0.03])
+    start, steps, momentum, reached = mixing.fit_rates(df, goal)
+    rate = mixing.replay(p, start, steps, momentum, np.inf)[0]
+    assert (rate >= 0).all() and rate.max() > 4
+    assert np.allclose((rate * t) @ p, reached) and np.abs(reached / t.sum() - goal).max() <= 1e-4
+
+
+def test_mixing_reports_a_target_that_cannot_be_met(spark, tables):
+    docs, labels, _ = tables
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        rows = mixing.mix(docs.limit(50), labels.limit(0), {"good": 0.9, "low": 0.1, "toxic": 0.0}).collect()
+    assert all(r.off_good < -0.3 and r.off_toxic > 0.3 for r in rows)
+    own = mixing.mix(docs, labels, {"good": 0.8, "low": None, "toxic": 0.2}).collect()
+    tokens, rate = np.array([r.tokens for r in own]), np.array([r.rate for r in own])
+    p = np.array([[r.p_good, r.p_low, r.p_toxic] for r in own])
+    low = (tokens @ p)[1] / tokens.sum()
+    assert np.abs((rate * tokens) @ p / tokens.sum() - np.array([0.8 * (1 - low), low, 0.2 * (1 - low)])).max() <= 2e-4
+    assert max(abs(x) for r in own for x in (r.off_good, r.off_low, r.off_toxic)) <= 1e-4
+
+
+def test_gated_documents_reach_the_targets_of_the_mixing_stage(spark, tables, monkeypatch):
+    import corpus_pipeline
+
+    docs, labels, _ = tables
+    seen, whole = [], mixing.mix
+    monkeypatch.setattr(corpus_pipeline.registry, "table", lambda *_: labels)
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1])
+    gated = quality.keep_good(docs, quality.fit(docs, labels))
+    corpus_pipeline.mixing_stage(spark, gated, "")
+    rows = [r.asDict() for r in seen[0].collect()]
+    n = sum(r["__mix_tokens"] for r in rows)
+    good, low, toxic = (sum(r["__mix_rate"] * r["__mix_tokens"] * r[f"__mix_p_{x}"] for r in rows) / n for x in mixing.DOMAINS)
+    assert abs(good + low + toxic - 1) < 3e-4 and abs(good / toxic - 31) < 0.5 and low < 0.04
+    assert all(abs(r[f"__mix_off_{x}"]) <= 1e-4 for r in rows for x in mixing.DOMAINS)
