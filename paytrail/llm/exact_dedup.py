@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import bound_batches, shared_table
 
@@ -49,31 +50,47 @@ def radix_groups(values: list[bytes]) -> Iterator[list[int]]:
                 todo.append((own, depth + width, min(2 * width, 4096)))
 
 
+def _rank(key: int | None, row: int) -> tuple[bool, int, int]:
+    """Order of equal rows: the greatest stays. A null key comes before all others; of one key's rows the first is greatest."""
+    return key is not None, key or 0, -row
+
+
 def _local(batches: Iterator[pa.RecordBatch], buffer_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(id, text bytes) -> id, rep, n, size, head, body: the representative of a local group is its row with the largest id and
-    alone has a size, its first ``HEAD`` bytes and all of them."""
+    """(row number, key, text bytes, and perhaps rest) -> row_id, key, rep, n, size, head, body, rest: the representative of a
+    local group is its greatest row by ``_rank`` and alone has a size, its first ``HEAD`` bytes, all of them, and a rest."""
     ids: list[int] = []
+    keys: list[int | None] = []
     texts: list[bytes] = []
+    rest: list[pa.Array] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
         rep, n, body = [0] * len(ids), [0] * len(ids), [None] * len(ids)
         for rows in radix_groups(texts):
-            top = max(rows, key=lambda r: ids[r])
+            top = max(rows, key=lambda r: _rank(keys[r], ids[r]))
             for r in rows:
                 rep[r] = ids[top]
             n[top], body[top] = len(rows), texts[top]
         size, head = [None if b is None else len(b) for b in body], [None if b is None else b[:HEAD] for b in body]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(head, pa.binary()), pa.array(body, pa.binary())], names=["row_id", "rep", "n", "size", "head", "body"])
+        cols = {"row_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "rep": pa.array(rep, pa.int64()), "n": pa.array(n, pa.int64()), "size": pa.array(size, pa.int64()), "head": pa.array(head, pa.binary()), "body": pa.array(body, pa.binary())}
+        if rest:
+            cols["rest"] = pa.concat_arrays(rest).take(pa.array([r if n[r] else None for r in range(len(ids))], pa.int64()))
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        start = 0
+        for at, (i, k, t) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True), 1):
             ids.append(i)
+            keys.append(k)
             texts.append(t)
             held += len(t) + 64
+            if held >= buffer_bytes or at == b.num_rows:
+                if b.num_columns > 3:
+                    rest.append(b.column(3).slice(start, at - start))
+                start = at
             if held >= buffer_bytes:
                 yield flush()
-                ids, texts, held = [], [], 0
+                ids, keys, texts, rest, held = [], [], [], [], 0
     if ids:
         yield flush()
 
@@ -136,56 +153,75 @@ def leaf_of(text: bytes, heavy: dict[bytes, int]) -> bytes:
     return p
 
 
-def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20) -> DataFrame:
-    """One row per input row: ``key``, ``keep_id`` (largest key of its equals), ``group_size``, ``kept``, ``text_sha256``.
-
-    ``key`` is a distinct integer; rows with a null key take no part. A null text counts as empty, and all empty texts are
-    equal. A leaf has at most ``leaf_bytes`` of distinct texts (by default a 400,000th of all, 4 MB at least). Rows that repeat with the same key count each, and the first stays. ``text_sha256`` only labels the result. An
-    empty table gives no rows; other columns may have any names.
-    """
+def _groups(docs: DataFrame, key: str, text: str, carry: list[str], leaf_bytes: int | None, buffer_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups). ``rows``: what ``_local`` yields for each input row, numbered once by place, so that repeated keys stay
+    apart. ``groups``: for each representative ``rep`` its group's ``keep_row``, ``keep_id``, ``group_size``, ``text_sha256``."""
     bound_batches(docs.sparkSession)
-    slim = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    local = slim.select("row_id", F.encode("__t", "UTF-8").alias("body")).mapInArrow(lambda it: _local(it, buffer_bytes), "row_id long, rep long, n long, size long, head binary, body binary")
-    table = shared_table(local, "radix")
+    own = [F.monotonically_increasing_id().alias("row_id"), F.col(key).cast("long").alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body")]
+    kind = T.StructType.fromDDL("row_id long, key long, rep long, n long, size long, head binary, body binary")
+    if carry:
+        own.append(F.struct(F.col(text).isNull().alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))).alias("rest"))
+    slim = docs.select(*own)
+    if carry:
+        kind = kind.add("rest", slim.schema["rest"].dataType)
+    table = shared_table(slim.mapInArrow(lambda it: _local(it, buffer_bytes), kind), "radix")
     reps = table.where(F.col("n") > 0)
     heavy, ended = heavy_prefixes(reps.select("size", "head", "body"), leaf_bytes)
-    reps = reps.select("row_id", "n", "body")
+    reps = reps.select("row_id", "key", "n", "body")
     sent = reps.sparkSession.sparkContext.broadcast((heavy, ended))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, ended = sent.value
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column(3).to_pylist()
             own = [ended.get(t) if ended else None for t in texts]
             leaf = [leaf_of(t, heavy) if e is None else None for t, e in zip(texts, own, strict=True)]
             body = [t if e is None else None for t, e in zip(texts, own, strict=True)]
             sha = [None if e is None else hashlib.sha256(t).hexdigest() for t, e in zip(texts, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.binary()), pa.array(own, pa.int64()), b.column(0), b.column(1), pa.array(body, pa.binary()), pa.array(sha, pa.string())], names=["leaf", "ended", "row_id", "n", "body", "sha"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.binary()), pa.array(own, pa.int64()), b.column(0), b.column(1), b.column(2), pa.array(body, pa.binary()), pa.array(sha, pa.string())], names=["leaf", "ended", "row_id", "key", "n", "body", "sha"])
 
     def finish(rows: pa.Table) -> pa.Table:
-        ids, n, body = rows["row_id"].to_pylist(), rows["n"].to_pylist(), rows["body"].to_pylist()
+        ids, keys, n, body = (rows[c].to_pylist() for c in ("row_id", "key", "n", "body"))
         out: list[tuple] = []
         for own in radix_groups(body):
-            keep, size = max(ids[r] for r in own), sum(n[r] for r in own)
+            top, size = max(own, key=lambda r: _rank(keys[r], ids[r])), sum(n[r] for r in own)
             sha = hashlib.sha256(body[own[0]]).hexdigest()
-            out += [(ids[r], keep, size, sha) for r in own]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.table({k: pa.array([x[i] for x in out], kinds[i]) for i, k in enumerate(("rep", "keep_id", "group_size", "text_sha256"))})
+            out += [(ids[r], ids[top], keys[top], size, sha) for r in own]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        return pa.table({k: pa.array([x[i] for x in out], kinds[i]) for i, k in enumerate(("rep", "keep_row", "keep_id", "group_size", "text_sha256"))})
 
-    routed = reps.mapInArrow(route, "leaf binary, ended long, row_id long, n long, body binary, sha string")
+    routed = reps.mapInArrow(route, "leaf binary, ended long, row_id long, key long, n long, body binary, sha string")
     if ended:
         routed = shared_table(routed, "radix-leaves")
-    final = routed.where(F.col("leaf").isNotNull()).groupBy("leaf").applyInArrow(finish, "rep long, keep_id long, group_size long, text_sha256 string")
+    final = routed.where(F.col("leaf").isNotNull()).groupBy("leaf").applyInArrow(finish, "rep long, keep_row long, keep_id long, group_size long, text_sha256 string")
     if ended:
         over = routed.where(F.col("ended").isNotNull())
-        whole = over.groupBy("ended").agg(F.max("row_id").alias("keep_id"), F.sum("n").alias("group_size"), F.first("sha").alias("text_sha256"))
+        top = F.max(F.struct(F.col("key").isNotNull().alias("has"), F.col("key"), (-F.col("row_id")).alias("row")))
+        whole = over.groupBy("ended").agg(top.alias("top"), F.sum("n").alias("group_size"), F.first("sha").alias("text_sha256"))
+        whole = whole.select("ended", (-F.col("top.row")).alias("keep_row"), F.col("top.key").alias("keep_id"), "group_size", "text_sha256")
         # one row for each text in ``ended``, of which there are at most (total bytes / leaf_bytes)
         final = final.unionByName(over.select("ended", F.col("row_id").alias("rep")).join(F.broadcast(whole), "ended").drop("ended"))
-    out = table.select("row_id", "rep").join(final, "rep")
-    return out.select(F.col("row_id").alias(key), "keep_id", "group_size", (F.col("row_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return table, final
+
 
+def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20) -> DataFrame:
+    """One row per input row: ``key``, ``keep_id`` (largest key of its equals), ``group_size``, ``kept``, ``text_sha256``.
 
-def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``equal_groups`` keeps, all columns."""
-    kept = equal_groups(docs, key, text).where("kept").select(key)
-    return docs.join(kept, key, "left_semi").select(docs.columns)
+    ``key`` is an integer; rows with a null key take no part. A null text counts as empty, and all empty texts are
+    equal. A leaf has at most ``leaf_bytes`` of distinct texts (by default a 400,000th of all, 4 MB at least). Rows that repeat with the same key count each, and the first
+    stays: each group has one row that is ``kept``. ``text_sha256`` only labels the result. An
+    empty table gives no rows; other columns may have any names.
+    """
+    table, final = _groups(docs.where(F.col(key).isNotNull()), key, text, [], leaf_bytes, buffer_bytes)
+    out = table.select("row_id", "key", "rep").join(final, "rep")
+    return out.select(F.col("key").alias(key), "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
+
+
+def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20) -> DataFrame:
+    """One row of ``docs`` for each text, the one that ``equal_groups`` keeps, all columns. A row that stays is its own
+    representative, so it comes from the rows that are written anyway."""
+    carry = [c for c in docs.columns if c != text]
+    table, final = _groups(docs.where(F.col(key).isNotNull()), key, text, carry, leaf_bytes, buffer_bytes)
+    kept = final.where(F.col("rep") == F.col("keep_row")).select(F.col("rep").alias("row_id"))
+    own = {c: F.col(f"rest.c{i}") for i, c in enumerate(carry)} | {text: F.when(~F.col("rest.none"), F.col("body").cast("string"))}
+    return table.where(F.col("n") > 0).join(kept, "row_id", "left_semi").select(*(own[c].alias(c) for c in docs.columns))

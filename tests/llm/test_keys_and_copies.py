@@ -178,3 +178,20 @@ def test_nearest_neighbours_of_small_tables(spark):
     few = ann.nearest(vectors(spark, [(0, [1.0, 0.0], 0, "t"), (1, [0.0, 1.0], 0, "t"), (2, [1.0, 1.0], 0, "t")]), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id) for r in sorted(few)] == [(1, 2), (2, 1)]
     assert ann.nearest(vectors(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("leaf,buffer", [(None, 8 << 20), (200, 100), (1, 1)])
+def test_exact_dedup_of_repeated_rows(spark, leaf, buffer):
+    rows = [(7, "the same row")] * 12 + [(8, "kept for this text"), (8, "lost here"), (9, "lost here")]
+    df = docs(spark, rows).repartition(3)
+    out = exact_dedup.equal_groups(df, leaf_bytes=leaf, buffer_bytes=buffer).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(7, 7, 12)] * 12 + [(8, 8, 1), (8, 9, 2), (9, 9, 2)]
+    assert sorted(r.doc_id for r in out if r.kept) == [7, 8, 9]
+    kept = exact_dedup.drop_duplicates(df, leaf_bytes=leaf, buffer_bytes=buffer)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text, r.n) for r in kept.collect()) == [(7, "the same row", "c"), (8, "kept for this text", "c"), (9, "lost here", "c")]
+
+
+def test_ngram_join_keeps_one_of_repeated_rows(spark):
+    rows = [(4, "a b c d e f g")] * 3 + [(4, "quite another text of the same key here"), (2, "A b c d e f g"), (9, None), (9, None)]
+    kept = ngram_join.keep_one(docs(spark, rows).repartition(3)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(2, "A b c d e f g"), (4, "quite another text of the same key here"), (9, ""), (9, "")]
