@@ -204,24 +204,26 @@ def _groups(docs: DataFrame, key: str, text: str, carry: list[str], leaf_bytes:
     return table, final
 
 
-def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20) -> DataFrame:
+def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20, null_keys: bool = False) -> DataFrame:
     """One row per input row: ``key``, ``keep_id`` (largest key of its equals), ``group_size``, ``kept``, ``text_sha256``.
 
-    ``key`` is an integer; rows with a null key take no part. A null text counts as empty, and all empty texts are
+    ``key`` is an integer. Rows with a null key take part if ``null_keys`` says so, as in the query and the pipeline: they are
+    grouped and counted like any other, and null is the smallest key. A null text counts as empty, and all empty texts are
     equal. A leaf has at most ``leaf_bytes`` of distinct texts (by default a 400,000th of all, 4 MB at least). Rows that repeat with the same key count each, and the first
     stays: each group has one row that is ``kept``. ``text_sha256`` only labels the result. An
     empty table gives no rows; other columns may have any names.
     """
-    table, final = _groups(docs.where(F.col(key).isNotNull()), key, text, [], leaf_bytes, buffer_bytes)
+    table, final = _groups(docs if null_keys else docs.where(F.col(key).isNotNull()), key, text, [], leaf_bytes, buffer_bytes)
     out = table.select("row_id", "key", "rep").join(final, "rep")
     return out.select(F.col("key").alias(key), "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf_bytes: int | None = None, buffer_bytes: int = 8 << 20) -> DataFrame:
-    """One row of ``docs`` for each text, the one that ``equal_groups`` keeps, all columns. A row that stays is its own
+    """One row of ``docs`` for each text, the one that ``equal_groups`` keeps, all columns; one with a null key only if no
+    equal row has a key. A row that stays is its own
     representative, so it comes from the rows that are written anyway."""
     carry = [c for c in docs.columns if c != text]
-    table, final = _groups(docs.where(F.col(key).isNotNull()), key, text, carry, leaf_bytes, buffer_bytes)
+    table, final = _groups(docs, key, text, carry, leaf_bytes, buffer_bytes)
     kept = final.where(F.col("rep") == F.col("keep_row")).select(F.col("rep").alias("row_id"))
     own = {c: F.col(f"rest.c{i}") for i, c in enumerate(carry)} | {text: F.when(~F.col("rest.none"), F.col("body").cast("string"))}
     return table.where(F.col("n") > 0).join(kept, "row_id", "left_semi").select(*(own[c].alias(c) for c in docs.columns))

@@ -215,10 +215,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each near-duplicate class, all columns: that with the least key and, of one key's rows, the
-    first. Rows are numbered once by place, so rows that repeat a key are told apart. Rows with a null key are left out."""
+    first; one with a null key only if no row of the class has a key. Rows are numbered once by place and compared under their
+    numbers, so rows that repeat a key, or have none, are told apart."""
     number = "__near_row"
-    rows = shared_table(docs.where(F.col(key).isNotNull()).withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = shared_table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     classes = near_classes(rows, number, text, **options).select(number, "class_id")
-    least = F.min(F.struct(F.col(key).alias("k"), F.col(number).alias("row")))
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(number).alias("row")))
     kept = classes.join(rows.select(number, key), number).groupBy("class_id").agg(least.alias("least")).select(F.col("least.row").alias(number))
     return rows.join(kept, number, "left_semi").select(docs.columns)

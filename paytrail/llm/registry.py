@@ -48,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.equal_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.equal_groups(table(spark, sf_dir, "documents"), null_keys=True)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

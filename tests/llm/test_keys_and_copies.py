@@ -195,3 +195,19 @@ def test_ngram_join_keeps_one_of_repeated_rows(spark):
     rows = [(4, "a b c d e f g")] * 3 + [(4, "quite another text of the same key here"), (2, "A b c d e f g"), (9, None), (9, None)]
     kept = ngram_join.keep_one(docs(spark, rows).repartition(3)).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept) == [(2, "A b c d e f g"), (4, "quite another text of the same key here"), (9, ""), (9, "")]
+
+
+def test_rows_without_a_key_stay(spark, monkeypatch):
+    from paytrail.llm import registry
+
+    rows = [(None, "only here"), (None, "twice, without a key"), (None, "twice, without a key"), (None, "with a key too"), (-5, "with a key too"), (None, None)]
+    df = docs(spark, rows).repartition(3)
+    monkeypatch.setattr(registry, "table", lambda *_: df)
+    out = registry.op8_exact_dedup(spark, "").collect()
+    assert len(out) == len(rows)
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in out) == [(-5, -5, 2, True), (0, -5, 2, False), (0, 0, 1, True), (0, 0, 1, True), (0, 0, 2, False), (0, 0, 2, True)]
+    kept = exact_dedup.drop_duplicates(df)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(-5, "with a key too"), (0, ""), (0, "only here"), (0, "twice, without a key")]
+    near = [(None, "a b c d e f g"), (3, "A b c d e f g"), (None, "other words"), (None, "Other words"), (None, "clean")]
+    got = ngram_join.keep_one(docs(spark, near).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == [(0, "clean"), (0, "other words"), (3, "a b c d e f g")]
