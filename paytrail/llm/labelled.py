@@ -7,29 +7,45 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bound_batches
+
 
 def fold(key: str, folds: int = 5) -> Column:
     """crc32 of the key's text, modulo ``folds``; 0 is held out. A null key is in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", rows: int = 4000, chars: int = 16_000_000) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", rows: int = 4000, chars: int = 30_000_000) -> DataFrame:
     """Whole texts of labelled rows that aren't held out: ``text``, ``columns`` of ``labels`` and ``fold``, in one partition.
 
-    A sample of at most ``rows`` rows, in the order of a hash of the key, cut where their texts pass ``chars`` characters.
+    A sample of at most ``rows`` rows that ``docs`` has, in the order of a hash of the key. Their texts have ``chars`` characters
+    at most: one that exceeds what is left of them is passed over, and those after it have their turn.
     Rows with a null label or key are left out; a key that repeats counts once, with the label that sorts first.
     """
     own = labels.select(F.col(key).alias("k"), *columns).where(F.col("k").isNotNull()).dropna()
     own = own.groupBy("k").agg(*(F.min(c).alias(c) for c in columns)).withColumn("fold", fold("k")).where("fold <> 0")
-    chosen = own.orderBy(F.xxhash64("k"), "k").limit(rows)
+    held = docs.select(F.col(key).alias("k"))
+    chosen = own.join(held, "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(rows)
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # the sample has at most ``rows`` rows
     found = texts.join(F.broadcast(chosen), "k").groupBy("k", *columns, "fold").agg(F.min("text").alias("text"))
-    size = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("k"), "k"))
-    return found.withColumn("size", size).where(F.col("size") <= chars).select("text", *columns, "fold")
+    bound_batches(docs.sparkSession)
+    found = found.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k").select("text", *columns, "fold")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = chars
+        for b in batches:
+            own = []
+            for n in pc.utf8_length(b.column(0)).to_pylist():
+                own.append(n <= left)
+                left -= n if own[-1] else 0
+            yield b.filter(pa.array(own, pa.bool_()))
+
+    return found.mapInArrow(within, found.schema)
 
 
 class Packed:

@@ -285,7 +285,7 @@ def _build(rows: list[dict]) -> Network:
     return train([r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows], dtype=np.int64), np.array([r["fold"] == 1 for r in rows], dtype=bool))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 4000) -> Packed:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 6000) -> Packed:
     """A network for ``labels.toxic``, from at most ``rows`` labelled rows outside fold 0; fold 1 scales the scores."""
     return fit_in_task(labelled_texts(docs, labels, ["toxic"], key, text, rows), _build)
 

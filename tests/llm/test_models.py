@@ -174,3 +174,11 @@ def test_gated_documents_reach_the_targets_of_the_mixing_stage(spark, tables, mo
     good, low, toxic = (sum(r["__mix_rate"] * r["__mix_tokens"] * r[f"__mix_p_{x}"] for r in rows) / n for x in mixing.DOMAINS)
     assert abs(good + low + toxic - 1) < 3e-4 and abs(good / toxic - 31) < 0.5 and low < 0.04
     assert all(abs(r[f"__mix_off_{x}"]) <= 1e-4 for r in rows for x in mixing.DOMAINS)
+
+
+def test_sample_passes_over_long_texts_and_labels_without_a_document(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 10 == 3 else 10)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int")
+    whole = labelled.labelled_texts(docs, labels, ["quality"], rows=100).collect()
+    short = labelled.labelled_texts(docs, labels, ["quality"], rows=100, chars=1000).collect()
+    assert len(whole) > 60 and len(short) == sum(len(r["text"]) == 10 for r in whole)
