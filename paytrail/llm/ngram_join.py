@@ -178,7 +178,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     members = linked.join(classes.select(F.col("rep").alias("node"), "size", "n_grams"), "node")
     weight = members.groupBy("root").agg(F.sum("n_grams").alias("g")).withColumn("nb", F.ceil(F.col("g") / block_grams).cast("int"))
     info = shared_table(members.join(weight, "root").select(F.col("node").alias("rep"), "root", "size", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk")), "members")
-    small = info.count() <= BROADCAST_ROWS
+    held = info.agg(F.count("*").alias("rows"), F.max("nb").alias("blocks")).first()
+    small = held["rows"] <= BROADCAST_ROWS
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(n)
@@ -197,7 +198,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     compared = pairs.groupBy("root", "i", "j").applyInArrow(lambda t: _compare(t, threshold), "rep long, root long, links long")
     found = shared_table(compared, "compared")
     # a component in one block has its root; those of several blocks are joined through their blocks' roots
-    roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))) if info.where("nb > 1").limit(1).count() else None
+    roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))) if (held["blocks"] or 0) > 1 else None
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root0"))
     if roots is not None:
         links = links.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

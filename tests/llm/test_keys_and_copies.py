@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,7 +77,8 @@ def test_shard_weights(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 5])
+def test_components_against_union_find(spark, one_task):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, None), (7, 7)]
     parent = {}
@@ -91,9 +93,26 @@ def test_components_against_union_find(spark):
         if b is not None and a != b:
             p, q = sorted((find(a), find(b)))
             parent[q] = p
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), one_task).collect()}
     assert got == {x: find(x) for x in parent}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40), st.integers(2, 9))
+def test_forests_of_a_task_join_what_its_edges_join(edges, held):
+    edges = [(a, b) for a, b in edges if a != b]
+
+    def roots(pairs):
+        root = {x: x for e in pairs for x in e}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges[i : i + 5]], pa.int64()) for k in (0, 1)], names=["a", "b"]) for i in range(0, len(edges), 5)]
+    kept = [e for b in components._forests(iter(batches), held) for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert roots(kept) == roots(edges) and len(kept) <= len(edges)
 
 
 def test_bands_reach_the_recall():
