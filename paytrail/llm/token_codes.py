@@ -27,23 +27,72 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Cut, lead, special_strings, text_blocks, unsafe, with_special
+from .pieces import Cut, special_strings, text_blocks, unsafe, with_special
 from .storage import bound_batches, new_path
 from .token_counts import byte_symbols
 
 MAGIC = b"DACT"
-#: Distinct pieces whose ids a worker remembers before it starts afresh (about 200 bytes each).
-CACHE_PIECES = 1_000_000
+#: Distinct pieces whose ids a worker remembers before it starts afresh, keeping these in reach (about 200 bytes each).
+CACHE_PIECES = 500_000
 #: Bytes of text that are cut at once.
 BLOCK = 8_000_000
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BLOCK = 512
-#: Bits of the largest id.
-ID_BITS = 17
+#: Marks that, behind letters and before white space, make a pre-token of their own; an apostrophe may belong to the letters.
+MARKS = ".,;:!?"
+#: All pieces at which a text can't be cut, and perhaps others.
+UNCUT = r"^\n?(\pZ|[\t-\r\x1c-\x1f\x{85}]|$)"
+
+
+class Pieces:
+    """Ids of numbered pieces in a ragged array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 18, dtype=np.uint32), 0
+        self.starts, self.sizes, self.count = np.empty(1 << 15, dtype=np.int64), np.empty(1 << 15, dtype=np.int64), 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Their numbers."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.count + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        own = np.arange(self.count, self.count + len(pieces))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.number.update(zip(pieces, own.tolist(), strict=True))
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+        return own
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered pieces, one after the other, how many each has); a negative number has none."""
+        sizes = np.where(at >= 0, self.sizes[at], 0)
+        ends = np.cumsum(sizes)
+        shift = np.where(at >= 0, self.starts[at], 0) - (ends - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+def _joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of pieces whose first part, second part and so on are given as (ids, sizes)."""
+    sizes = np.stack([n for _, n in parts])
+    total = sizes.sum(axis=0)
+    at = np.cumsum(total) - total + np.cumsum(sizes, axis=0) - sizes  # where each part starts
+    out = np.empty(int(total.sum()), dtype=np.uint32)
+    for (ids, n), start in zip(parts, at, strict=True):
+        out[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return out, total
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library; remembers the ids of pieces in a ragged array."""
+    """Ids of whole texts by the tokenizers library; remembers the ids of pieces.
+
+    ``later``: pieces that follow a space or start with a line feed; ``bare``: pieces with nothing before them; ``old``: the
+    later ones remembered before, from which those that come again are taken over.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,74 +102,104 @@ class PieceEncoder:
 
         self.lib, self.special = Tokenizer.from_file(path), special_strings(path)
         self.symbols = {b: c for b, c in enumerate(byte_symbols()) if b != 10}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
-        self.starts, self.sizes, self.count = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64), 0
+        self.later, self.old, self.bare = Pieces(), Pieces(), Pieces()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _store(self, pieces: list[str], known: dict[str, int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.count + len(sizes) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.count : self.count + len(sizes)] = sizes
-        known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
-        self.used, self.count = self.used + len(ids), self.count + len(sizes)
-
-    def _learn(self, pieces: list[str], known: dict[str, int], prefix=lead) -> None:
-        lists = self._encode([prefix(p) + p for p in pieces])
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        self._store(pieces, known, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes)
+        return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Pieces of letters alone, each one pre-token, straight through the library's model."""
+    def _words(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters alone behind ``before``, each one pre-token, straight through the library's model."""
         if not words:
-            return
-        stand_ins = (" " + "\n ".join(words)).encode("utf-8").decode("latin-1").translate(self.symbols).split("\n")
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        stand_ins = (before + ("\n" + before).join(words)).encode("utf-8").decode("latin-1").translate(self.symbols).split("\n")
         lists = list(map(self.lib.model.tokenize, stand_ins))
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        self._store(words, self.later, np.array([t.id for x in lists for t in x], dtype=np.uint32), sizes)
+        return np.fromiter((t.id for x in lists for t in x), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _learn(self, pieces: list[str], known: Pieces, before: str) -> np.ndarray:
+        """Numbers of new pieces that stand behind ``before``. Letters with marks behind them are two pre-tokens, so their
+        ids are those of the letters and those of the marks."""
+        texts = pa.array(pieces, pa.large_string())
+        stems = pc.utf8_rtrim(texts, MARKS)
+        plain = pc.utf8_is_alpha(stems)
+        some = plain.to_numpy(zero_copy_only=False)
+        coded = stems.filter(plain).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        word = known.find(words)
+        fresh = np.flatnonzero(word < 0)
+        own = list(map(words.__getitem__, fresh.tolist()))
+        word[fresh] = known.add(own, *self._words(own, before))
+        number = np.full(len(pieces), -1, dtype=np.int64)
+        number[some] = word[coded.indices.to_numpy()]
+        marked = np.flatnonzero(some & (pc.binary_length(texts).to_numpy() > pc.binary_length(stems).to_numpy()))
+        if len(marked):
+            own = list(map(pieces.__getitem__, marked.tolist()))
+            ends = [p[n:] for p, n in zip(own, pc.utf8_length(stems.take(pa.array(marked))).to_pylist(), strict=True)]
+            marks = Pieces()
+            marks.add(kinds := list(set(ends)), *self._encode(kinds))
+            number[marked] = known.add(own, *_joined(known.ids(number[marked]), marks.ids(marks.find(ends))))
+        rest = np.flatnonzero(~some)
+        own = list(map(pieces.__getitem__, rest.tolist()))
+        number[rest] = known.add(own, *self._encode([before + p for p in own]))
+        return number
+
+    def _bare(self, pieces: list[str]) -> np.ndarray:
+        if new := list(set(pieces) - self.bare.number.keys()):
+            self._learn(new, self.bare, "")
+        return self.bare.find(pieces)
+
+    def _later(self, pieces: list[str]) -> tuple[np.ndarray, set[str]]:
+        """(numbers of later pieces, those at which a text can't be cut, which have none)."""
+        number = self.later.find(pieces)
+        missing = np.flatnonzero(number < 0)
+        own = list(map(pieces.__getitem__, missing.tolist()))
+        was = self.old.find(own)
+        again = missing[was >= 0]
+        number[again] = self.later.add(list(map(pieces.__getitem__, again.tolist())), *self.old.ids(was[was >= 0]))
+        missing = missing[was < 0]
+        texts = pa.array(list(map(pieces.__getitem__, missing.tolist())), pa.large_string())
+        doubt = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
+        bad = {p for i in missing[doubt].tolist() if unsafe(p := pieces[i])}
+        if bad:
+            fine = np.array([pieces[i] not in bad for i in missing.tolist()], dtype=bool)
+            missing, texts = missing[fine], texts.filter(pa.array(fine))
+        line = pc.starts_with(texts, "\n").to_numpy(zero_copy_only=False)
+        spaced, lines = missing[~line], missing[line]
+        number[spaced] = self._learn(list(map(pieces.__getitem__, spaced.tolist())), self.later, " ")
+        # the line feed is a token of its own
+        own = list(map(pieces.__getitem__, lines.tolist()))
+        feed = np.repeat(self._encode(["\n"])[0], len(own)), np.ones(len(own), np.int64)
+        number[lines] = self.later.add(own, *_joined(feed, self.bare.ids(self._bare([p[1:] for p in own]))))
+        return number, bad
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, equal to the library's for the whole text."""
-        if self.count > CACHE_PIECES:
-            self._reset()
+        if self.later.count > CACHE_PIECES:
+            self.old, self.later = self.later, Pieces()
+        if self.bare.count > CACHE_PIECES:
+            self.bare = Pieces()
         cut = Cut(texts)
         whole = with_special(texts, self.special)
         for i in whole:
             cut.empty(i)
-        number = np.fromiter(map(self.later.get, cut.later, repeat(-1)), dtype=np.int64, count=len(cut.later))
-        missing = np.flatnonzero(number < 0).tolist()
-        if bad := {p for p in map(cut.later.__getitem__, missing) if unsafe(p)}:
+        number, bad = self._later(cut.later)
+        if bad:
             whole += cut.drop(bad)
-            missing = [i for i in missing if cut.later[i] not in bad]
-        self._learn(list(set(cut.first) - self.first.keys()), self.first, lambda p: "")
-        new = [cut.later[i] for i in missing]
-        letters = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
-        base = self.count
-        self._learn_words([p for p, x in zip(new, letters.tolist(), strict=True) if x])
-        self._learn([p for p, x in zip(new, letters.tolist(), strict=True) if not x], self.later)
-        number[np.array(missing, dtype=np.int64)[np.argsort(~letters, kind="stable")]] = base + np.arange(len(new))
-        head, on = cut.bounds[:-1], cut.at >= 0
+        first = self._bare(cut.first)
         at = np.full(len(cut.at), -1, dtype=np.int64)
+        on = cut.at >= 0
         at[on] = number[cut.at[on]]
-        at[head] = np.fromiter(map(self.first.__getitem__, cut.first), dtype=np.int64, count=len(cut.first))
-        sizes = np.where(at >= 0, self.sizes[at], 0)
-        ends = np.cumsum(sizes)
-        shift = np.where(at >= 0, self.starts[at], 0) - (ends - sizes)
-        ids = self.flat[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.r_[0, ends][cut.bounds]
-        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i, x in zip(whole, self._encode([texts[i].as_py() for i in whole]), strict=True):
-            out[i] = np.array(x, dtype=np.uint32)
+        ids, sizes = self.later.ids(at)
+        heads, length = self.bare.ids(first)
+        ends = np.r_[0, np.cumsum(sizes)][cut.bounds]
+        starts = np.cumsum(length) - length
+        out = [np.concatenate([heads[h : h + n], ids[a:b]]) for h, n, a, b in zip(starts.tolist(), length.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        if whole:
+            ids, sizes = self._encode([texts[i].as_py() for i in whole])
+            for i, x in zip(whole, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = x
         return out
 
 
@@ -156,14 +235,14 @@ def unpack_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths (up to three levels) with the fewest bits in all."""
-    above = len(ids) - np.cumsum(np.bincount(ids, minlength=1 << ID_BITS))
-    over = [int(above[(1 << k) - 1]) for k in range(ID_BITS + 1)]  # ids of more than k bits
     top = max(1, int(ids.max(initial=1)).bit_length())
+    each = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=top + 1)  # ids by their number of bits
+    over = (len(ids) - np.cumsum(each)).tolist()  # ids of more than k bits
     best, widths = math.inf, [top]
     for cuts in chain.from_iterable(combinations(range(1, top), k) for k in (0, 1, 2)):
         edges, cost = [0, *cuts, top], 0.0
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            n = len(ids) if i == 0 else int(over[a])
+            n = len(ids) if i == 0 else over[a]
             cost += n * (b - a + (1 + 32 / RANK_BLOCK) * (b < top))
         if cost < best:
             best, widths = cost, [b - a for a, b in zip(edges[:-1], edges[1:], strict=True)]
