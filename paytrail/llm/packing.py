@@ -1,9 +1,9 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Pieces go, longest first, into the open bin with the least room that still holds them. Where none does, a new bin is
-opened; which size is the joint choice: every permitted size is tried as the usual one (pieces that exceed it open the
-least size that holds them), every bin is then downsized to the least size that holds its contents, and the plan with the
-least total cost stays.
+Pieces go, longest first, into the open bin with the least room that still holds them. Where none does, a bin of the
+least-cost size is opened: for every permitted size that holds the piece, the pieces still to come are laid into it, each
+time the longest that fits, and the size whose contents cost least per token is taken. The sizes are thus chosen bin by
+bin, all together, against what is left to pack. In the end every bin is downsized to the least size that holds its contents.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .token_counts import count_tokens
 
 #: Permitted sequence lengths of the production query.
 SIZES = (512, 1024, 2048, 4096, 8192)
+#: Rows that repeat key and text and are dealt to one group together.
+COPIES = 16
 
 
 def sequence_cost(size: int) -> float:
@@ -29,12 +31,26 @@ def sequence_cost(size: int) -> float:
     return size * (1 + size / 65536) + 32
 
 
-def best_fit(lengths: Sequence[int], sizes: Sequence[int], usual: int) -> tuple[list[int], list[int]]:
-    """(bin of each length, contents of each bin) by best fit in the given order; ``usual`` is the size that new bins get."""
+def prospect(lengths: Sequence[int], order: Sequence[int], at: int, size: int) -> int:
+    """Tokens in a bin of ``size`` that holds piece ``at`` and, of the later pieces, always the longest that fits next.
+    ``lengths`` descend, ``order`` are their negatives."""
+    left, nxt = size - lengths[at], at + 1
+    while left and (nxt := bisect.bisect_left(order, -left, nxt)) < len(lengths):
+        left -= lengths[nxt]
+        nxt += 1
+    return size - left
+
+
+def pack_lengths(lengths: Sequence[int], sizes: Sequence[int], cost=sequence_cost) -> tuple[list[int], list[int]]:
+    """(bin of each length, size of each bin) for descending lengths by best fit; a new bin has the size whose prospect costs
+    least per token, ties go to the smaller one; bins are downsized at last."""
+    sizes = sorted(sizes)
+    least = lambda n: sizes[bisect.bisect_left(sizes, n)]
+    order = [-n for n in lengths]
     room: dict[int, list[int]] = {}  # open bins by the room left
     rooms: list[int] = []  # its keys, ascending
     bins, filled = [], []
-    for n in lengths:
+    for i, n in enumerate(lengths):
         at = bisect.bisect_left(rooms, n)
         if at < len(rooms):
             left = rooms[at]
@@ -42,7 +58,8 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], usual: int) -> tuple[
             if not room[left]:
                 del room[left], rooms[at]
         else:
-            own, left = len(filled), max(usual, sizes[bisect.bisect_left(sizes, n)])
+            may = {s: prospect(lengths, order, i, s) for s in sizes[bisect.bisect_left(sizes, n) :]}
+            own, left = len(filled), min(may, key=lambda s: (cost(least(may[s])) / may[s], s))
             filled.append(0)
         bins.append(own)
         filled[own] += n
@@ -52,20 +69,7 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], usual: int) -> tuple[
                 room[left] = []
                 bisect.insort(rooms, left)
             room[left].append(own)
-    return bins, filled
-
-
-def pack_lengths(lengths: Sequence[int], sizes: Sequence[int], cost=sequence_cost) -> tuple[list[int], list[int]]:
-    """(bin of each length, size of each bin): the least-cost plan over all usual sizes; ties go to the larger usual size."""
-    sizes = sorted(sizes)
-    best = None
-    for usual in reversed(sizes):
-        bins, filled = best_fit(lengths, sizes, usual)
-        final = [sizes[bisect.bisect_left(sizes, f)] for f in filled]
-        total = sum(map(cost, final))
-        if best is None or total < best[0]:
-            best = (total, bins, final)
-    return best[1], best[2]
+    return bins, [least(f) for f in filled]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, sizes: Sequence[int] = SIZES, key: str = "doc_id", text: str = "text", group_rows: int = 4096) -> DataFrame:
@@ -74,28 +78,31 @@ def pack_documents(docs: DataFrame, tokenizer: str, sizes: Sequence[int] = SIZES
 
     A text longer than the largest size is cut into full pieces and a rest, so no token is lost; every other text stays
     whole. A null or empty text has its end mark alone. Rows that repeat a key are packed each; a null key is carried
-    along. The rows are dealt at random (by hash of key and row) into groups of about ``group_rows``, which are packed
-    independently: work per task stays the same at any size, and only (key, tokens) shuffle. No rows, no bins.
+    along. The rows are dealt by hash of key and text into groups of about ``group_rows``, which are packed
+    independently: work per task stays the same at any size, and only (key, tokens) shuffle. Rows that repeat key and text
+    are counted and dealt ``COPIES`` at a time, so they spread over groups. Neither the groups nor the bins
+    depend on how the rows are partitioned. No rows, no bins.
     """
     sizes = sorted({int(s) for s in sizes})
     if not sizes or sizes[0] < 1:
         raise ValueError("sizes must be positive")
-    counted = shared_table(count_tokens(docs, tokenizer, text=text, keep=[key]).select(F.col(key).alias("k"), (F.col("n_tokens") + 1).alias("n")), "lengths")
+    slim = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
+    counted = shared_table(count_tokens(slim, tokenizer, text="t", keep=["k", "h"]).select("k", "h", (F.col("n_tokens") + 1).alias("n")), "lengths")
     groups = max(1, math.ceil(counted.count() / group_rows))
-    dealt = counted.withColumn("g", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(groups)))
+    times = counted.groupBy("k", "h", "n").agg(F.count("*").alias("c")).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / COPIES).cast("int"))))
+    dealt = times.select("k", "h", "n", F.least(F.col("c") - F.col("part") * COPIES, F.lit(COPIES)).cast("int").alias("c"), F.pmod(F.xxhash64("h", "part"), F.lit(groups)).alias("g"))
     kind = docs.schema[key].dataType.simpleString()
 
     def pack(rows: pa.Table) -> pa.Table:
         g = rows["g"][0].as_py()
+        rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), rows["c"].to_numpy())))
         n = rows["n"].to_numpy()
         pieces = -(-n // sizes[-1])
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = piece * sizes[-1]
         length = np.minimum(n[row] - start, sizes[-1])
-        rank = rows["k"].combine_chunks().dictionary_encode()
-        named = np.array(["" if x is None else str(x) for x in rank.dictionary.to_pylist()] or [""])
-        order = np.lexsort((piece, named[rank.indices.fill_null(0).to_numpy(zero_copy_only=False)][row], -length))
+        order = np.lexsort((piece, rows["h"].to_numpy()[row], -length))
         bins, final = pack_lengths(length[order].tolist(), sizes)
         own = np.array(bins)
         by_bin = np.argsort(own, kind="stable")
