@@ -23,7 +23,7 @@ from .labelled import Packed, fit_in_task, labelled_texts
 from .networks import TwoLayer
 from .pieces import text_blocks
 from .storage import bound_batches, shared_table
-from .words import word_numbers
+from .words import strings, word_numbers
 
 #: Domains of the production query, by the labels' columns, and the share of tokens that each is to have.
 DOMAINS = ("good", "low", "toxic")
@@ -42,7 +42,7 @@ def traits(words: pa.Array) -> tuple[list[str], np.ndarray]:
     marks = pc.binary_join_element_wise("+", pc.replace_substring_regex(words, r"[\p{L}\p{N}]+", ""), "")
     case = pc.if_else(pc.and_(pc.utf8_is_upper(words), pc.greater(pc.utf8_length(stem), 1)), "<caps>", "<case>")
     table = pa.concat_arrays([x.cast(pa.string()) for x in (stem, start, marks, case)]).dictionary_encode()
-    return table.dictionary.to_pylist(), table.indices.to_numpy().reshape(4, -1).T.astype(np.int64)
+    return strings(table.dictionary), table.indices.to_numpy().reshape(4, -1).T.astype(np.int64)
 
 
 class DomainModel:

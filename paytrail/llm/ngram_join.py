@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .pieces import text_blocks
 from .storage import bound_batches, shared_table
-from .words import word_numbers
+from .words import strings, word_numbers
 
 #: Rows of document ids that may be broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -60,7 +60,7 @@ class Shingler:
         """(hashes of all n-grams, how many each text has), in order and with repeats."""
         distinct, at, bounds = word_numbers(texts, lower=True)
         sizes = np.diff(bounds)
-        words = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), dtype=np.uint64, count=len(distinct))[at]
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, strings(distinct)), dtype=np.uint64, count=len(distinct))[at]
         many = np.where(sizes >= self.n, sizes - self.n + 1, np.minimum(sizes, 1))
         first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         width = np.repeat(np.minimum(sizes, self.n), many)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import strings
+
 #: Distinct pieces that a worker remembers before it starts afresh.
 CACHE_PIECES = 600_000
 
@@ -44,7 +46,7 @@ class Cut:
         coded = lists.flatten().dictionary_encode()
         heads = self.bounds[:-1]
         self.at = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = strings(coded.dictionary)
         self.first = [words[i] for i in self.at[heads]]
         self.at[heads] = -1
         used = np.zeros(len(words), dtype=bool)

@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from .pieces import Cut, special_strings, text_blocks, unsafe, with_special
 from .storage import bound_batches, new_path
 from .token_counts import byte_symbols
+from .words import strings
 
 MAGIC = b"DACT"
 #: Distinct pieces whose ids a worker remembers before it starts afresh, keeping these in reach (about 200 bytes each).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 #: Bytes of text that are cut at once.
 BLOCK = 8_000_000
 #: Bits of a bitmap for each entry of its rank directory.
@@ -72,8 +73,9 @@ class Pieces:
         """(ids of the numbered pieces, one after the other, how many each has); a negative number has none."""
         sizes = np.where(at >= 0, self.sizes[at], 0)
         ends = np.cumsum(sizes)
-        shift = np.where(at >= 0, self.starts[at], 0) - (ends - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        place = np.repeat(np.where(at >= 0, self.starts[at], 0) - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        return self.flat[place], sizes
 
 
 def _joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ class PieceEncoder:
         plain = pc.utf8_is_alpha(stems)
         some = plain.to_numpy(zero_copy_only=False)
         coded = stems.filter(plain).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = strings(coded.dictionary)
         word = known.find(words)
         fresh = np.flatnonzero(word < 0)
         own = list(map(words.__getitem__, fresh.tolist()))
@@ -136,7 +138,7 @@ class PieceEncoder:
         marked = np.flatnonzero(some & (pc.binary_length(texts).to_numpy() > pc.binary_length(stems).to_numpy()))
         if len(marked):
             own = list(map(pieces.__getitem__, marked.tolist()))
-            ends = [p[n:] for p, n in zip(own, pc.utf8_length(stems.take(pa.array(marked))).to_pylist(), strict=True)]
+            ends = [p[n:] for p, n in zip(own, pc.utf8_length(stems.take(pa.array(marked))).to_numpy().tolist(), strict=True)]
             marks = Pieces()
             marks.add(kinds := list(set(ends)), *self._encode(kinds))
             number[marked] = known.add(own, *_joined(known.ids(number[marked]), marks.ids(marks.find(ends))))
@@ -236,8 +238,7 @@ def unpack_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths (up to three levels) with the fewest bits in all."""
     top = max(1, int(ids.max(initial=1)).bit_length())
-    each = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=top + 1)  # ids by their number of bits
-    over = (len(ids) - np.cumsum(each)).tolist()  # ids of more than k bits
+    over = [int(np.count_nonzero(ids >> k)) for k in range(top)]  # ids of more than k bits
     best, widths = math.inf, [top]
     for cuts in chain.from_iterable(combinations(range(1, top), k) for k in (0, 1, 2)):
         edges, cost = [0, *cuts, top], 0.0

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .words import word_numbers
+from .words import strings, word_numbers
 
 #: Length of the vectors, non-zero places of an index vector, and words either side that count as context.
 DIMS, PLACES, WINDOW = 64, 4, 2
@@ -128,7 +128,7 @@ class Pooler:
         if len(self.known) > CACHE_PIECES:
             self._reset()
         words, numbers, bounds = word_numbers(texts)
-        words = words.to_pylist()
+        words = strings(words)
         self._learn([w for w in words if w not in self.known])
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))[numbers]
         again = np.r_[False, at[1:] == at[:-1]] if len(at) else np.zeros(0, dtype=bool)

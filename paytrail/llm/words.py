@@ -7,6 +7,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The column's values as a list (made in one go, several times as fast as ``to_pylist``)."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_numbers(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, number of each word of all texts in order, bounds of the texts in it); a blank text has no words."""
     texts = texts.cast(pa.large_string())
