@@ -34,9 +34,11 @@ from .words import strings
 
 MAGIC = b"DACT"
 #: Distinct pieces whose ids a worker remembers before it starts afresh, keeping these in reach (about 200 bytes each).
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
+#: Pieces that are tokenized at once; the library's results for them are objects of some hundred bytes each.
+AT_ONCE = 5_000
 #: Bytes of text that are cut at once.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BLOCK = 512
 #: Marks that, behind letters and before white space, make a pre-token of their own; an apostrophe may belong to the letters.
@@ -89,6 +91,15 @@ def _joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return out, total
 
 
+def _flat(parts: Iterator[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of lists that come in parts, so that few are held at once."""
+    ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    for lists in parts:
+        sizes.append(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes[-1].sum())))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library; remembers the ids of pieces.
 
@@ -107,18 +118,12 @@ class PieceEncoder:
         self.later, self.old, self.bare = Pieces(), Pieces(), Pieces()
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes
+        return _flat([e.ids for e in self.lib.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)] for i in range(0, len(texts), AT_ONCE))
 
     def _words(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of letters alone behind ``before``, each one pre-token, straight through the library's model."""
-        if not words:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        stand_ins = (before + ("\n" + before).join(words)).encode("utf-8").decode("latin-1").translate(self.symbols).split("\n")
-        lists = list(map(self.lib.model.tokenize, stand_ins))
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        return np.fromiter((t.id for x in lists for t in x), dtype=np.uint32, count=int(sizes.sum())), sizes
+        stand_ins = (before + ("\n" + before).join(words)).encode("utf-8").decode("latin-1").translate(self.symbols).split("\n") if words else []
+        return _flat([[t.id for t in x] for x in map(self.lib.model.tokenize, stand_ins[i : i + AT_ONCE])] for i in range(0, len(words), AT_ONCE))
 
     def _learn(self, pieces: list[str], known: Pieces, before: str) -> np.ndarray:
         """Numbers of new pieces that stand behind ``before``. Letters with marks behind them are two pre-tokens, so their
