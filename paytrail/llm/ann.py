@@ -62,24 +62,48 @@ class Forest:
             out[:, t] = node - (2**self.depth - 1)
         return out
 
-    def search(self, vector: np.ndarray, sizes: np.ndarray, want: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue until their vectors number ``want``."""
-        inner, found, total = 2**self.depth - 1, [], 0
+    def walk(self, vector: np.ndarray) -> Iterator[tuple[int, int]]:
+        """All (tree, leaf) in the order of the shared queue."""
+        inner = 2**self.depth - 1
         queue = [(-math.inf, t, 0) for t in range(self.trees)]
-        while queue and total < want:
+        while queue:
             margin, t, node = heapq.heappop(queue)
             if node >= inner:
-                leaf = node - inner
-                if sizes[t, leaf]:
-                    found.append((t, leaf))
-                    total += int(sizes[t, leaf])
+                yield t, node - inner
                 continue
             gap = float(vector @ self.normals[t, node]) - float(self.cuts[t, node])
             near, far = (2 * node + 2, 2 * node + 1) if gap > 0 else (2 * node + 1, 2 * node + 2)
             heapq.heappush(queue, (max(margin, -abs(gap)), t, near))
             heapq.heappush(queue, (max(margin, abs(gap)), t, far))
+
+    def search(self, vector: np.ndarray, sizes: np.ndarray, want: int) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue until their vectors number ``want``."""
+        found, total = [], 0
+        for t, leaf in self.walk(vector):
+            if total >= want:
+                break
+            if sizes[t, leaf]:
+                found.append((t, leaf))
+                total += int(sizes[t, leaf])
         return found
 
+    def needs(self, vector: np.ndarray, sizes: np.ndarray, leaves: np.ndarray) -> list[int]:
+        """For each row of ``leaves`` (a vector's leaf in every tree): how many vectors a search must want to reach it."""
+        open_rows, total, out = set(range(len(leaves))), 0, [0] * len(leaves)
+        at: dict[tuple[int, int], list[int]] = {}
+        for i, row in enumerate(leaves.tolist()):
+            for t, leaf in enumerate(row):
+                at.setdefault((t, leaf), []).append(i)
+        for place in self.walk(vector):
+            for i in at.get(place, ()):
+                if i in open_rows:
+                    out[i] = total + 1
+                    open_rows.remove(i)
+            if not open_rows:
+                break
+            total += int(sizes[place])
+        return out
+
 
 def _matrix(column: pa.Array, kind=np.float32) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -88,7 +112,38 @@ def _matrix(column: pa.Array, kind=np.float32) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(n, -1) if n else np.empty((0, 0), kind)
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = 10, trees: int = 6, leaf_rows: int = 256, search_rows: int = 8000, search_share: float = 1.2, sample_rows: int = 200_000, block_rows: int = 4096) -> DataFrame:
+def _wanted(asked: DataFrame, located: DataFrame, forest, counts, k: int, probes: int, recall: float) -> int:
+    """How many vectors a search must want, so that ``probes`` queries find ``recall`` of their k nearest other vectors. These
+    come from one pass over all vectors, in which a task keeps the k + 1 nearest of each batch; the probes' own searches
+    run in tasks, and what reaches the driver are the probes and k numbers of each."""
+    chosen = asked.orderBy(F.xxhash64("v"), "ask").limit(probes).select("v").toArrow()["v"]
+    q = _matrix(chosen, np.float64)
+    if not len(q):
+        return 0
+    sent = located.sparkSession.sparkContext.broadcast(q)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        for b in batches:
+            if b.num_rows:
+                m = _matrix(b.column(0), np.float64)
+                d = np.square(m).sum(axis=1) - 2 * q @ m.T  # less the probe's own square, which changes no order
+                at = np.argpartition(d, k, axis=1)[:, : k + 1] if len(m) > k + 1 else np.tile(np.arange(len(m)), (len(q), 1))
+                row = pa.array(at.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), at.shape[1])), pa.array(np.take_along_axis(d, at, axis=1).ravel()), b.column(1).take(row)], names=["probe", "d", "leaves"])
+
+    found = located.select("v", "leaves").mapInArrow(near, "probe long, d double, leaves array<int>")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("d"))).where(F.col("r").between(2, k + 1))  # the first is the probe
+
+    def needs(rows: pa.Table) -> pa.Table:
+        probe = rows["probe"][0].as_py()
+        return pa.table({"need": pa.array(forest.value.needs(sent.value[probe].astype(np.float32), counts.value, _matrix(rows["leaves"], np.int64)), pa.int64())})
+
+    need = sorted(r["need"] for r in best.groupBy("probe").applyInArrow(needs, "need long").collect())  # probes * k
+    return need[min(len(need), math.ceil(recall * len(need))) - 1] if need else 0
+
+
+def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = 10, trees: int = 6, leaf_rows: int = 256, search_rows: int = 8000, recall: float = 0.95, probes: int = 128, sample_rows: int = 200_000, block_rows: int = 4096) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``key``, ``score`` (Euclidean distance): the ``k`` nearest found of each row for
     which ``is_query`` (a Column) holds, its own id left out, nearest first, ties to the smaller id.
 
@@ -96,9 +151,11 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     nor do null ids. Rows that repeat count once; fewer candidates than ``k`` give all of them; an empty table gives no
     rows. Trees are fitted on about ``sample_rows`` vectors, picked by hash, and have as many leaves as ``leaf_rows``
     vectors each would fill, but no more than a sixteenth of the sample; larger leaves are searched in blocks of
-    ``block_rows``. A query's leaves hold ``search_rows`` vectors or ``search_share`` of all, whichever is more, counting a
-    vector once per tree. Directions without structure (vectors evenly spread over a sphere of 64 dimensions, say) need a
-    large share for a recall of 0.9; where vectors cluster a small one does.
+    ``block_rows``. A query's leaves hold ``search_rows`` vectors, counting a vector once per tree, or as many as ``probes``
+    queries, picked by hash and answered exactly, need to find ``recall`` of their nearest, whichever is more. Directions
+    without structure (vectors evenly spread over a sphere of 64 dimensions, say) need most of all vectors for a recall of
+    0.9; where vectors cluster a few per cent do. An id that repeats with several vectors asks with each and has the nearest
+    of its answers; as a candidate it counts once, with its nearest vector.
     """
     x = F.col("v")
     whole = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & x.isNotNull())
@@ -130,9 +187,12 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     sizes = np.zeros((trees, 2**depth), dtype=np.int64)
     for r in located.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():  # at most trees * sample / 16
         sizes[r["tree"], r["leaf"]] = r["count"]
-    counts, want = spark.sparkContext.broadcast(sizes), max(search_rows, int(search_share * n))
+    counts = spark.sparkContext.broadcast(sizes)
     queries = fine.where(F.col("q")).select("id", "v").distinct()
     asked = queries.groupBy("v").agg(F.min("id").alias("ask"))
+    want = search_rows
+    if trees * n > search_rows:
+        want = max(want, _wanted(asked, located, forest, counts, k, probes, recall))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, size = forest.value, counts.value
@@ -171,5 +231,6 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     order = Window.partitionBy("ask").orderBy("score", "id")
     top = merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     each = queries.join(asked, "v").select(F.col("id").alias("query_id"), "ask").join(top, "ask").where(F.col("query_id") != F.col("id"))
+    each = each.repartition("query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
     final = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return final.select("query_id", "rank", F.col("id").alias(key), "score")

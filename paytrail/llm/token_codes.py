@@ -38,7 +38,7 @@ CACHE_PIECES = 500_000
 #: Pieces that are tokenized at once; the library's results for them are objects of some hundred bytes each.
 AT_ONCE = 5_000
 #: Bytes of text that are cut at once.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BLOCK = 512
 #: Marks that, behind letters and before white space, make a pre-token of their own; an apostrophe may belong to the letters.
@@ -364,6 +364,7 @@ def write_codes(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
                 if held >= file_bytes:
                     files.append((store(keys, lists), len(keys), sum(map(len, lists))))
                     keys, lists, held = [], [], 0
+                    pa.default_memory_pool().release_unused()
         if keys:
             files.append((store(keys, lists), len(keys), sum(map(len, lists))))
         if files:

@@ -176,7 +176,7 @@ def test_nearest_neighbours_recall_ties_and_bad_vectors(spark):
     rows = [(i, v.tolist(), 0, "t") for i, v in enumerate(data)]
     bad = [(3001, None, 0, "t"), (3100, [0.0] * 16, 0, "t"), (3200, [float("nan")] + [1.0] * 15, 0, "t"), (3300, [None] + [1.0] * 15, 0, "t"), (3400, [1.0], 0, "t"), (None, [1.0] * 16, 0, "t"), (5, data[5].tolist(), 0, "t")]
     df = vectors(spark, rows + bad)
-    out = ann.nearest(df, F.col("vec_id") % 100 == 0, trees=6, leaf_rows=32, search_rows=600, search_share=0.1, block_rows=64).collect()
+    out = ann.nearest(df, F.col("vec_id") % 100 == 0, trees=6, leaf_rows=32, search_rows=600, block_rows=64).collect()
     full = data.astype(np.float64)
     hit = total = 0
     for q in range(0, 3000, 100):
@@ -193,6 +193,31 @@ def test_nearest_neighbours_recall_ties_and_bad_vectors(spark):
     assert hit / total >= 0.9 and {r.query_id for r in out} == set(range(0, 3000, 100))
 
 
+@pytest.mark.parametrize("spread", [0.25, None])
+def test_shipped_settings_reach_the_recall(spark, tmp_path, spread):
+    """On clustered vectors and on even ones, well above the number below which all are searched."""
+    import pyarrow.parquet as pq
+
+    n, dims, rng = 24_000, 24, np.random.default_rng(4)
+    data = rng.standard_normal((n, dims))
+    if spread:
+        data = rng.standard_normal((60, dims))[rng.integers(0, 60, n)] + spread * data
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(data.astype(np.float32)), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    out = ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 100 == 0).toPandas()
+    full, hit = data.astype(np.float32).astype(np.float64), 0
+    for q, own in out.groupby("query_id"):
+        d = ((full - full[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argpartition(d, 10)[:10].tolist()) & set(own.vec_id))
+    assert len(out) == n // 10 and hit / len(out) >= 0.9
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    rows = [(0, [1.0, 0.0], 0, "t"), (0, [0.0, 1.0], 0, "t"), (1, [0.9, 0.1], 0, "t"), (1, [0.1, 0.9], 0, "t"), (2, [5.0, 5.0], 0, "t")]
+    out = ann.nearest(vectors(spark, rows), F.col("vec_id") == 0).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(out)] == [(1, 1), (2, 2)]
+
+
 def test_nearest_neighbours_of_small_tables(spark):
     few = ann.nearest(vectors(spark, [(0, [1.0, 0.0], 0, "t"), (1, [0.0, 1.0], 0, "t"), (2, [1.0, 1.0], 0, "t")]), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id) for r in sorted(few)] == [(1, 2), (2, 1)]
