@@ -99,7 +99,10 @@ def chunk_ids(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.chunk_id(F.lit("benchmark"), section, F.lit("1")).alias("chunk_id"))
 
 
-@query("select doc_id, case when length(text) > 400 then text[1:400] || '…' else text end as excerpt from documents")
+BARE = lambda t: rf"regexp_replace({t}, '\A{text.SPACE}+|{text.SPACE}+\z', '', 'g')"
+
+
+@query(f"with t as (select doc_id, {BARE('text')} as t from documents) select doc_id, case when length(t) > 400 then {BARE('t[1:399]')} || '…' else t end as excerpt from t")
 def citation_excerpts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
@@ -191,10 +194,13 @@ def rank_fusion(spark, sf_dir):
     return retrieval.fuse(both[0].unionByName(both[1]), ["vec_id"]).select("vec_id", F.round("fused", 9).alias("fused"))
 
 
-NAMES = ["Manual_VER02.211223.txt", "Handbook (Revised_December 2023).txt", "Guidance 5 March 2021.pdf", "Framework 2017.txt", "notes.txt", "Tax Rules 2017 (Revised October 2023).txt"]
-DATES = ["2023-12-21", "2023-12", "2021-03-05", "2017", None, "2023-10"]
-
-
-@query("select * from (values " + ", ".join(f"('{n}', {repr(d) if d else 'null'})" for n, d in zip(NAMES, DATES)) + ") as t(name, dated)")
+@query("""select o_orderkey, case o_orderkey % 6 when 0 then strftime(o_orderdate, '20%y-%m-%d') when 1 then strftime(o_orderdate, '20%y-%m-%d') when 2 then strftime(o_orderdate, '%Y-%m-%d')
+  when 3 then strftime(o_orderdate, '%Y-%m') when 4 then strftime(o_orderdate, '%Y') end as dated from orders""")
 def document_dates(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", text.document_date(F.col("name")).alias("dated"))
+    """Dates read back from file names that are made from the orders' dates in six styles."""
+    orders, day = table(spark, sf_dir, "orders"), F.col("o_orderdate")
+    styles = [
+        F.concat(F.lit("Manual_VER02."), F.date_format(day, "ddMMyy"), F.lit(".txt")), F.concat(F.lit("CIR_"), F.date_format(day, "ddMMyy"), F.lit(".pdf")), F.concat(F.lit("Guidance-"), F.date_format(day, "d MMMM yyyy"), F.lit(".pdf")),
+        F.concat(F.lit("Tax Rules 2017 (Revised_"), F.date_format(day, "MMMM yyyy"), F.lit(").txt")), F.concat(F.lit("Framework "), F.date_format(day, "yyyy"), F.lit(".txt")), F.lit("notes.txt"),
+    ]
+    return orders.select("o_orderkey", text.document_date(F.get(F.array(*styles), F.col("o_orderkey") % 6)).alias("dated"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paytrail.functions import redact, text
-from paytrail.operators import report, retrieval
+from paytrail.operators import evaluate, report, retrieval
 from paytrail.sources import ledger, mt103
 
 GOOD = """{1:F01BANKUS33AXXX0000000000}{2:I103BANKGB22XXXXN}{3:{121:0f1e2d3c-0000-1111-2222-333344445555}}{4:
@@ -76,6 +76,11 @@ def test_masking(spark):
     r = redact.redact(nested, "p").first()
     assert r.s.sender_account.startswith("ACCT-") and r.s.memo == "call [REDACTED]" and r.s.senders[0].startswith("ACCT-") and r.other == "x" and "A1" not in r.candidate_id
     assert redact.redact(nested, "p").first() == r
+    found = spark.sql("""select '{"sink":"C3","senders":"A1,B2","fan":4}' as attributes, 'scatter_gather' as pattern_type, 4 as n, map('sender_account', 'A1', 'kind', 'A1') as m""")
+    masked = redact.redact(found, "p").withColumn("shape", evaluate.describe())
+    got = masked.first()
+    assert not any(x in got.attributes + got.shape for x in ("A1", "B2", "C3")) and "4 accounts" in got.shape and got.attributes.count("ACCT-") == 3
+    assert got.m["kind"] == "A1" and got.m["sender_account"].startswith("ACCT-")
 
 
 def test_sentences_and_chunks():
@@ -85,6 +90,7 @@ def test_sentences_and_chunks():
     assert " ".join(chunks) == body and all(len(c) <= text.MAX_CHARS for c in chunks) and len(chunks) > 1
     assert text.chunk("word " * 900)[0].count("word") == 400 and text.chunk("") == [] and text.chunk("short") == ["short"]
     table = "Intro\n/Table Start\nTerm\tMeaning\n" + "\n".join(f"t{i}\t{'m' * 50}" for i in range(100)) + "\n/Table End"
+    assert text.split_table("/Table Start\nA\tB\n\t\n1\t2\n/Table End", 50) == ["A | B\n1 | 2"]
     parts = text.split_table(table, 500)
     assert parts[0] == "Intro" and all(p.startswith("Term | Meaning\n") and len(p) <= 500 for p in parts[1:])
 
