@@ -5,17 +5,18 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrail.plans.cut import cut
+from paytrail.plans.cut import counted_cut, cut
 from paytrail.plans.params import DAY_US, HOUR_US, Params
 
 from .components import connected_components
 from .greedy import keep_first
 from .scoring import as_candidates, summarise
-from .windows import fan_windows, maximal_runs, widest_window
+from .windows import fan_windows, maximal_runs, widest_window, window_counts
 
 MEMBER = ["txn_ref", "amount", "us"]
 
@@ -81,8 +82,6 @@ def scatter_gather(edges: DataFrame, params: Params = Params()) -> DataFrame:
 
 def gather_scatter(edges: DataFrame, params: Params = Params()) -> DataFrame:
     """A hub that collects from several and pays several inside a window that starts with an inflow, passing on a like sum."""
-    from pyspark.sql import Window
-
     real = edges.where("sender_account <> receiver_account")
     into = real.select(F.col("receiver_account").alias("anchor"), F.col("sender_account").alias("other"), *MEMBER, F.lit(True).alias("inflow"))
     out = real.select(F.col("sender_account").alias("anchor"), F.col("receiver_account").alias("other"), *MEMBER, F.lit(False).alias("inflow"))
@@ -91,10 +90,9 @@ def gather_scatter(edges: DataFrame, params: Params = Params()) -> DataFrame:
     hubs = both.groupBy("anchor").agg(distinct(True).alias("i"), distinct(False).alias("o")).where((F.col("i") >= params.hub_min_in) & (F.col("o") >= params.hub_min_out)).select("anchor")
     both = both.join(hubs, "anchor", "left_semi")
     span = params.hub_days * DAY_US
-    w = Window.partitionBy("anchor").orderBy("us").rangeBetween(0, span)
-    others = lambda flow: F.size(F.collect_set(F.when(F.col("inflow") == flow, F.col("other"))).over(w))
-    seen = both.select("anchor", "inflow", F.col("us").alias("w_from"), (F.col("us") + span).alias("w_to"), F.count("*").over(w).alias("w_n"), others(True).alias("i"), others(False).alias("o"))
-    fits = F.col("inflow") & (F.col("i") >= params.hub_min_in) & (F.col("o") >= params.hub_min_out)
+    seen = window_counts(both, "anchor", "other", F.col("inflow"), span, True)
+    seen = seen.select("anchor", "flow", "w_n", "w_true", "w_false", F.col("us").alias("w_from"), (F.col("us") + span).alias("w_to"))
+    fits = F.col("flow") & (F.col("w_true") >= params.hub_min_in) & (F.col("w_false") >= params.hub_min_out)
     best = widest_window(seen, "anchor", fits, F.col("w_from"), F.col("w_n"), False)
     rows = both.join(best, "anchor").where(F.col("us").between(F.col("w_from"), F.col("w_to")))
     sums = [F.sum(F.when(F.col("inflow") == f, F.col("amount"))).alias(n) for f, n in ((True, "total_in"), (False, "total_out"))]
@@ -116,14 +114,21 @@ def deposit_send(edges: DataFrame, params: Params = Params()) -> DataFrame:
     """Cash in, about the same sum out within hours. Deposits in order of time take the earliest send that is still free."""
     pairs = deposit_pairs(edges, params)
     cross = (F.col("s_payment_kind") == "cross_border") | (F.col("s_sender_country") != F.col("s_receiver_country"))
-    entry = F.struct("d_us", "d_txn_ref", "s_us", "s_txn_ref", "d_amount", "s_amount", cross.alias("cross"))
-    listed = pairs.groupBy("account").agg(F.sort_array(F.collect_list(entry)).alias("pairs"))
-    kind = listed.schema["pairs"].dataType.simpleString()
-    start = F.expr(f"named_struct('used', cast(array() as array<string>), 'kept', cast(array() as {kind}))")
-    free = lambda acc, x: ~F.array_contains(acc["used"], x["d_txn_ref"]) & ~F.array_contains(acc["used"], x["s_txn_ref"])
-    take = lambda acc, x: F.struct(F.concat(acc["used"], F.array(x["d_txn_ref"], x["s_txn_ref"])).alias("used"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-    chosen = listed.select("account", F.aggregate("pairs", start, lambda acc, x: F.when(free(acc, x), take(acc, x)).otherwise(acc), lambda acc: acc["kept"]).alias("kept")).where(F.size("kept") >= params.send_min_pairs)
-    legs = chosen.select(F.col("account").alias("anchor"), F.explode("kept").alias("p"))
+    order = ["d_us", "d_txn_ref", "s_us", "s_txn_ref"]
+    entry = pairs.select("account", *order, "d_amount", "s_amount", cross.alias("cross"))
+
+    def match(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        used: set[str] = set()
+        taken = []
+        for i, legs in enumerate(zip(rows["d_txn_ref"].to_pylist(), rows["s_txn_ref"].to_pylist(), strict=True)):
+            if used.isdisjoint(legs):
+                used.update(legs)
+                taken.append(i)
+        return rows.take(pa.array(taken, pa.int64())) if len(taken) >= params.send_min_pairs else rows.slice(0, 0)
+
+    chosen = entry.groupBy("account").applyInArrow(match, entry.schema)
+    legs = chosen.select(F.col("account").alias("anchor"), F.struct(*order, "d_amount", "s_amount", "cross").alias("p"))
     rows = legs.select("anchor", "p.cross", ((F.col("p.s_us") - F.col("p.d_us")) / HOUR_US).alias("gap"), F.explode(F.array(
         F.struct(F.col("p.d_txn_ref").alias("txn_ref"), F.col("p.d_amount").alias("amount"), F.col("p.d_us").alias("us"), F.lit(True).alias("d")),
         F.struct(F.col("p.s_txn_ref").alias("txn_ref"), F.col("p.s_amount").alias("amount"), F.col("p.s_us").alias("us"), F.lit(False).alias("d")))).alias("m")).select("anchor", "cross", "gap", "m.*")
@@ -133,13 +138,18 @@ def deposit_send(edges: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def _within(count: Column, most: int | None) -> Column:
+    """Whether a count keeps a bound, if there is one."""
+    return F.lit(True) if most is None else count <= most
+
+
 def layered_fan(edges: DataFrame, direction: str, params: Params = Params()) -> DataFrame:
     """Two layers of collectors (``in``) or distributors (``out``): branches of a root that each have leaves of their own,
     whose legs lie within the window of that branch's hand-off to the root."""
     near, far = ("receiver_account", "sender_account") if direction == "in" else ("sender_account", "receiver_account")
     real = edges.where("sender_account <> receiver_account").select(F.col(near).alias("near"), F.col(far).alias("far"), *MEMBER)
     level = real.groupBy(F.col("near").alias("root")).agg(F.collect_set("far").alias("level"))
-    roots = level.where(F.size("level").between(params.branch_min, params.max_frontier))
+    roots = level.where((F.size("level") >= params.branch_min) & _within(F.size("level"), params.max_frontier))
     top = real.select(F.col("near").alias("root"), F.col("far").alias("branch"), *(F.col(c).alias(f"t_{c}") for c in MEMBER)).join(roots, "root")
     leaf = real.select(F.col("near").alias("branch"), F.col("far").alias("leaf"), *MEMBER)
     legs = top.join(leaf, "branch").where((F.abs(F.col("us") - F.col("t_us")) <= params.funnel_days * DAY_US) & (F.col("leaf") != F.col("root")) & ~F.array_contains("level", F.col("leaf")))
@@ -152,9 +162,8 @@ def layered_fan(edges: DataFrame, direction: str, params: Params = Params()) ->
     return summarise(rows, ["anchor", "direction", "branch_count", "leaf_count"], "layered_fan", params.leaves_min + params.branch_min, params)
 
 
-def temporal_paths(edges: DataFrame, params: Params = Params()) -> DataFrame:
-    """All simple paths forward in time, each hop within the window of the last: ``path`` (positions), ``refs``, ``hops``,
-    ``origin``, ``current``, ``closed`` (back at the origin), ``parent`` (the path without its last hop)."""
+def _fronts(edges: DataFrame, params: Params, first: int = 1) -> list[DataFrame]:
+    """Simple paths forward in time, a table for each number of hops from ``first`` on; see ``temporal_paths``."""
     own = ["pos", "txn_ref", "sender_account", "receiver_account", "amount", "us"]
     e = edges.select(*own)
     nxt = e.select(*(F.col(c).alias(f"e_{c}") for c in own))
@@ -162,26 +171,46 @@ def temporal_paths(edges: DataFrame, params: Params = Params()) -> DataFrame:
         F.array("pos").alias("path"), F.array("txn_ref").alias("refs"), F.array("amount").alias("amounts"), F.array("us").alias("times"), F.array_distinct(F.array("sender_account", "receiver_account")).alias("visited"),
         F.col("sender_account").alias("origin"), F.col("receiver_account").alias("current"), "us", F.lit(1).alias("hops"), F.lit(False).alias("closed"),
     )
-    found, home = front, F.col("e_receiver_account") == F.col("origin")
+    found, home, hop = [front] if first == 1 else [], F.col("e_receiver_account") == F.col("origin"), 1
     later = F.col("e_us").between(F.col("us"), F.col("us") + params.window_days * DAY_US)
-    for hop in range(2, params.cycle_max_hops + 1):
+    while params.cycle_max_hops is None or hop < params.cycle_max_hops:
+        hop += 1
         step = front.where(~F.col("closed")).join(nxt, (F.col("current") == F.col("e_sender_account")) & later & (home | ~F.array_contains("visited", F.col("e_receiver_account"))))
         add = lambda c, x: F.concat(F.col(c), F.array(f"e_{x}")).alias(c)
         front = step.select(add("path", "pos"), add("refs", "txn_ref"), add("amounts", "amount"), add("times", "us"), add("visited", "receiver_account"), "origin", F.col("e_receiver_account").alias("current"), F.col("e_us").alias("us"), F.lit(hop).alias("hops"), home.alias("closed"))
-        front = cut(front, "paths")
-        if not front.limit(1).count():
+        if hop < first:
+            continue
+        front, n = counted_cut(front, "paths")
+        if not n:
             break
-        found = found.unionByName(front)
-    return cut(found.withColumn("parent", F.expr("slice(path, 1, hops - 1)")).drop("visited", "us"), "paths")
+        found.append(front)
+    return found
+
+
+def _paths(fronts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, fronts).withColumn("parent", F.expr("slice(path, 1, hops - 1)")).drop("visited", "us")
+
+
+def temporal_paths(edges: DataFrame, params: Params = Params()) -> DataFrame:
+    """All simple paths forward in time, each hop within the window of the last: ``path`` (positions), ``refs``, ``hops``,
+    ``origin``, ``current``, ``closed`` (back at the origin), ``parent`` (the path without its last hop)."""
+    return _paths(_fronts(edges, params))
 
 
 def chains(edges: DataFrame, params: Params = Params()) -> DataFrame:
-    """Closed rings, and open paths that no hop extends, of enough hops."""
-    paths = temporal_paths(edges, params)
-    longer = paths.where("not closed and hops > 1").select(F.col("parent").alias("path")).distinct()
-    # a ring's last hop isn't an extension
-    ends = paths.where("not closed").join(longer, "path", "left_anti").unionByName(paths.where("closed"))
-    return ends.where(F.col("hops") >= params.cycle_min_hops)
+    """Closed rings, and open paths that no hop extends, of enough hops. Shorter paths are passed through, never written."""
+    fronts = _fronts(edges, params, params.cycle_min_hops)
+    if not fronts:
+        return temporal_paths(edges.limit(0), params)
+    done = []
+    for front, longer in zip(fronts, [*fronts[1:], None], strict=True):
+        own = _paths([front])
+        if longer is not None:
+            # a path that goes on is the parent of an open one; a ring's last hop isn't an extension
+            on = _paths([longer]).where("not closed").select(F.col("parent").alias("path")).distinct()
+            own = own.where("closed").unionByName(own.where("not closed").join(on, "path", "left_anti"))
+        done.append(own)
+    return reduce(DataFrame.unionByName, done)
 
 
 def cycle(edges: DataFrame, params: Params = Params()) -> DataFrame:
@@ -190,21 +219,24 @@ def cycle(edges: DataFrame, params: Params = Params()) -> DataFrame:
     kept = F.col("amounts")[F.col("hops") - 1].cast("double") / F.col("amounts")[0].cast("double")
     own = chains(edges, params).withColumn("retained", kept).where(F.col("retained") >= params.retained)
     own = own.withColumns({"id": F.array_join(F.transform("path", lambda x: x.cast("string")), "-"), "rank": F.struct((-F.col("hops")).alias("a"), F.col("path").alias("b"))})
-    verdict = keep_first(own.select("id", "rank", "refs"), params.overlap).where("kept").select("id")
+    own = cut(own.select("id", "rank", "refs", "amounts", "times", "origin", "hops", "retained"), "chains")  # refs don't repeat
+    verdict = keep_first(own, params.overlap, stored=True).where("kept").select("id")
     rows = own.join(verdict, "id", "left_semi").select("id", F.col("origin").alias("anchor"), "hops", F.round("retained", 4).alias("retained_fraction"), F.explode(F.arrays_zip("refs", "amounts", "times")).alias("m"))
     rows = rows.select("id", "anchor", "hops", "retained_fraction", F.col("m.refs").alias("txn_ref"), F.col("m.amounts").alias("amount"), F.col("m.times").alias("us"))
     return summarise(rows, ["id", "anchor", "hops", "retained_fraction"], "cycle", params.cycle_min_hops, params).drop("id")
 
 
 def sender_pairs(edges: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(eligible (sender, receiver) pairs of the best-connected senders, linked sender pairs ``a`` < ``b`` with ``shared``)."""
+    """(eligible (sender, receiver) pairs, of the ``max_block_senders`` best-connected senders if that is set, linked sender
+    pairs ``a`` < ``b`` with ``shared``). A receiver has at most ``max_block_side`` senders, so pairs stay in proportion."""
     pairs = edges.where("sender_account <> receiver_account").select("sender_account", "receiver_account").distinct()
-    modest = pairs.groupBy("receiver_account").agg(F.count("*").alias("d")).where(F.col("d") <= params.max_block_side).select("receiver_account")
+    modest = pairs.groupBy("receiver_account").agg(F.count("*").alias("d")).where(_within(F.col("d"), params.max_block_side)).select("receiver_account")
     degree = pairs.groupBy("sender_account").agg(F.count("*").alias("deg"))
     eligible = pairs.join(modest, "receiver_account", "left_semi")
     able = eligible.groupBy("sender_account").agg(F.count("*").alias("e")).where(F.col("e") >= params.block_min_dst).select("sender_account")
-    top = degree.join(able, "sender_account", "left_semi").orderBy(F.desc("deg"), "sender_account").limit(params.max_block_senders).select("sender_account")
-    own = eligible.join(top, "sender_account", "left_semi").select("sender_account", "receiver_account")
+    if params.max_block_senders is not None:
+        able = degree.join(able, "sender_account", "left_semi").orderBy(F.desc("deg"), "sender_account").limit(params.max_block_senders).select("sender_account")
+    own = eligible.join(able, "sender_account", "left_semi").select("sender_account", "receiver_account")
     a, b = own.withColumnRenamed("sender_account", "a"), own.withColumnRenamed("sender_account", "b")
     linked = a.join(b, "receiver_account").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= params.block_min_dst)
     return own, linked
@@ -244,15 +276,16 @@ def bipartite(edges: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def detectors(params: Params = Params()) -> dict:
-    """Registry of the shapes, in order of precedence; add to it to extend the audit."""
+    """Registry of the shapes, in order of precedence, with those of ``params.extra``."""
     own = {
         "structuring": structuring, "deposit_send": deposit_send, "cycle": cycle, "bipartite": bipartite, "gather_scatter": gather_scatter, "scatter_gather": scatter_gather, "fan_in": fan_in, "fan_out": fan_out,
         "layered_fan": lambda e, p: layered_fan(e, "in", p).unionByName(layered_fan(e, "out", p)),
     }
+    own |= dict(params.extra)
     return {k: own[k] for k in params.precedence}
 
 
-def detect_raw(edges: DataFrame, params: Params = Params(), at_once: int = 4) -> DataFrame:
+def detect_raw(edges: DataFrame, params: Params = Params(), at_once: int = 9) -> DataFrame:
     """Candidates of all shapes, before reconciliation. The detectors are independent, so ``at_once`` of them run side by
     side, each into a table of its own."""
     spark = edges.sparkSession

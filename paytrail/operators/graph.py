@@ -35,7 +35,7 @@ def multi_hop_layers(edges: DataFrame, roots: DataFrame, direction: str, depth:
     for level in range(1, min(depth, params.max_depth) + 1):
         step = front.join(next_to, front["account"] == next_to["node"]).select("root", F.col("other").alias("account")).distinct().join(seen, ["root", "account"], "left_anti")
         step = cut(step, "levels")
-        wide = step.groupBy("root").agg(F.count("*").alias("c")).where(F.col("c") > params.max_frontier).select("root")
+        wide = step.groupBy("root").agg(F.count("*").alias("c")).where(F.lit(False) if params.max_frontier is None else F.col("c") > params.max_frontier).select("root")
         front = step.join(wide, "root", "left_anti")
         out = out.unionByName(front.select("root", F.lit(level).alias("level"), "account", F.lit(False).alias("truncated")))
         out = out.unionByName(wide.select("root", F.lit(0).alias("level"), F.col("root").alias("account"), F.lit(True).alias("truncated")))

@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytrail.plans.cut import cut
-
+from paytrail.plans.cut import counted_cut, cut
 
 #: Pairs up to which one task takes the sets in order; more are decided in rounds.
 FOLD_PAIRS = 500_000
@@ -62,11 +61,13 @@ def _rounds(pairs: DataFrame) -> DataFrame:
     return by.groupBy("sub").agg(F.min_by("sup", F.struct("r1", "sup")).alias("absorber")).withColumnRenamed("sub", "id")
 
 
-def keep_first(sets: DataFrame, overlap: float, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
-    """``id``, ``kept``, ``absorber`` (the first kept set that covers it) for sets with ``id`` (text), ``rank``, ``refs``."""
-    sets = cut(sets.select("id", "rank", F.array_distinct("refs").alias("refs")), "sets")
-    pairs = cut(covering_pairs(sets, overlap), "covers")
-    first = _fold(pairs) if pairs.count() <= fold_pairs else _rounds(pairs)
+def keep_first(sets: DataFrame, overlap: float, fold_pairs: int = FOLD_PAIRS, stored: bool = False) -> DataFrame:
+    """``id``, ``kept``, ``absorber`` (the first kept set that covers it) for sets with ``id`` (text), ``rank``, ``refs``.
+    ``stored``: they are a table already, and no set repeats a ref."""
+    if not stored:
+        sets = cut(sets.select("id", "rank", F.array_distinct("refs").alias("refs")), "sets")
+    pairs, n = counted_cut(covering_pairs(sets, overlap), "covers")
+    first = _fold(pairs) if n <= fold_pairs else _rounds(pairs)
     return sets.select("id").join(first, "id", "left").select("id", F.col("absorber").isNull().alias("kept"), "absorber")
 
 

@@ -16,6 +16,25 @@ def widest_window(rows: DataFrame, key: str, minimum: Column, order: Column, siz
     return rows.where(minimum).groupBy(key).agg(best.alias("w")).select(key, "w.w_from", "w.w_to")
 
 
+def window_counts(rows: DataFrame, key: str, other: str, flow: Column, span_us: int, forward: bool) -> DataFrame:
+    """``key``, ``flow``, ``us`` of each row with ``w_n``, rows of its key in the window of ``span_us`` that it ends
+    (``forward``: starts), and ``w_true``, ``w_false``: distinct ``other`` there among rows whose ``flow`` holds or doesn't.
+
+    A row counts in the windows of some stretch of time, and a counterparty in those of its rows' stretches taken together.
+    So each count is a running sum of what enters and leaves, and the work is linear however many rows a window has.
+    """
+    own = Window.partitionBy(key, "flow", "who").orderBy("us")
+    marked = rows.select(key, F.col(other).alias("who"), flow.alias("flow"), "us").select(
+        key, "flow", "us", (F.coalesce(F.col("us") - F.lag("us").over(own), F.lit(span_us + 1)) > span_us).cast("int").alias("opens"), (F.coalesce(F.lead("us").over(own) - F.col("us"), F.lit(span_us + 1)) > span_us).cast("int").alias("shuts"))
+    begin, end = (F.col("us") - span_us, F.col("us") + 1) if forward else (F.col("us"), F.col("us") + span_us + 1)
+    event = lambda at, n, d, row: F.struct(at.alias("at"), F.lit(n).alias("n"), d.alias("d"), F.lit(row).alias("row"))
+    events = [event(begin, 1, F.col("opens"), not forward), event(end, -1, -F.col("shuts"), False), *([event(F.col("us"), 0, F.lit(0), True)] if forward else [])]
+    flat = marked.select(key, "flow", F.explode(F.array(*events)).alias("e")).select(key, "flow", "e.*")
+    running = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    side = lambda f: F.sum(F.when(F.col("flow") == f, F.col("d")).otherwise(0)).over(running)
+    return flat.select(key, "flow", F.col("at").alias("us"), "row", F.sum("n").over(running).alias("w_n"), side(True).alias("w_true"), side(False).alias("w_false")).where("row").drop("row")
+
+
 def fan_windows(edges: DataFrame, key: str, other: str, minimum: int, span_us: int) -> DataFrame:
     """Members of each account's widest trailing window with ``minimum`` distinct counterparties.
 
@@ -23,10 +42,9 @@ def fan_windows(edges: DataFrame, key: str, other: str, minimum: int, span_us: i
     semi-join is on the window's own key, so it costs no shuffle of its own beyond the aggregate.
     """
     able = edges.groupBy(key).agg(F.countDistinct(other).alias("d")).where(F.col("d") >= minimum).select(key)
-    w = Window.partitionBy(key).orderBy("us").rangeBetween(-span_us, 0)
-    seen = edges.join(able, key, "left_semi").select(
-        key, F.count("*").over(w).alias("w_n"), F.size(F.collect_set(other).over(w)).alias("w_d"), F.min("us").over(w).alias("w_from"), F.col("us").alias("w_to"))
-    best = widest_window(seen, key, F.col("w_d") >= minimum, F.col("us"), F.col("w_n"), True)
+    seen = window_counts(edges.join(able, key, "left_semi"), key, other, F.lit(True), span_us, False)
+    seen = seen.select(key, "w_n", "w_true", (F.col("us") - span_us).alias("w_from"), F.col("us").alias("w_to"))
+    best = widest_window(seen, key, F.col("w_true") >= minimum, F.col("w_to"), F.col("w_n"), True)
     return edges.join(best, key).where(F.col("us").between(F.col("w_from"), F.col("w_to")))
 
 

@@ -2,6 +2,9 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it again, so a lost executor costs no
 recomputation. The folder is the cluster's setting; only a local master may fall back to a temporary folder.
+
+Results are lazy and read these tables, so who stores a result decides when they go: what is written inside ``owned()``
+belongs to its caller, who hands the list to ``release`` once the result is stored. All else goes when the process ends.
 """
 
 from __future__ import annotations
@@ -10,10 +13,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-_own: list[str] = []
+_local: list[str] = []
+_left: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,15 +32,58 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="paytrail-core-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return "file://" + _own[0]
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="paytrail-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The paths that this thread writes inside the block belong to the list it gets."""
+    paths: list[str] = []
+    mark = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(mark)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused path below the shared folder."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    own = _owner.get()
+    if own is None:
+        if not _left:
+            atexit.register(_release_left)
+        own = _left
+    own.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its plan is a scan from there on."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted_cut(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The same with the number of rows, counted while they are written."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return table, seen.get["n"]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove the paths through Hadoop's file system layer, once all results that read them have been stored."""
+    while paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _release_left() -> None:
+    spark = SparkSession.getActiveSession()
+    with suppress(Exception):  # the JVM may be gone, and a temporary folder goes by itself
+        if spark is not None and not _local:
+            release(spark, _left)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 DAY_US = 86_400_000_000
@@ -34,7 +35,7 @@ class Params:
     aggregate_multiple: float = 1.0
     fan_min: int = 4
     cycle_min_hops: int = 3
-    cycle_max_hops: int = 25
+    cycle_max_hops: int | None = 25  # None, here and below: unbounded
     overlap: float = 0.6
     retained: float = 0.5
     scatter_min: int = 3
@@ -55,19 +56,21 @@ class Params:
     block_density: float = 0.8
     block_days: int = 21
     max_depth: int = 3
-    max_frontier: int = 200
-    max_block_senders: int = 500
-    max_block_side: int = 50
+    max_frontier: int | None = 200
+    max_block_senders: int | None = None
+    max_block_side: int | None = 50
     weights: Weights = field(default_factory=Weights)
     precedence: tuple[str, ...] = PRECEDENCE
+    #: Shapes beyond the nine: name -> function of (edges, params); ``precedence`` must place them.
+    extra: tuple[tuple[str, Callable], ...] = ()
 
     def __post_init__(self):
         if not 0 < self.band_fraction < 1:
             raise ValueError("band_fraction must lie between 0 and 1")
         if self.conservation[0] > self.conservation[1]:
             raise ValueError("the conservation band is upside down")
-        if sorted(self.precedence) != sorted(PRECEDENCE):
-            raise ValueError("precedence must name each of the nine shapes once")
+        if sorted(self.precedence) != sorted([*PRECEDENCE, *(k for k, _ in self.extra)]):
+            raise ValueError("precedence must name each of the nine shapes, and each extra one, once")
         if min(self.window_days, self.hub_days, self.send_hours, self.funnel_days, self.block_days) <= 0:
             raise ValueError("windows must be positive")
 
