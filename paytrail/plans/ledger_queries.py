@@ -249,8 +249,7 @@ LINKS = f"""pairs as (select distinct sender_account, receiver_account from ledg
 modest as (select receiver_account from pairs group by 1 having count(*) <= {P.max_block_side}),
 eligible as (select * from pairs where receiver_account in (select receiver_account from modest)),
 able as (select sender_account from eligible group by 1 having count(*) >= {P.block_min_dst}),
-top as (select sender_account from pairs where sender_account in (select sender_account from able) group by 1 order by count(*) desc, sender_account limit {P.max_block_senders}),
-own as (select * from eligible where sender_account in (select sender_account from top)),
+own as (select * from eligible where sender_account in (select sender_account from able)),
 links as (select a.sender_account as a, b.sender_account as b, count(*) as shared from own a join own b on a.receiver_account = b.receiver_account and a.sender_account < b.sender_account group by 1, 2 having count(*) >= {P.block_min_dst})"""
 BLOCKS = f"""{LINKS},
 reach as (select a as x, a as y from links union select b, b from links union select r.x, case when l.a = r.y then l.b else l.a end from reach r join links l on l.a = r.y or l.b = r.y),

@@ -11,26 +11,23 @@ from paytrail.sources import mt103
 from .ledger_queries import WITH
 from .registry import query, table
 
-OWN = "txn_ref like 'FGO%'"
-
-
 @query(f"""{WITH} select txn_ref as reference, '1' || regexp_replace(sender_account, '[^0-9]', '', 'g') as sender_account, '1' || regexp_replace(receiver_account, '[^0-9]', '', 'g') as receiver_account,
-  amount, currency, date_trunc('second', ts) as ts, sender_country, receiver_country, upper(replace(payment_kind, '_', ' ')) as instrument, 'Payment ' || txn_ref as memo from ledger where {OWN}""")
+  amount, currency, date_trunc('second', ts) as ts, sender_country, receiver_country, upper(replace(payment_kind, '_', ' ')) as instrument, 'Payment ' || txn_ref as memo from ledger""")
 def mt103_parse(spark, sf_dir):
     """Round trip: the ledger written as message logs and read back."""
-    logs = mt103.render_logs(source.ledger(spark, sf_dir).where(OWN))
+    logs = mt103.render_logs(source.ledger(spark, sf_dir))
     good, _, _ = mt103.ingest(logs)
     return good.select("reference", "sender_account", "receiver_account", "amount", "currency", "ts", "sender_country", "receiver_country", "instrument", "memo")
 
 
-@query(f"""{WITH} select txn_ref, ':32A:' || strftime(ts, '%y%m%d') || currency || replace(amount::varchar, '.', ',') as money from ledger where {OWN}""")
+@query(f"""{WITH} select txn_ref, ':32A:' || strftime(ts, '%y%m%d') || currency || replace(amount::varchar, '.', ',') as money from ledger""")
 def mt103_render(spark, sf_dir):
-    return mt103.render(source.ledger(spark, sf_dir).where(OWN)).select("txn_ref", F.regexp_extract("message", r"(?m)^(:32A:.*)$", 1).alias("money"))
+    return mt103.render(source.ledger(spark, sf_dir)).select("txn_ref", F.regexp_extract("message", r"(?m)^(:32A:.*)$", 1).alias("money"))
 
 
-@query(f"{WITH} select count(*) as declared, count(*) as parsed, count(distinct txn_ref) as distinct_references, 0::bigint as refused, 0::bigint as rescued, true as complete from ledger where {OWN}")
+@query(f"{WITH} select count(*) as declared, count(*) as parsed, count(distinct txn_ref) as distinct_references, 0::bigint as refused, 0::bigint as rescued, true as complete from ledger")
 def ingest_validation(spark, sf_dir):
-    return mt103.ingest(mt103.render_logs(source.ledger(spark, sf_dir).where(OWN)))[2]
+    return mt103.ingest(mt103.render_logs(source.ledger(spark, sf_dir)))[2]
 
 
 BREAKS = {  # one fault for every seventh message, by position
@@ -39,10 +36,10 @@ BREAKS = {  # one fault for every seventh message, by position
 }
 
 
-@query(f"{WITH} select 'log-' || txn_ref as file, case pos % 7 " + " ".join(f"when {k} then '{v[0]}'" for k, v in BREAKS.items()) + f" end as reason from ledger where {OWN}")
+@query(f"{WITH} select 'log-' || txn_ref as file, case pos % 7 " + " ".join(f"when {k} then '{v[0]}'" for k, v in BREAKS.items()) + f" end as reason from ledger")
 def mt103_quarantine(spark, sf_dir):
     """Every message with one fault, each in a log of its own, and the reason it is refused for."""
-    rows = mt103.render(source.ledger(spark, sf_dir).where(OWN))
+    rows = mt103.render(source.ledger(spark, sf_dir))
     broken = F.col("message")
     for k, (_, pattern, to) in BREAKS.items():
         broken = F.when(F.col("pos") % 7 == k, F.regexp_replace("message", pattern, to)).otherwise(broken)

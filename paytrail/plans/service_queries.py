@@ -41,19 +41,25 @@ def report_invariants(spark, sf_dir):
     return adjudicate.broken_invariants(findings, edges)
 
 
-@query(f"""{WITH}, e as (select distinct sender_account as a, receiver_account as b from ledger where sender_account <> receiver_account and sender_account like 'P%'),
-sym as (select a, b from e union select b, a from e), reach as (select a as x, a as y from sym union select r.x, s.b from reach r join sym s on s.a = r.y)
-select x as node, min(y) as root from reach group by 1""")
+CASES = f"""{WITH}, cases as (select shape || ':' || sender_account as a, shape || ':' || receiver_account as b, ts from ledger join ({source.labels_sql()}) l using (txn_ref) where sender_account <> receiver_account),
+sym as (select a, b from cases union select b, a from cases), reach as (select a as x, a as y from sym union select r.x, s.b from reach r join sym s on s.a = r.y), c as (select x, min(y) as root from reach group by 1)"""
+
+
+def _cases(spark, sf_dir):
+    """All labelled payments, the accounts of each shape apart."""
+    rows = source.ledger(spark, sf_dir).join(source.labels(spark), "txn_ref")
+    return rows.withColumns({c: F.concat_ws(":", "shape", c) for c in ("sender_account", "receiver_account")})
+
+
+@query(f"{CASES} select x as node, root from c")
 def typology_components(spark, sf_dir):
-    """Clusters of the planted accounts."""
-    return generate.clusters(source.ledger(spark, sf_dir).where("sender_account like 'P%'"))
+    """Clusters of the labelled cases, shape by shape."""
+    return generate.clusters(_cases(spark, sf_dir))
 
 
-@query(f"""{WITH}, e as (select distinct sender_account as a, receiver_account as b from ledger where sender_account <> receiver_account and sender_account like 'P%'),
-sym as (select a, b from e union select b, a from e), reach as (select a as x, a as y from sym union select r.x, s.b from reach r join sym s on s.a = r.y), c as (select x, min(y) as root from reach group by 1)
-select root, count(*) as n, count(distinct strftime(ts, '%Y-%m')) as months, count(distinct strftime(ts, '%Y-%m')) = 1 as inside from ledger join c on c.x = sender_account where sender_account <> receiver_account and sender_account like 'P%' group by 1""")
+@query(f"""{CASES} select root, count(*) as n, count(distinct strftime(ts, '%Y-%m')) as months, count(distinct strftime(ts, '%Y-%m')) = 1 as inside from cases join c on c.x = cases.a group by 1""")
 def cluster_containment(spark, sf_dir):
-    return generate.contained(source.ledger(spark, sf_dir).where("sender_account like 'P%'"))
+    return generate.contained(_cases(spark, sf_dir))
 
 
 @query(f"{WITH} select txn_ref, 'FGO' || strftime(ts, '%y%m%d') || lpad(row_number() over (partition by ts::date order by us, txn_ref)::varchar, 5, '0') as reference from ledger")
