@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from paytrail.plans.cut import cut
+
 
 #: Directions that a node tries.
 TRIALS = 16
@@ -167,7 +168,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     fine = fine.where(F.size("v") == dims[0]["d"])
     least = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     filed = fine.select("id", "v").withColumn("r", least).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    filed = shared_table(filed, "vectors")
+    filed = cut(filed, "vectors")
     n = filed.count()
     share = min(1.0, sample_rows / max(n, 1))
     sample = _matrix(filed.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()["v"])
@@ -182,7 +183,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["v", "ids", "leaves"])
 
     kind = fine.schema["v"].dataType.simpleString()
-    located = shared_table(filed.mapInArrow(file, f"v {kind}, ids array<long>, leaves array<int>"), "leaves")
+    located = cut(filed.mapInArrow(file, f"v {kind}, ids array<long>, leaves array<int>"), "leaves")
     placed = located.select("v", "ids", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((trees, 2**depth), dtype=np.int64)
     for r in located.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():  # at most trees * sample / 16

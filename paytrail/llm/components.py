@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from paytrail.plans.cut import cut
+
 
 #: Edges that one task may join (they and its arrays take about 100 MB).
 ONE_TASK = 1_000_000
@@ -68,7 +69,7 @@ def _small(edges: DataFrame) -> DataFrame:
 def _observed(edges: DataFrame) -> tuple[DataFrame, dict]:
     """The edges as a table, with their number and a checksum."""
     seen = Observation()
-    table = shared_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "components")
+    table = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "components")
     return table, seen.get
 
 
@@ -79,7 +80,7 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
     now, mark = _observed(joined.mapInArrow(_forests, "a long, b long"))
     if mark["n"] <= one_task:
         # at most ``one_task`` edges, as counted
-        now = shared_table(now.coalesce(1).mapInArrow(_forests, "a long, b long"), "components")
+        now = cut(now.coalesce(1).mapInArrow(_forests, "a long, b long"), "components")
     else:
         before = None
         while mark != before:

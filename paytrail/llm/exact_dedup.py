@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bound_batches, shared_table
+from paytrail.plans.cut import cut
+
+from .storage import bound_batches
 
 #: Bytes by which a heavy prefix is extended in one round.
 STEP = 2
@@ -164,7 +166,7 @@ def _groups(docs: DataFrame, key: str, text: str, carry: list[str], leaf_bytes:
     slim = docs.select(*own)
     if carry:
         kind = kind.add("rest", slim.schema["rest"].dataType)
-    table = shared_table(slim.mapInArrow(lambda it: _local(it, buffer_bytes), kind), "radix")
+    table = cut(slim.mapInArrow(lambda it: _local(it, buffer_bytes), kind), "radix")
     reps = table.where(F.col("n") > 0)
     heavy, ended = heavy_prefixes(reps.select("size", "head", "body"), leaf_bytes)
     reps = reps.select("row_id", "key", "n", "body")
@@ -192,7 +194,7 @@ def _groups(docs: DataFrame, key: str, text: str, carry: list[str], leaf_bytes:
 
     routed = reps.mapInArrow(route, "leaf binary, ended long, row_id long, key long, n long, body binary, sha string")
     if ended:
-        routed = shared_table(routed, "radix-leaves")
+        routed = cut(routed, "radix-leaves")
     final = routed.where(F.col("leaf").isNotNull()).groupBy("leaf").applyInArrow(finish, "rep long, keep_row long, keep_id long, group_size long, text_sha256 string")
     if ended:
         over = routed.where(F.col("ended").isNotNull())

@@ -19,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paytrail.plans.cut import cut
+
 from .labelled import Packed, fit_in_task, labelled_texts
 from .networks import TwoLayer
 from .pieces import text_blocks
-from .storage import bound_batches, shared_table
+from .storage import bound_batches
 from .words import strings, word_numbers
 
 #: Domains of the production query, by the labels' columns, and the share of tokens that each is to have.
@@ -235,7 +237,7 @@ def goal_of(targets: Mapping[str, float | None], shares: np.ndarray) -> np.ndarr
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None] | None = None, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", rows: int = 4000, top: float = math.inf, prefix: str = "") -> DataFrame:
     """One row per input row: ``keep`` (default ``key``), ``tokens``, ``p_<domain>`` for each domain, ``rate`` (0 to
-    ``top``), ``copies`` (the rate rounded up or down, at random by a hash of key and text, so that copies have the
+    ``top``), ``tokens`` being words between white space and an end mark, ``copies`` (the rate rounded up or down, at random by a hash of key and text, so that copies have the
     rate as their mean) and ``off_<domain>`` (share of the tokens that the rates reach less that of the target, the same in
     all rows). ``prefix`` stands before the names of the columns that are added.
 
@@ -248,8 +250,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None]
     targets = TARGETS if targets is None else targets
     keep = [key] if keep is None else keep
     goal_of(targets, np.zeros(len(DOMAINS)))
-    salted = docs.withColumn("__hash", F.xxhash64(F.col(key), F.col(text)))
-    members = shared_table(memberships(salted, fit(docs, labels, key, text, rows), [*keep, "__hash"], text), "members")
+    slim = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.xxhash64(F.col(key), F.col(text)).alias("hash"), F.col(text).alias("text"))
+    members = cut(memberships(slim, fit(docs, labels, key, text, rows), slim.columns[:-1], "text"), "members")
     slim = members.select(F.col("__tokens").alias("tokens"), F.col("__posterior").alias("posterior"))
     sums = slim.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(DOMAINS)))).first()
     n, has = float(sums[0] or 1), np.array([x or 0.0 for x in sums[1:]])
@@ -264,7 +266,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None]
         for b in batches:
             p = b.column(b.schema.get_field_index("__posterior")).flatten().to_numpy().reshape(-1, len(goal))
             r, _ = replay(p, start, gradients, momentum, top)
-            u = (b.column(b.schema.get_field_index("__hash")).to_numpy().view(np.uint64) >> np.uint64(11)) / 2.0**53
+            u = (b.column(b.schema.get_field_index("hash")).to_numpy().view(np.uint64) >> np.uint64(11)) / 2.0**53
             cols = [b.column(i) for i in range(len(keep))] + [b.column(b.schema.get_field_index("__tokens"))] + [pa.array(p[:, i]) for i in range(len(goal))]
             miss = [pa.array(np.full(len(r), x)) for x in off]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r), pa.array(np.floor(r + u).astype(np.int32)), *miss], names=[*keep, *names])
@@ -276,6 +278,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None]
 
 def resample(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say, all columns."""
-    rates = mix(docs, labels, targets, docs.columns, key, text, prefix="__mix_")
-    often = rates.where(F.col("__mix_copies") > 0).withColumn("__c", F.explode(F.expr("sequence(1, __mix_copies)")))
+    prefix = "__mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    rates = mix(docs, labels, targets, docs.columns, key, text, prefix=prefix)
+    copies = F.col(f"{prefix}copies")
+    often = rates.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)))
     return often.select(docs.columns)

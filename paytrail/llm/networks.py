@@ -59,7 +59,7 @@ class TwoLayer:
         if spare.any():
             logits, truth = self._logits(z[spare])[1], y[spare]
             loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
-            self.temperature = float(min(np.geomspace(1.0, 5.0, 33), key=loss))
+            self.temperature = float(min(np.geomspace(0.2, 5.0, 65), key=loss))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

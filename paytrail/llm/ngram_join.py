@@ -22,9 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paytrail.plans.cut import cut
+
 from .components import connected_components
 from .pieces import text_blocks
-from .storage import bound_batches, shared_table
+from .storage import bound_batches, free_name
 from .words import strings, word_numbers
 
 #: Rows of document ids that may be broadcast (16 bytes each); beyond, they are joined by shuffle.
@@ -168,16 +170,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
-    table = shared_table(signatures(docs, key, text, n, bands, rows), "signatures")
+    table = cut(signatures(docs, key, text, n, bands, rows), "signatures")
     known = table.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
     # first() takes one copy's bands: equal sets have equal bands
-    classes = shared_table(known.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("size"), F.first("grams").alias("n_grams"), F.first("bands").alias("bands")), "classes")
+    classes = cut(known.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("size"), F.first("grams").alias("n_grams"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
     least = keyed.groupBy("h").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     linked = connected_components(keyed.join(least, "h").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     members = linked.join(classes.select(F.col("rep").alias("node"), "size", "n_grams"), "node")
     weight = members.groupBy("root").agg(F.sum("n_grams").alias("g")).withColumn("nb", F.ceil(F.col("g") / block_grams).cast("int"))
-    info = shared_table(members.join(weight, "root").select(F.col("node").alias("rep"), "root", "size", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk")), "members")
+    info = cut(members.join(weight, "root").select(F.col("node").alias("rep"), "root", "size", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk")), "members")
     held = info.agg(F.count("*").alias("rows"), F.max("nb").alias("blocks")).first()
     small = held["rows"] <= BROADCAST_ROWS
 
@@ -196,7 +198,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     sets = chosen.mapInArrow(full_sets, "root long, rep long, size long, nb int, blk int, set array<long>")
     pairs = sets.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
     compared = pairs.groupBy("root", "i", "j").applyInArrow(lambda t: _compare(t, threshold), "rep long, root long, links long")
-    found = shared_table(compared, "compared")
+    found = cut(compared, "compared")
     # a component in one block has its root; those of several blocks are joined through their blocks' roots
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))) if (held["blocks"] or 0) > 1 else None
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root0"))
@@ -218,8 +220,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     """One row of ``docs`` for each near-duplicate class, all columns: that with the least key and, of one key's rows, the
     first; one with a null key only if no row of the class has a key. Rows are numbered once by place and compared under their
     numbers, so rows that repeat a key, or have none, are told apart."""
-    number = "__near_row"
-    rows = shared_table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    number = free_name("__near_row", docs)
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     classes = near_classes(rows, number, text, **options).select(number, "class_id")
     least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(number).alias("row")))
     kept = classes.join(rows.select(number, key), number).groupBy("class_id").agg(least.alias("least")).select(F.col("least.row").alias(number))

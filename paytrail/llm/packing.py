@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from paytrail.plans.cut import cut
+
 from .token_counts import count_tokens
 
 #: Permitted sequence lengths of the production query.
@@ -87,7 +88,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, sizes: Sequence[int] = SIZES
     if not sizes or sizes[0] < 1:
         raise ValueError("sizes must be positive")
     slim = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
-    counted = shared_table(count_tokens(slim, tokenizer, text="t", keep=["k", "h"]).select("k", "h", (F.col("n_tokens") + 1).alias("n")), "lengths")
+    counted = cut(count_tokens(slim, tokenizer, text="t", keep=["k", "h"]).select("k", "h", (F.col("n_tokens") + 1).alias("n")), "lengths")
     groups = max(1, math.ceil(counted.count() / group_rows))
     times = counted.groupBy("k", "h", "n").agg(F.count("*").alias("c")).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / COPIES).cast("int"))))
     dealt = times.select("k", "h", "n", F.least(F.col("c") - F.col("part") * COPIES, F.lit(COPIES)).cast("int").alias("c"), F.pmod(F.xxhash64("h", "part"), F.lit(groups)).alias("g"))

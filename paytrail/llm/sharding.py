@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import shared_table
+from paytrail.plans.cut import cut
+
 
 #: A Mersenne prime; 5 is coprime to P - 1, so the fifth power permutes the residues. Products stay below 2**62.
 P = 2**31 - 1
@@ -74,7 +75,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, key
     slim = docs.select(F.col(key).alias("__k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     blocks = max(1, math.ceil(docs.count() / (len(weights) * block_rows)))
     rows = assign(slim, "__k", weights).withColumn("__block", F.col("__b") % blocks).drop("__b")
-    rows = shared_table(rows, "shards")
+    rows = cut(rows, "shards")
     counts = rows.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "__block", F.coalesce(before, F.lit(0)).alias("__before"))

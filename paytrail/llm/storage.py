@@ -1,62 +1,24 @@
-"""Tables in the folder that all executors share.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it again, so a lost executor costs no
-recomputation. The folder is the cluster's setting; only a local master may fall back to a temporary folder.
-"""
+"""How these operators keep tables and batches: shared tables are those of ``paytrail.plans.cut``."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-_written: list[str] = []
+from paytrail.plans.cut import cut
 
 
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Have Spark hand texts to Python in Arrow batches of about ``size`` bytes, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; for ``local[*]`` without one, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="paytrail-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return "file://" + _own[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path below the shared folder, remembered for ``release_tables``."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
-    return path
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a path through Hadoop's file system layer."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
-
-
-def release_tables(spark: SparkSession) -> None:
-    """Delete every table written so far; call only when all results built on them have been stored elsewhere."""
-    while _written:
-        delete_path(spark, _written.pop())
+    """Have Spark hand texts to Python in Arrow batches of about ``size`` bytes, whatever their length. The setting is the
+    session's and stays, since results are lazy and run after the operator has returned; a smaller one is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(name, str(size))
+
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """``base``, with underscores behind it until none of the frames has such a column, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

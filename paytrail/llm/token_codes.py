@@ -27,8 +27,10 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paytrail.plans.cut import new_path
+
 from .pieces import Cut, special_strings, text_blocks, unsafe, with_special
-from .storage import bound_batches, new_path
+from .storage import bound_batches
 from .token_counts import byte_symbols
 from .words import strings
 

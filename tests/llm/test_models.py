@@ -1,10 +1,12 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from paytrail.llm import labelled, mixing, quality, toxicity
+from paytrail.llm import labelled, mixing, networks, quality, toxicity, word_vectors
 
 RNG = random.Random(4)
 WORDS = ["".join(RNG.choice("abcdefghijkl") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -182,3 +184,85 @@ def test_sample_passes_over_long_texts_and_labels_without_a_document(spark):
     whole = labelled.labelled_texts(docs, labels, ["quality"], rows=100).collect()
     short = labelled.labelled_texts(docs, labels, ["quality"], rows=100, chars=1000).collect()
     assert len(whole) > 60 and len(short) == sum(len(r["text"]) == 10 for r in whole)
+
+
+def test_network_equals_a_plain_restatement():
+    """The recurrent network with attention, word by word and unit by unit."""
+    net, texts = toxicity.Network(), ["One two, three!", " ".join(RNG.choice(WORDS) for _ in range(30))]
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for text in texts:
+        xs = []
+        for word in text.split():
+            bucket, grams, _ = toxicity.word_features(pa.array([word]))
+            chars = [sum(float(net.gram[g, k]) for g in grams) / max(len(grams), 1) for k in range(toxicity.PART)]
+            xs.append([float(v) for v in net.word[bucket[0]]] + chars)
+        states = {}
+        for d in "fb":
+            h, out = [0.0] * toxicity.UNITS, []
+            w, u, c, n = net.p[f"w{d}"], net.p[f"u{d}"], net.p[f"c{d}"], toxicity.UNITS
+            for x in xs if d == "f" else xs[::-1]:
+                a = [sum(x[i] * w[i, j] for i in range(len(x))) + c[j] for j in range(3 * n)]
+                b = [sum(h[i] * u[i, j] for i in range(n)) for j in range(3 * n)]
+                keep = [sigmoid(a[j] + b[j]) for j in range(n)]
+                new = [math.tanh(a[2 * n + j] + sigmoid(a[n + j] + b[n + j]) * b[2 * n + j]) for j in range(n)]
+                h = [keep[j] * h[j] + (1 - keep[j]) * new[j] for j in range(n)]
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        both = [f + b for f, b in zip(states["f"], states["b"])]
+        attend = [sum(net.p["va"][k] * math.tanh(sum(h[i] * net.p["wa"][i, k] for i in range(len(h))) + net.p["ba"][k]) for k in range(toxicity.ATTEND)) for h in both]
+        share = [math.exp(s) / sum(map(math.exp, attend)) for s in attend]
+        want = sum(e * sum(h[i] * net.p["wo"][i] for i in range(len(h))) for e, h in zip(share, both)) + net.p["bo"][0]
+        assert net.logits(pa.array([text]))[0] == pytest.approx(float(want), abs=1e-5)
+
+
+def test_pooled_vectors_equal_a_plain_restatement():
+    texts = ["A b, b 12 CAPS!!", "", "b a b zz 7", "a b c a b c"]
+    known = word_vectors.fit_context(texts, min_docs=2)
+    chosen = sorted(known)
+    assert chosen == ["<num>", "a", "b"]
+    lists = [[t for p in x.split() for t in word_vectors.tokens_of(p)] for x in texts]
+    own = lambda t: word_vectors.index_vectors([t])[0].astype(float)
+    vectors = {}
+    for t in chosen:
+        around = np.zeros(word_vectors.DIMS)
+        for x in lists:
+            for i, at in enumerate(x):
+                if at == t:
+                    for j in range(max(0, i - 2), min(len(x), i + 3)):
+                        around += own(x[j]) if j != i and x[j] in known else 0
+        vectors[t] = own(t) + around / max(np.linalg.norm(around), 1e-9)
+        assert np.allclose(known[t], vectors[t], atol=1e-5)
+    pooled = word_vectors.Pooler(known).pool(pa.array(texts))
+    for row, x, text in zip(pooled, lists, texts):
+        want = sum((vectors.get(t, own(t)) for t in x), np.zeros(word_vectors.DIMS)) / max(len(x), 1)
+        pieces = text.split()
+        again = np.mean([a == b for a, b in zip(pieces, pieces[1:])]) if len(pieces) > 1 else 0
+        assert np.allclose(row[:-2], want, atol=1e-5) and row[-2] == pytest.approx(math.log1p(len(x)) / 10) and row[-1] == pytest.approx(again)
+
+
+@pytest.mark.parametrize("sharp", [True, False])
+def test_two_layers_equal_a_plain_restatement_and_are_calibrated_both_ways(sharp):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 3))
+    y = (x[:, 0] + (0.05 if sharp else 1.5) * rng.standard_normal(600) > 0).astype(np.int64)
+    spare = np.arange(600) % 3 == 0
+    net = networks.TwoLayer(2, 6).fit(x, y, spare, epochs=10 if sharp else 120)
+    for row, got in zip(x[:5], net.predict(x[:5])):
+        z = [(v - m) / s for v, m, s in zip(row, net.mean, net.scale)]
+        h = [math.tanh(sum(z[i] * net.p["w1"][i, j] for i in range(3)) + net.p["b1"][j]) for j in range(6)]
+        e = [math.exp((sum(h[j] * net.p["w2"][j, k] for j in range(6)) + net.p["b2"][k]) / net.temperature) for k in (0, 1)]
+        assert got.tolist() == pytest.approx([v / sum(e) for v in e])
+    assert net.temperature < 1 if sharp else net.temperature > 0.2
+    loss = lambda p: -np.log(p[np.arange(200), y[spare]]).mean()
+    tuned, temperature = loss(net.predict(x[spare])), net.temperature
+    net.temperature = 1.0
+    assert tuned <= loss(net.predict(x[spare])) + 1e-9 and temperature != 1.0
+
+
+def test_mixing_with_clashing_names(spark, tables):
+    docs, labels, _ = tables
+    odd = docs.limit(40).withColumns({"__hash": F.lit(1), "__tokens": F.lit("t"), "__mix_copies": F.lit(0), "__text": F.lit("x"), "rate": F.lit(2.0), "hash": F.lit("h")})
+    out = mixing.resample(odd, labels)
+    assert out.columns == odd.columns and {r["__mix_copies"] for r in out.collect()} <= {0}
