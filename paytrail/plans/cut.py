@@ -83,7 +83,11 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def _release_left() -> None:
+    """At the end of the process; without a session only what the driver's own file system reaches can go."""
     spark = SparkSession.getActiveSession()
-    with suppress(Exception):  # the JVM may be gone, and a temporary folder goes by itself
-        if spark is not None and not _local:
+    with suppress(Exception):  # the JVM may be gone
+        if spark is not None:
             release(spark, _left)
+    for path in _left:
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
