@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, mixing, ngram_join, packing, quality, sharding, token_codes, token_counts, toxicity, turn_repair
+from . import ann, exact_dedup, html_cut, mixing, ngram_join, packing, quality, sharding, token_codes, token_counts, toxicity, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_cut.extract(pages, html_cut.fit(pages))
+
+
 #: Exact for the whole table, though by grouping whole texts, not by radix.
 EXACT_DEDUP_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents)
@@ -91,7 +96,7 @@ from documents d join classes c using (doc_id) left join sets s using (doc_id) l
 
 
 def queries() -> dict:
-    own = (op1_source_mixing, op2_nearest_neighbours, op3_rendezvous_shards, op4_ngram_join, op5_token_codes, op6_token_counts, op7_toxicity, op8_exact_dedup, op9_quality, op10_best_fit_packing, op11_turn_repair)
+    own = (op1_source_mixing, op2_nearest_neighbours, op3_rendezvous_shards, op4_ngram_join, op5_token_codes, op6_token_counts, op7_toxicity, op8_exact_dedup, op9_quality, op10_best_fit_packing, op11_turn_repair, op12_html_extraction)
     return {f.__name__: f for f in own}
 
 
