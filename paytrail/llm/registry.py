@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_cut, mixing, ngram_join, packing, quality, sharding, token_codes, token_counts, toxicity, turn_repair
+from . import ann, exact_dedup, hard_negatives, html_cut, mixing, ngram_join, packing, quality, sharding, token_codes, token_counts, toxicity, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract(pages, html_cut.fit(pages))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 #: Exact for the whole table, though by grouping whole texts, not by radix.
 EXACT_DEDUP_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents)
@@ -96,9 +100,9 @@ from documents d join classes c using (doc_id) left join sets s using (doc_id) l
 
 
 def queries() -> dict:
-    own = (op1_source_mixing, op2_nearest_neighbours, op3_rendezvous_shards, op4_ngram_join, op5_token_codes, op6_token_counts, op7_toxicity, op8_exact_dedup, op9_quality, op10_best_fit_packing, op11_turn_repair, op12_html_extraction)
+    own = (op1_source_mixing, op2_nearest_neighbours, op3_rendezvous_shards, op4_ngram_join, op5_token_codes, op6_token_counts, op7_toxicity, op8_exact_dedup, op9_quality, op10_best_fit_packing, op11_turn_repair, op12_html_extraction, op13_hard_negatives)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rendezvous_shards": sharding.oracle(), "op4_ngram_join": NGRAM_JOIN_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL, "op11_turn_repair": turn_repair.ORACLE}
+    return {"op3_rendezvous_shards": sharding.oracle(), "op4_ngram_join": NGRAM_JOIN_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL, "op11_turn_repair": turn_repair.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
