@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import reduce
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from paytrail.plans.cut import counted_cut, cut
 from paytrail.plans.params import DAY_US, HOUR_US, Params
 
 from .components import connected_components
-from .greedy import keep_first
+from .greedy import absorbed, in_order
 from .scoring import as_candidates, summarise
 from .windows import fan_windows, maximal_runs, widest_window, window_counts
 
@@ -162,22 +163,36 @@ def layered_fan(edges: DataFrame, direction: str, params: Params = Params()) ->
     return summarise(rows, ["anchor", "direction", "branch_count", "leaf_count"], "layered_fan", params.leaves_min + params.branch_min, params)
 
 
+def _goes_on(params: Params, where: Column) -> Column:
+    """Whether leg ``e_`` continues a path: it leaves where the path is, in time."""
+    later = F.col("e_us").between(F.col("us"), F.col("us") + params.window_days * DAY_US)
+    return (F.col("current") == F.col("e_sender_account")) & later & where
+
+
+def _legs(edges: DataFrame) -> DataFrame:
+    return edges.select(*(F.col(c).alias(f"e_{c}") for c in ("pos", "sender_account", "receiver_account", "amount", "us")))
+
+
+def _fresh() -> Column:
+    return ~F.array_contains("visited", F.col("e_receiver_account")) & (F.col("e_receiver_account") != F.col("origin"))
+
+
 def _fronts(edges: DataFrame, params: Params, first: int = 1) -> list[DataFrame]:
-    """Simple paths forward in time, a table for each number of hops from ``first`` on; see ``temporal_paths``."""
-    own = ["pos", "txn_ref", "sender_account", "receiver_account", "amount", "us"]
-    e = edges.select(*own)
-    nxt = e.select(*(F.col(c).alias(f"e_{c}") for c in own))
-    front = e.select(
-        F.array("pos").alias("path"), F.array("txn_ref").alias("refs"), F.array("amount").alias("amounts"), F.array("us").alias("times"), F.array_distinct(F.array("sender_account", "receiver_account")).alias("visited"),
-        F.col("sender_account").alias("origin"), F.col("receiver_account").alias("current"), "us", F.lit(1).alias("hops"), F.lit(False).alias("closed"),
+    """Simple paths forward in time, a table for each number of hops from ``first`` on. A path carries the positions of its
+    legs and the accounts it has been to; what else its legs say is joined by who needs it."""
+    nxt, home = _legs(edges), F.col("e_receiver_account") == F.col("origin")
+    front = edges.select(
+        F.array("pos").alias("path"), F.array_distinct(F.array("sender_account", "receiver_account")).alias("visited"), F.col("sender_account").alias("origin"), F.col("receiver_account").alias("current"),
+        F.col("amount").alias("sent"), "amount", "us", F.lit(1).alias("hops"), F.lit(False).alias("closed"),
     )
-    found, home, hop = [front] if first == 1 else [], F.col("e_receiver_account") == F.col("origin"), 1
-    later = F.col("e_us").between(F.col("us"), F.col("us") + params.window_days * DAY_US)
+    found, hop = [front] if first == 1 else [], 1
     while params.cycle_max_hops is None or hop < params.cycle_max_hops:
         hop += 1
-        step = front.where(~F.col("closed")).join(nxt, (F.col("current") == F.col("e_sender_account")) & later & (home | ~F.array_contains("visited", F.col("e_receiver_account"))))
-        add = lambda c, x: F.concat(F.col(c), F.array(f"e_{x}")).alias(c)
-        front = step.select(add("path", "pos"), add("refs", "txn_ref"), add("amounts", "amount"), add("times", "us"), add("visited", "receiver_account"), "origin", F.col("e_receiver_account").alias("current"), F.col("e_us").alias("us"), F.lit(hop).alias("hops"), home.alias("closed"))
+        step = front.where(~F.col("closed")).join(nxt, _goes_on(params, home | _fresh()))
+        front = step.select(
+            F.concat("path", F.array("e_pos")).alias("path"), F.when(home, F.col("visited")).otherwise(F.concat("visited", F.array("e_receiver_account"))).alias("visited"), "origin",
+            F.col("e_receiver_account").alias("current"), "sent", F.col("e_amount").alias("amount"), F.col("e_us").alias("us"), F.lit(hop).alias("hops"), home.alias("closed"),
+        )
         if hop < first:
             continue
         front, n = counted_cut(front, "paths")
@@ -187,43 +202,40 @@ def _fronts(edges: DataFrame, params: Params, first: int = 1) -> list[DataFrame]
     return found
 
 
-def _paths(fronts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, fronts).withColumn("parent", F.expr("slice(path, 1, hops - 1)")).drop("visited", "us")
+def with_refs(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """``paths`` with ``refs``, the references of their legs in order."""
+    legs = paths.select("path", F.posexplode("path").alias("k", "pos")).join(edges.select("pos", "txn_ref"), "pos")
+    refs = legs.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "txn_ref"))), lambda x: x["txn_ref"]).alias("refs"))
+    return paths.join(refs, "path")
 
 
 def temporal_paths(edges: DataFrame, params: Params = Params()) -> DataFrame:
-    """All simple paths forward in time, each hop within the window of the last: ``path`` (positions), ``refs``, ``hops``,
-    ``origin``, ``current``, ``closed`` (back at the origin), ``parent`` (the path without its last hop)."""
-    return _paths(_fronts(edges, params))
+    """All simple paths forward in time, each hop within the window of the last: ``path`` (positions), ``hops``, ``origin``,
+    ``current``, ``closed`` (back at the origin), ``sent`` and ``amount`` (of the first and the last leg)."""
+    return reduce(DataFrame.unionByName, _fronts(edges, params)).drop("visited", "us")
 
 
 def chains(edges: DataFrame, params: Params = Params()) -> DataFrame:
-    """Closed rings, and open paths that no hop extends, of enough hops. Shorter paths are passed through, never written."""
+    """Closed rings, and open paths that no hop extends, of enough hops. Shorter paths are passed through, never written. A
+    ring's last hop extends nothing, nor does one beyond ``cycle_max_hops``."""
     fronts = _fronts(edges, params, params.cycle_min_hops)
     if not fronts:
         return temporal_paths(edges.limit(0), params)
-    done = []
-    for front, longer in zip(fronts, [*fronts[1:], None], strict=True):
-        own = _paths([front])
-        if longer is not None:
-            # a path that goes on is the parent of an open one; a ring's last hop isn't an extension
-            on = _paths([longer]).where("not closed").select(F.col("parent").alias("path")).distinct()
-            own = own.where("closed").unionByName(own.where("not closed").join(on, "path", "left_anti"))
-        done.append(own)
-    return reduce(DataFrame.unionByName, done)
+    nxt, done = _legs(edges), []
+    for front, more in zip(fronts, [*fronts[1:], None], strict=True):
+        done.append(front if more is None else front.where("closed").unionByName(front.where("not closed").join(nxt, _goes_on(params, _fresh()), "left_anti")))
+    return reduce(DataFrame.unionByName, done).drop("visited", "us")
 
 
 def cycle(edges: DataFrame, params: Params = Params()) -> DataFrame:
     """Money that travels on, hop after hop, and mostly arrives. Of chains that overlap the longer stays; ties go to the
     earlier rows."""
-    kept = F.col("amounts")[F.col("hops") - 1].cast("double") / F.col("amounts")[0].cast("double")
-    own = chains(edges, params).withColumn("retained", kept).where(F.col("retained") >= params.retained)
-    own = own.withColumns({"id": F.array_join(F.transform("path", lambda x: x.cast("string")), "-"), "rank": F.struct((-F.col("hops")).alias("a"), F.col("path").alias("b"))})
-    own = cut(own.select("id", "rank", "refs", "amounts", "times", "origin", "hops", "retained"), "chains")  # refs don't repeat
-    verdict = keep_first(own, params.overlap, stored=True).where("kept").select("id")
-    rows = own.join(verdict, "id", "left_semi").select("id", F.col("origin").alias("anchor"), "hops", F.round("retained", 4).alias("retained_fraction"), F.explode(F.arrays_zip("refs", "amounts", "times")).alias("m"))
-    rows = rows.select("id", "anchor", "hops", "retained_fraction", F.col("m.refs").alias("txn_ref"), F.col("m.amounts").alias("amount"), F.col("m.times").alias("us"))
-    return summarise(rows, ["id", "anchor", "hops", "retained_fraction"], "cycle", params.cycle_min_hops, params).drop("id")
+    own = chains(edges, params).withColumn("retained", F.col("amount").cast("double") / F.col("sent").cast("double")).where(F.col("retained") >= params.retained)
+    own = own.select(F.col("path").alias("refs"), F.struct((-F.col("hops")).alias("a"), F.col("path").alias("b")).alias("rank"), F.lit("").alias("id"), F.col("origin").alias("anchor"), "hops", F.round("retained", 4).alias("retained_fraction"))
+    own = in_order(own)
+    keys = ["no", "anchor", "hops", "retained_fraction"]
+    rows = own.join(absorbed(own, params.overlap), "no", "left_anti").select(*keys, F.explode("refs").alias("pos")).join(edges.select("pos", *MEMBER), "pos")
+    return summarise(rows, keys, "cycle", params.cycle_min_hops, params).drop("no")
 
 
 def sender_pairs(edges: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -293,5 +305,7 @@ def detect_raw(edges: DataFrame, params: Params = Params(), at_once: int = 9) ->
     with ThreadPoolExecutor(at_once) as pool:
         # the longest first
         order = sorted(own, key=lambda k: {"cycle": 0, "bipartite": 1, "layered_fan": 2, "structuring": 3}.get(k, 4))
-        jobs = {k: pool.submit(inheritable_thread_target(spark)(lambda f=own[k]: cut(as_candidates(f(edges, params)), "candidates"))) for k in order}
+        work = lambda f: inheritable_thread_target(spark)(lambda: cut(as_candidates(f(edges, params)), "candidates"))
+        # each thread takes the caller's context along, and with it who owns the tables
+        jobs = {k: pool.submit(copy_context().run, work(own[k])) for k in order}
     return reduce(DataFrame.unionByName, [jobs[k].result() for k in own])

@@ -226,18 +226,21 @@ PATHS = f"""paths as (
 
 @query(f"{WITH}, {PATHS} select array_to_string(refs, '|') as refs, hops, closed from paths")
 def temporal_paths(spark, sf_dir):
-    return detectors.temporal_paths(_edges(spark, sf_dir), P).select(F.array_join("refs", "|").alias("refs"), "hops", "closed")
+    edges = _edges(spark, sf_dir)
+    return detectors.with_refs(detectors.temporal_paths(edges, P), edges).select(F.array_join("refs", "|").alias("refs"), "hops", "closed")
 
 
 @query(f"{WITH}, {PATHS} select origin, array_to_string(refs, '|') as refs, hops from paths where closed and hops >= {P.cycle_min_hops}")
 def cycle_rings(spark, sf_dir):
-    return detectors.chains(_edges(spark, sf_dir), P).where("closed").select("origin", F.array_join("refs", "|").alias("refs"), "hops")
+    edges = _edges(spark, sf_dir)
+    return detectors.with_refs(detectors.chains(edges, P).where("closed"), edges).select("origin", F.array_join("refs", "|").alias("refs"), "hops")
 
 
 @query(f"""{WITH}, {PATHS}, longer as (select distinct refs[1:hops - 1] as refs from paths where not closed and hops > 1)
 select origin, array_to_string(refs, '|') as refs, hops, closed from paths p where hops >= {P.cycle_min_hops} and (closed or not exists (select 1 from longer l where l.refs = p.refs))""")
 def cycle_chains(spark, sf_dir):
-    return detectors.chains(_edges(spark, sf_dir), P).select("origin", F.array_join("refs", "|").alias("refs"), "hops", "closed")
+    edges = _edges(spark, sf_dir)
+    return detectors.with_refs(detectors.chains(edges, P), edges).select("origin", F.array_join("refs", "|").alias("refs"), "hops", "closed")
 
 
 @query()

@@ -102,6 +102,27 @@ def test_greedy_rounds_equal_the_ordered_fold(spark, seed):
         assert got == keep_brute(sets, 0.6)
 
 
+def test_greedy_with_equal_sets_and_hot_refs(spark):
+    rng = random.Random(8)
+    base = [[f"t{x}" for x in rng.sample(range(9), rng.randint(1, 4))] for _ in range(15)]
+    sets = {f"c{i:03d}": (rng.randrange(3), rng.choice(base) + ["hot"] * rng.randint(0, 1)) for i in range(150)}
+    df = spark.createDataFrame([(k, r, [*refs, refs[0]]) for k, (r, refs) in sets.items()] + [("none", 0, [])], "id string, rank int, refs array<string>")
+    for most in (10**6, 0):
+        got = {r.id: r.absorber for r in greedy.keep_first(df, 0.6, most).collect()}
+        assert got.pop("none") is None and got == keep_brute(sets, 0.6)
+    assert all(r.kept for r in greedy.keep_first(df, 1.0).collect())
+
+
+def test_a_ref_in_thousands_of_sets_makes_no_pair_list(spark):
+    sets = spark.range(5000).select(F.col("id").alias("no"), F.array(F.lit("hot"), *(F.concat(F.lit(c), F.col("id").cast("string")) for c in "abc")).alias("refs"))
+    sets = sets.unionByName(spark.createDataFrame([(6000, ["a7", "b7", "hot"]), (6001, ["hot"]), (6002, ["hot", "new"])], sets.schema))
+    # 6001 asks for the hot ref itself, whose 5001 earlier holders all cover it; 6002 needs both its refs and asks for the rare one
+    pairs = {tuple(r) for r in greedy.candidate_pairs(sets, 0.6, hot_ref=100).collect()}
+    assert {p for p in pairs if p[1] != 6001} == {(7, 6000)} and len(pairs) == 5002
+    got = {(r["sup"], r["sub"]) for r in greedy.covering_pairs(sets, 0.6).collect()}
+    assert got == pairs
+
+
 def deposit_brute(legs):
     out, accounts = set(), {leg[1] for leg in legs}
     for a in accounts:
@@ -181,6 +202,16 @@ def test_planted_shapes_are_found_and_ids_are_stable(spark):
     assert all(r.found == r.instances for r in rec.values()) and sum(r.named for r in rec.values()) >= 10
 
 
+def test_tables_of_detectors_in_threads_belong_to_the_caller(spark):
+    from paytrail.plans import cut
+
+    before = list(cut._left)
+    with cut.owned() as own:
+        detectors.detect_raw(edges(spark, [("a", "b", 100, 0), ("b", "c", 90, 1), ("c", "a", 80, 2)])).count()
+    assert len(own) >= 9 and cut._left == before
+    cut.release(spark, own)
+
+
 def test_empty_ledger(spark):
     none = edges(spark, [])
     assert detectors.detect_raw(none).count() == 0
