@@ -8,11 +8,15 @@ from paytrail.operators import report, retrieval
 from paytrail.sources import ledger as source
 from paytrail.sources import mt103
 
+from .cut import new_path
 from .ledger_queries import WITH
 from .registry import query, table
 
-@query(f"""{WITH} select txn_ref as reference, '1' || regexp_replace(sender_account, '[^0-9]', '', 'g') as sender_account, '1' || regexp_replace(receiver_account, '[^0-9]', '', 'g') as receiver_account,
-  amount, currency, date_trunc('second', ts) as ts, sender_country, receiver_country, upper(replace(payment_kind, '_', ' ')) as instrument, 'Payment ' || txn_ref as memo from ledger""")
+PARSED = f"""{WITH} select txn_ref as reference, '1' || regexp_replace(sender_account, '[^0-9]', '', 'g') as sender_account, '1' || regexp_replace(receiver_account, '[^0-9]', '', 'g') as receiver_account,
+  amount, currency, date_trunc('second', ts) as ts, sender_country, receiver_country, upper(replace(payment_kind, '_', ' ')) as instrument, 'Payment ' || txn_ref as memo from ledger"""
+
+
+@query(PARSED)
 def mt103_parse(spark, sf_dir):
     """Round trip: the ledger written as message logs and read back."""
     logs = mt103.render_logs(source.ledger(spark, sf_dir))
@@ -20,6 +24,15 @@ def mt103_parse(spark, sf_dir):
     return good.select("reference", "sender_account", "receiver_account", "amount", "currency", "ts", "sender_country", "receiver_country", "instrument", "memo")
 
 
+@query(PARSED)
+def mt103_split_parse(spark, sf_dir):
+    """Round trip through four log files, each read in byte ranges."""
+    path = new_path(spark, "logs")
+    mt103.write_logs(source.ledger(spark, sf_dir), path, 4)
+    good = mt103.parse_messages(mt103.read_lines(spark, path)).where("reason is null")
+    return good.select("reference", "sender_account", "receiver_account", "amount", "currency", "ts", "sender_country", "receiver_country", "instrument", "memo")
+
+
 @query(f"""{WITH} select txn_ref, ':32A:' || strftime(ts, '%y%m%d') || currency || replace(amount::varchar, '.', ',') as money from ledger""")
 def mt103_render(spark, sf_dir):
     return mt103.render(source.ledger(spark, sf_dir)).select("txn_ref", F.regexp_extract("message", r"(?m)^(:32A:.*)$", 1).alias("money"))

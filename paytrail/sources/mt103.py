@@ -23,20 +23,51 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select(F.col("path").alias("file"), text.alias("text"))
 
 
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file``, ``ln``, ``line``, ``ordinal`` (messages begun so far) of log files of any size.
+
+    The files are split over tasks by byte ranges. Each range counts its own lines and messages; what the ranges before it
+    hold is added from sums of one row for each range, so a message that crosses a border is one message. A file whose
+    bytes aren't UTF-8 is Latin-1 as a whole. An empty file gives no row.
+    """
+    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    raw = raw.withColumn("opens", F.startswith("value", F.lit(OPEN)).cast("int"))
+    ranges = raw.groupBy("file", "block").agg(F.count("*").alias("lines"), F.sum("opens").alias("opens"), F.bool_and(F.try_validate_utf8("value").isNotNull()).alias("utf8"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "opens")), F.min("utf8").over(Window.partitionBy("file")).alias("utf8"))
+    own = Window.partitionBy("file", "block").orderBy("k")
+    rows = raw.withColumns({"n": F.row_number().over(own) - 1, "m": F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0))}).join(ranges, ["file", "block"])
+    line = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return rows.select("file", (F.col("n") + F.col("lines_before")).alias("ln"), F.rtrim(line).alias("line"), (F.col("m") + F.col("opens_before")).alias("ordinal"))
+
+
+def text_lines(logs: DataFrame) -> DataFrame:
+    """The same of ``file``, ``text``, whole texts in rows."""
+    lines = logs.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("ln", "raw")).select("file", "ln", F.rtrim("raw").alias("line"))
+    flow = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("ordinal", F.count_if(F.startswith("line", F.lit(OPEN))).over(flow))
+
+
+def as_lines(logs: DataFrame) -> DataFrame:
+    """Lines of logs that are lines already, or texts."""
+    return logs if "line" in logs.columns else text_lines(logs)
+
+
 def header(logs: DataFrame) -> DataFrame:
-    """``file``, ``statement``, ``declared`` of each log; null where the log doesn't say."""
-    pick = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return logs.select("file", pick(r"(?m)^Statement reference\s*:\s*(\S+)").alias("statement"), pick(r"(?m)^Messages in batch\s*:\s*(\d+)").try_cast("long").alias("declared"))
+    """``file``, ``statement``, ``declared`` of each log (texts or lines); null where the log doesn't say."""
+    says = {"statement": r"^Statement reference\s*:\s*(\S+)", "declared": r"^Messages in batch\s*:\s*(\d+)"}
+    if "line" not in logs.columns:
+        picked = {k: F.nullif(F.regexp_extract("text", f"(?m){p}", 1), F.lit("")) for k, p in says.items()}
+        return logs.select("file", picked["statement"].alias("statement"), picked["declared"].try_cast("long").alias("declared"))
+    first = {k: F.min(F.when(F.rlike("line", F.lit(p)), F.struct("ln", F.regexp_extract("line", p, 1).alias("x")))) for k, p in says.items()}
+    return logs.groupBy("file").agg(first["statement"]["x"].alias("statement"), first["declared"]["x"].try_cast("long").alias("declared"))
 
 
 def split_messages(logs: DataFrame) -> DataFrame:
     """``file``, ``ordinal`` (from 1), ``ln``, ``line`` of every line in a message; what lies between messages is dropped,
     an unterminated message is kept."""
-    lines = logs.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("ln", "raw")).select("file", "ln", F.rtrim("raw").alias("line"))
-    flow = Window.partitionBy("file").orderBy("ln")
-    lines = lines.withColumn("ordinal", F.count_if(F.startswith("line", F.lit(OPEN))).over(flow.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.count_if(F.col("line") == CLOSE).over(Window.partitionBy("file", "ordinal").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1))
-    return lines.where("ordinal > 0").withColumn("closed", before).where("coalesce(closed, 0) = 0").select("file", "ordinal", "ln", "line")
+    return as_lines(logs).where("ordinal > 0").withColumn("closed", before).where("coalesce(closed, 0) = 0").select("file", "ordinal", "ln", "line")
 
 
 def read_fields(lines: DataFrame) -> DataFrame:
@@ -90,7 +121,7 @@ def instruction_seconds(text: Column) -> Column:
 
 
 def parse_messages(logs: DataFrame) -> DataFrame:
-    """One row per message with all of ``FIELDS``, ``ts``, ``instrument``, ``raw`` and ``reason``, null if it is accepted.
+    """One row per message of ``logs`` (``read_lines``, or texts) with all of ``FIELDS``, ``ts``, ``instrument``, ``raw`` and ``reason``, null if it is accepted.
 
     The first fault in reading order is the reason. An empty reference and an impossible time are faults too.
     """
@@ -160,3 +191,9 @@ def render_logs(ledger: DataFrame, per_file: int = 500) -> DataFrame:
     named = render(ledger).withColumn("file", F.concat(F.lit("batch-"), F.lpad(F.expr(f"cast(pos div {per_file} as string)"), 12, "0")))
     joined = named.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"]), "\n\n").alias("body"), F.count("*").alias("n"))
     return joined.select("file", F.concat(F.lit("Statement reference : STMT-"), F.col("file"), F.lit("\nMessages in batch   : "), F.col("n").cast("string"), F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("text"))
+
+
+def write_logs(ledger: DataFrame, path: str, files: int) -> None:
+    """The ledger's messages as ``files`` text files, in the order of their positions."""
+    messages = render(ledger).repartitionByRange(files, "pos").sortWithinPartitions("pos")
+    messages.select(F.concat("message", F.lit("\n")).alias("value")).write.text(path)

@@ -68,6 +68,39 @@ def test_logs_of_any_bytes_are_read(spark, tmp_path):
     assert sorted(r.sender_name for r in mt103.parse_messages(logs).collect()) == ["Ann Example", "Änn Example"]
 
 
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_byte_ranges_of_a_log_read_like_the_whole(spark, tmp_path, small_splits):
+    many = ["Statement reference : S9", "Messages in batch   : 600", ""]
+    for i in range(600):
+        body = GOOD.replace("REF001", f"R{i:05d}").replace(":70:rent", ":70:" + f"memo {i} {{1:not a start\n" * (i % 5 + 1) + "rent")
+        many += [body[:-3] if i % 50 == 7 else body, "between messages"]
+    (tmp_path / "a.txt").write_bytes("\n".join(many).encode())
+    (tmp_path / "b.txt").write_bytes("\r\n".join(many[3:40]).replace("Ann", "Änn").encode("latin-1"))
+    (tmp_path / "c.txt").write_bytes("\r".join(many[3:9]).encode())
+    (tmp_path / "d.txt").write_bytes(b"")
+    lines = mt103.read_lines(spark, str(tmp_path))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    pick = ["ordinal", "reference", "amount", "memo", "sender_name", "reason"]
+    name = F.substring_index("file", "/", -1).alias("name")
+    rows = lambda logs: sorted(map(tuple, mt103.parse_messages(logs).select(name, *pick, F.rtrim("raw")).collect()), key=str)
+    want = rows(mt103.read_logs(spark, str(tmp_path)))
+    assert rows(lines) == want and len(want) > 610 and {r[5] for r in want} == {"Ann Example", "Änn Example"}
+    heads = {r.file[-5:]: (r.statement, r.declared) for r in mt103.header(lines).collect()}
+    assert heads == {"a.txt": ("S9", 600), "b.txt": (None, None), "c.txt": (None, None)}
+    good, bad, report = mt103.ingest(lines)
+    assert (good.count() + bad.count(), report.first().declared) == (len(want), 600)
+
+
 def test_masking(spark):
     rows = [("call 020 7946 0958 on 2024-01-05", "call [REDACTED] on 2024-01-05"), ("pay 95000.00 to a@b.co", "pay 95000.00 to [EMAIL]"), ("GB29NWBK60161331926819", "[REDACTED]"), ("room 1234", "room 1234"), ("+44 7700 900123", "[REDACTED]")]
     out = spark.createDataFrame(rows, "raw string, want string").withColumn("got", redact.scrub(F.col("raw")))
