@@ -84,11 +84,3 @@ def lexical_rerank(ranked: DataFrame, query_text: Column, passage: Column, n: in
     share = F.size(F.array_intersect(words(query_text), words(passage))) / F.greatest(F.size(words(query_text)), F.lit(1))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")
     return ranked.withColumn("overlap", F.round(share, 6)).withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= n)
-
-
-def containment(passages: DataFrame, docs: DataFrame, passage: str, text: str, limit: int = 100_000) -> DataFrame:
-    """Rows of ``docs`` whose text holds a passage. Passages are few by nature: their number is checked before they are
-    sent to every task, and more than ``limit`` is refused."""
-    if passages.count() > limit:
-        raise ValueError(f"more than {limit} passages")
-    return docs.join(F.broadcast(passages.where(F.length(passage) > 0)), F.contains(F.col(text), F.col(passage)))

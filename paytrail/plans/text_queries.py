@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paytrail.functions import redact, text
+from paytrail.operators import passages as passages_of
 from paytrail.operators import retrieval
 
 from .registry import query, table
@@ -129,7 +130,21 @@ def redacted_ledger(spark, sf_dir):
 @query("select b.item_id, d.doc_id from documents d join benchmark b on contains(d.text, b.text)")
 def probe_containment(spark, sf_dir):
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return retrieval.containment(passages, table(spark, sf_dir, "documents"), "passage", "text").select("item_id", "doc_id")
+    return passages_of.containment(passages, table(spark, sf_dir, "documents"), "passage", "text", "doc_id").select("item_id", "doc_id")
+
+
+@query("""with items as (select item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as probe from benchmark where text is not null),
+bodies as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as body from documents),
+hits as (select item_id, doc_id, count(*) as hits from items join bodies on contains(body, probe) group by 1, 2),
+won as (select item_id, hits, min(doc_id) as name, count(*) as winners from (select *, max(hits) over (partition by item_id) as most from hits) where hits = most group by 1, 2),
+claims as (select name, min(item_id) as low, max(item_id) as high from won where winners = 1 group by 1),
+found as (select i.item_id as doc, count(*) as probes, any_value(w.name) as name, coalesce(any_value(w.hits), 0) as hits, coalesce(any_value(w.winners), 0) as winners,
+  any_value(case when w.winners = 1 and c.low <> c.high then case when i.item_id = c.low then c.high else c.low end end) as rival
+  from items i left join won w using (item_id) left join claims c on c.name = w.name group by 1)
+select *, case when hits = 0 then 'no text' when winners > 1 then 'ambiguous' when rival is not null then 'not injective' end as problem from found""")
+def passage_map(spark, sf_dir):
+    """Which document each item of the benchmark is a part of, and where that isn't one to one."""
+    return passages_of.document_map(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
 KNN = """ranked as (select a.vec_id as query_id, b.vec_id as vec_id, a.label as query_label, b.label as label, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score,
