@@ -24,9 +24,9 @@ def words(text: Column) -> Column:
 
 
 def _keys(own: Column, n: int) -> Column:
-    """Hashes of the distinct n-grams of a list of words."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.xxhash64(F.lit(n), F.slice(own, i + 1, n)))
-    return F.when(F.size(own) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of the distinct n-grams of a list of words. The list is a lambda's variable, so it is made once, not once a gram."""
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit(n), F.slice(w, i + 1, n)))
+    return F.transform(F.array(own), lambda w: F.when(F.size(w) >= n, F.array_distinct(grams(w))).otherwise(F.array().cast("array<bigint>")))[0]
 
 
 def _asked(passages: DataFrame, passage: str) -> DataFrame:
