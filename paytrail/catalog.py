@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paytrail.plans import ledger_queries, report_queries, service_queries, text_queries  # noqa: F401  (register)
+from paytrail.plans import case_queries, ledger_queries, report_queries, service_queries, text_queries  # noqa: F401  (register)
 from paytrail.plans.registry import ORACLES, QUERIES
 
 

@@ -17,7 +17,7 @@ from paytrail.plans.params import DAY_US, HOUR_US, Params
 from .components import connected_components
 from .greedy import absorbed, in_order
 from .scoring import as_candidates, summarise
-from .windows import fan_windows, maximal_runs, widest_window, window_counts
+from .windows import fan_windows, maximal_runs, time_block, widest_window, window_counts
 
 MEMBER = ["txn_ref", "amount", "us"]
 
@@ -43,7 +43,7 @@ def structuring_runs(edges: DataFrame, side: str, params: Params = Params()) ->
     bands = F.array(*(F.struct(F.lit(t).alias("t"), *(F.lit(x).alias(n) for n, x in zip(("lo", "hi"), params.band(t), strict=True))) for t in params.thresholds))
     rows = edges.withColumn("band", F.explode(bands)).where((F.col("amount") >= F.col("band.lo")) & (F.col("amount") < F.col("band.hi")))
     rows = rows.select(*MEMBER, F.col(column).alias("anchor"), F.col("band.t").alias("threshold"), F.lit(side).alias("side"))
-    return maximal_runs(rows, ["anchor", "threshold"], params.structuring_min, params.window_days * DAY_US)
+    return maximal_runs(rows, ["anchor", "threshold"], params.structuring_min, params.window_days * DAY_US, time_block(edges))
 
 
 def _claim(runs: DataFrame, params: Params) -> DataFrame:
@@ -91,7 +91,7 @@ def gather_scatter(edges: DataFrame, params: Params = Params()) -> DataFrame:
     hubs = both.groupBy("anchor").agg(distinct(True).alias("i"), distinct(False).alias("o")).where((F.col("i") >= params.hub_min_in) & (F.col("o") >= params.hub_min_out)).select("anchor")
     both = both.join(hubs, "anchor", "left_semi")
     span = params.hub_days * DAY_US
-    seen = window_counts(both, "anchor", "other", F.col("inflow"), span, True)
+    seen = window_counts(both, "anchor", "other", F.col("inflow"), span, True, time_block(edges))
     seen = seen.select("anchor", "flow", "w_n", "w_true", "w_false", F.col("us").alias("w_from"), (F.col("us") + span).alias("w_to"))
     fits = F.col("flow") & (F.col("w_true") >= params.hub_min_in) & (F.col("w_false") >= params.hub_min_out)
     best = widest_window(seen, "anchor", fits, F.col("w_from"), F.col("w_n"), False)

@@ -49,3 +49,11 @@ def partition_of(key: Column) -> Column:
 def round_robin(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each key, with their place."""
     return rows.withColumn("depth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("depth") <= most).select(key, *order, "depth")
+
+
+def round_robin_batches(rows: DataFrame, key: str, batch: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each key, one of every batch in turn: by ``depth``, the place in the batch, then by batch; ``place``
+    is where that puts a row. No batch can give more than ``most``, so the limit applies before batches meet."""
+    depth = F.row_number().over(Window.partitionBy(key, batch).orderBy(*order))
+    drawn = rows.withColumn("depth", depth).where(F.col("depth") <= most)
+    return drawn.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("depth", batch))).where(F.col("place") <= most)
