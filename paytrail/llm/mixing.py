@@ -2,9 +2,12 @@
 
 A classifier learned from a labelled table gives every document posterior probabilities of the domains. Nonnegative rates
 ``r`` of the documents are then fitted by least squares, so that the expected tokens of each domain, ``sum of r * tokens *
-posterior``, come to its target. The method is projected gradient, scaled by the documents' tokens and accelerated, from
-one common rate: what a task needs to know is one vector per round, so a round is one aggregate over (tokens, posteriors).
-Where that is slow, because a domain is rare, a last step projects the rates on those that meet the targets.
+posterior``, come to its target, with a small ridge that draws all rates to the common one. The method is projected
+gradient from that common rate. Documents weigh by their tokens, and misses by the inverse of the domains' matrix of
+products, so that rare domains count, with more weight on the miss of all tokens. A step along the miss scaled by that
+inverse solves the problem if no rate meets zero; where many do, the matrix of the documents whose rates are above zero
+scales better. A round tries several lengths of these and of the gradient itself, and takes what is best: one aggregate
+over (tokens, posteriors), for which a task needs to know one vector of each round so far.
 """
 
 from __future__ import annotations
@@ -34,6 +37,15 @@ TARGETS = {"good": 0.93, "low": 0.04, "toxic": 0.03}
 GATED_TARGETS = TARGETS | {"low": None}
 #: The share of all tokens by which a domain may be off its target.
 TOLERANCE = 1e-4
+#: Weight of the squared distance from the common rate against that of the squared misses. It moves a reached target by
+#: 3e-4 of what it was off, and keeps a target that only a few documents could serve from being served by them alone.
+RIDGE = 3e-4
+#: Weight of the miss of all domains' tokens together.
+WHOLE = 10.0
+#: Lengths of the steps that a round tries.
+LENGTHS = (0.25, 1.0, 4.0, 16.0, 64.0)
+#: Share of the documents in effect at the common rate below which the rates are reported as concentrated.
+CONCENTRATED = 0.1
 
 
 def traits(words: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -125,22 +137,25 @@ def memberships(docs: DataFrame, model: DomainModel | Packed, keep: list[str], t
     return slim.mapInArrow(run, f"{kinds}, __tokens long, __posterior array<double>")
 
 
-def replay(p: np.ndarray, start: float, gradients: list[np.ndarray], momentum: list[float], top: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated rates) after the rounds whose steps are given; a step moves a document by its posterior's share."""
-    r = y = np.full(len(p), start)
-    for g, m in zip(gradients, momentum, strict=True):
-        new = np.clip(y - p @ g, 0.0, top)
-        r, y = new, new + m * (new - r)
-    return r, y
+def _step(q: np.ndarray, p: np.ndarray, g: np.ndarray, pull: float, top: float) -> np.ndarray:
+    return np.clip(q - p @ g - pull * (q - 1), 0.0, top)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = None, top: float = math.inf, rounds: int = 60, tolerance: float = TOLERANCE) -> tuple[float, list[np.ndarray], list[float], np.ndarray]:
-    """(start, steps, momenta, expected domain tokens reached). ``total``: tokens of the mixture, by default all there are.
+def replay(p: np.ndarray, start: float, steps: list[np.ndarray], pulls: list[float], top: float = math.inf) -> np.ndarray:
+    """Rates after the rounds whose steps are given: a step moves a document by its posterior's share and pulls it to the
+    common rate ``start``."""
+    q = np.ones(len(p))
+    for g, k in zip(steps, pulls, strict=True):
+        q = _step(q, p, g, k, top / start)
+    return start * q
 
-    One pass adds up the domains' tokens and the matrix of the problem, whose largest eigenvalue sets the step; every round
-    is one pass that replays the rates and adds up their expected domain tokens. It ends once no domain is off by more than
-    ``tolerance`` of the total. After ``rounds`` the rest is one step, of a length that ``last_step`` finds; where it finds
-    none, no rates meet the targets, and those of the last round stand with what they reach.
+
+def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = None, top: float = math.inf, rounds: int = 60, tolerance: float = TOLERANCE, ridge: float = RIDGE) -> tuple[float, list[np.ndarray], list[float], np.ndarray]:
+    """(start, steps, pulls, expected domain tokens reached). ``total``: tokens of the mixture, by default all there are.
+
+    One pass adds up the domains' tokens and their matrix; every round is one pass that replays the rates, tries the next
+    steps, and adds up what each would reach. It ends once no domain is off by more than ``tolerance`` of the total, or no
+    step gets closer, which is where the ridge outweighs what is left to gain.
     """
     d = len(targets)
     p = [F.col("posterior")[i] for i in range(d)]
@@ -149,74 +164,39 @@ def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = Non
     if not n:
         return 1.0, [], [], np.zeros(d)
     total = total or n
-    goal, start = targets / targets.sum() * total, total / n
-    matrix = np.array([[sums[f"h{i}_{j}"] for j in range(d)] for i in range(d)]) / total
-    step = 1.0 / np.linalg.eigvalsh(matrix)[-1]
-    now, at = np.array([sums[f"t{i}"] for i in range(d)]) * start, 1.0
-    reached, gradients, momentum = now, [], []
-    while len(gradients) < rounds and np.abs(reached - goal).max() > tolerance * total:
-        gradients.append(step * (now - goal) / total)
-        nxt = (1 + np.sqrt(1 + 4 * at * at)) / 2
-        momentum.append(float((at - 1) / nxt))
-        at = nxt
-        reached, now = _expected(members, d, start, gradients, momentum, top)
-    if np.abs(reached - goal).max() > tolerance * total:
-        found = last_step(members, goal, start, gradients, momentum, top, tolerance * total)
-        if found is not None:
-            gradients.append(found[0])
-            momentum.append(0.0)
-            reached = found[1]
-    return start, gradients, momentum, reached
-
-
-def _expected(members: DataFrame, d: int, start: float, gradients: list[np.ndarray], momentum: list[float], top: float) -> tuple[np.ndarray, np.ndarray]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((2, d))
-        for b in batches:
-            p = b.column(1).flatten().to_numpy().reshape(-1, d)
-            t = b.column(0).to_numpy()[:, None] * p
-            for k, r in enumerate(replay(p, start, gradients, momentum, top)):
-                out[k] += r @ t
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["k", "s"])
-
-    parts = members.select("tokens", "posterior").mapInArrow(run, "k long, s array<double>")
-    rows = parts.groupBy("k").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d))).orderBy("k").collect()
-    return tuple(np.array([r[f"s{i}"] for i in range(d)]) for r in rows)
-
-
-def last_step(members: DataFrame, goal: np.ndarray, start: float, gradients: list[np.ndarray], momentum: list[float], top: float, within: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray] | None:
-    """(step, expected domain tokens reached): the step to the nearest rates, by squares weighted by tokens, that meet
-    ``goal``; None if there are none. Newton's method on the dual problem, which has a variable per domain and is convex; a
-    round is one pass that tries several lengths."""
-    d = len(goal)
-    g, way, lengths = np.zeros(d), np.zeros(d), [0.0]
-    value, slope = math.inf, 0.0
-    for _ in range(rounds):
-        tried = [g + s * way for s in lengths]
-        values = _trials(members, d, start, gradients, momentum, top, tried)
-        fair = [k for k, v in enumerate(values) if v[2] + tried[k] @ goal <= value + 1e-4 * lengths[k] * slope]
-        k = fair[0] if fair else int(np.argmin([v[2] + h @ goal for v, h in zip(values, tried, strict=True)]))
-        g, (reached, matrix, own) = tried[k], values[k]
-        if np.abs(reached - goal).max() <= within:
-            return g, reached
-        way = np.linalg.lstsq(matrix, reached - goal, rcond=1e-14)[0]
-        value, slope, lengths = own + g @ goal, (goal - reached) @ way, [0.5**k for k in range(8)]
-    return None
-
-
-def _trials(members: DataFrame, d: int, start: float, gradients: list[np.ndarray], momentum: list[float], top: float, tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each step: expected domain tokens, the matrix of documents whose rates are free, the dual's sum over documents."""
+    goal, start = targets / targets.sum(), total / n
+    matrix = np.array([[sums[f"h{i}_{j}"] for j in range(d)] for i in range(d)]) / n
+    scale = np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
+    weigh = scale + WHOLE
+    miss, free, strain = np.array([sums[f"t{i}"] for i in range(d)]) / n - goal, matrix, 0.0
+    value, steps, pulls = miss @ weigh @ miss / 2, [], []
+    while len(steps) < rounds and np.abs(miss).max() > tolerance:
+        ways = [weigh @ miss / (1 + WHOLE), scale @ miss, np.linalg.pinv(free + 1e-9 * np.trace(matrix) * np.eye(d), rcond=1e-12, hermitian=True) @ miss]
+        tried = [(s * way, min(1.0, s * ridge)) for way in ways for s in LENGTHS]
+        found = _trials(members, d, n, steps, pulls, top / start, tried)
+        values = [(m - goal) @ weigh @ (m - goal) / 2 + ridge * far / 2 for m, _, far in found]
+        k = int(np.argmin(values))
+        if values[k] >= value * (1 - 1e-4):
+            break
+        value, (reached, free, strain) = values[k], found[k]
+        miss = reached - goal
+        steps.append(tried[k][0])
+        pulls.append(tried[k][1])
+    return start, steps, pulls, (miss + goal) * total
+
+
+def _trials(members: DataFrame, d: int, n: float, steps: list[np.ndarray], pulls: list[float], top: float, tried: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each next step: the domains' shares, the matrix of the documents whose rates are above zero, and the mean squared
+    distance from the common rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(tried), d + d * d + 1))
         for b in batches:
-            p, t = b.column(1).flatten().to_numpy().reshape(-1, d), b.column(0).to_numpy()
-            _, y = replay(p, start, gradients, momentum, top)
-            for k, g in enumerate(tried):
-                x = y - p @ g
-                r = np.clip(x, 0.0, top)
-                free = t * ((x > 0) & (x < top))
-                out[k] += np.r_[(r * t) @ p, ((p.T * free) @ p).ravel(), (t * r) @ (x - r / 2)]
+            p, w = b.column(1).flatten().to_numpy().reshape(-1, d), b.column(0).to_numpy() / n
+            now = replay(p, 1.0, steps, pulls, top)
+            for k, (g, pull) in enumerate(tried):
+                q = _step(now, p, g, pull, top)
+                out[k] += np.r_[(q * w) @ p, ((p.T * (w * (q > 0))) @ p).ravel(), w @ np.square(q - 1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tried))), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["k", "s"])
 
     parts = members.select("tokens", "posterior").mapInArrow(run, "k long, s array<double>")
@@ -225,6 +205,25 @@ def _trials(members: DataFrame, d: int, start: float, gradients: list[np.ndarray
     return [(s[:d], s[d:-1].reshape(d, d), float(s[-1])) for s in sums]
 
 
+def concentration(members: DataFrame, d: int, start: float, steps: list[np.ndarray], pulls: list[float], top: float = math.inf) -> dict[str, float]:
+    """``effective`` (documents in effect, the squared sum of their tokens over the sum of their squares, as a share of those at
+    the common rate), ``zero`` (share of documents with a rate of zero) and ``most`` (the largest rate)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, most = np.zeros(6), 0.0
+        for b in batches:
+            t, r = b.column(0).to_numpy().astype(np.float64), replay(b.column(1).flatten().to_numpy().reshape(-1, d), start, steps, pulls, top)
+            out += [len(t), (r == 0).sum(), t.sum(), np.square(t).sum(), t @ r, np.square(t * r).sum()]
+            most = max(most, float(r.max(initial=0.0)))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64())), pa.array([most])], names=["s", "most"])
+
+    parts = members.select("tokens", "posterior").mapInArrow(run, "s array<double>, most double")
+    s = parts.agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(6)), F.max("most").alias("most")).first()
+    if not s["s4"]:
+        return {"effective": 1.0, "zero": 0.0 if not s["s0"] else s["s1"] / s["s0"], "most": s["most"] or 0.0}
+    return {"effective": (s["s4"] ** 2 / s["s5"]) / (s["s2"] ** 2 / s["s3"]), "zero": s["s1"] / s["s0"], "most": s["most"]}
+
+
 def goal_of(targets: Mapping[str, float | None], shares: np.ndarray) -> np.ndarray:
     """Target shares of ``DOMAINS``, which add up to 1. A domain whose target is None keeps its share; the others have what
     remains, in proportion."""
@@ -238,11 +237,12 @@ def goal_of(targets: Mapping[str, float | None], shares: np.ndarray) -> np.ndarr
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None] | None = None, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", rows: int = 4000, top: float = math.inf, prefix: str = "") -> DataFrame:
     """One row per input row: ``keep`` (default ``key``), ``tokens``, ``p_<domain>`` for each domain, ``rate`` (0 to
     ``top``), ``tokens`` being words between white space and an end mark, ``copies`` (the rate rounded up or down, at random by a hash of key and text, so that copies have the
-    rate as their mean) and ``off_<domain>`` (share of the tokens that the rates reach less that of the target, the same in
-    all rows). ``prefix`` stands before the names of the columns that are added.
+    rate as their mean), ``off_<domain>`` (share of the tokens that the rates reach less that of the target) and ``effective``
+    (see ``concentration``); these two are the same in all rows. ``prefix`` stands before the names of the columns that are added.
 
     A domain whose target is None keeps the share that it has. Where no nonnegative rates meet the targets, a warning says
-    by how much each domain is off, and the rates are those of the last round.
+    by how much each domain is off, and the rates are those of the last round. Rates that leave few documents in effect warn too,
+    and say how many have none and how large the largest is.
 
     A null, empty or blank text has one token (its end) and the posterior that the classifier gives to no words. Equal rows
     have equal rates; a null key is a key. Without labels the posteriors are equal. An empty table gives no rows.
@@ -256,23 +256,26 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float | None]
     sums = slim.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(DOMAINS)))).first()
     n, has = float(sums[0] or 1), np.array([x or 0.0 for x in sums[1:]])
     goal = goal_of(targets, has / n)
-    start, gradients, momentum, reached = fit_rates(slim, goal, top=top)
+    start, steps, pulls, reached = fit_rates(slim, goal, top=top)
+    spread = concentration(slim, len(goal), start, steps, pulls, top)
     off = reached / n - goal if sums[0] else np.zeros(len(goal))
     if np.abs(off).max() > TOLERANCE:
         warnings.warn("mixing: no rates meet the targets; token shares reached (targets): " + ", ".join(f"{x} {a:.5f} ({b:.5f})" for x, a, b in zip(DOMAINS, reached / n, goal, strict=True)), stacklevel=2)
-    names = [prefix + x for x in ("tokens", *(f"p_{x}" for x in DOMAINS), "rate", "copies", *(f"off_{x}" for x in DOMAINS))]
+    if spread["effective"] < CONCENTRATED:
+        warnings.warn(f"mixing: the rates leave {spread['effective']:.4f} of the documents in effect; {spread['zero']:.4f} have a rate of zero, the largest rate is {spread['most']:.1f}", stacklevel=2)
+    names = [prefix + x for x in ("tokens", *(f"p_{x}" for x in DOMAINS), "rate", "copies", *(f"off_{x}" for x in DOMAINS), "effective")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(b.schema.get_field_index("__posterior")).flatten().to_numpy().reshape(-1, len(goal))
-            r, _ = replay(p, start, gradients, momentum, top)
+            r = replay(p, start, steps, pulls, top)
             u = (b.column(b.schema.get_field_index("hash")).to_numpy().view(np.uint64) >> np.uint64(11)) / 2.0**53
             cols = [b.column(i) for i in range(len(keep))] + [b.column(b.schema.get_field_index("__tokens"))] + [pa.array(p[:, i]) for i in range(len(goal))]
-            miss = [pa.array(np.full(len(r), x)) for x in off]
+            miss = [pa.array(np.full(len(r), x)) for x in (*off, spread["effective"])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r), pa.array(np.floor(r + u).astype(np.int32)), *miss], names=[*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    types = ["long", *("double" for _ in DOMAINS), "double", "int", *("double" for _ in DOMAINS)]
+    types = ["long", *("double" for _ in DOMAINS), "double", "int", *("double" for _ in DOMAINS), "double"]
     return members.mapInArrow(run, f"{kinds}, {', '.join(f'{a} {b}' for a, b in zip(names, types, strict=True))}")
 
 

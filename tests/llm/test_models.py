@@ -125,16 +125,31 @@ def test_rates_against_a_plain_solver(spark):
     t = rng.integers(1, 500, 200)
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens long, posterior array<double>")
     goal = np.array([0.5, 0.3, 0.2])
-    start, steps, momentum, reached = mixing.fit_rates(df, goal, rounds=200)
-    r, y = np.ones(200), np.ones(200)
-    total, lead = t.sum(), 1.0
-    h = np.einsum("i,ij,ik->jk", t, p, p) / total
-    for _ in steps:
-        new = np.clip(y - p @ ((y * t) @ p - goal * total) / total / np.linalg.eigvalsh(h)[-1], 0, 4)
-        nxt = (1 + np.sqrt(1 + 4 * lead**2)) / 2
-        r, y, lead = new, new + (lead - 1) / nxt * (new - r), nxt
-    assert np.allclose(mixing.replay(p, start, steps, momentum, 4.0)[0], r, atol=1e-8)
-    assert np.abs(reached - goal * total).max() <= 1e-3 * total
+    start, steps, pulls, reached = mixing.fit_rates(df, goal, tolerance=1e-9)
+    w, weigh = t / t.sum(), np.linalg.inv(np.einsum("i,ij,ik->jk", t / t.sum(), p, p)) + mixing.WHOLE
+    value = lambda q: ((q * w) @ p - goal) @ weigh @ ((q * w) @ p - goal) / 2 + mixing.RIDGE * w @ np.square(q - 1) / 2
+    q = np.ones(200)
+    for _ in range(100_000):  # plain projected gradient of the same sum, to its end
+        q = np.maximum(0, q - (p @ (weigh @ ((q * w) @ p - goal)) + mixing.RIDGE * (q - 1)) / (1 + mixing.WHOLE))
+    rate = mixing.replay(p, start, steps, pulls)
+    assert start == 1 and (rate >= 0).all() and value(rate) <= value(q) * 1.01 + 1e-9
+    assert np.allclose((rate * t) @ p, reached) and np.abs(reached / t.sum() - goal).max() <= 1e-4
+    spread = mixing.concentration(df, 3, start, steps, pulls)
+    own = t * rate
+    assert spread["most"] == pytest.approx(rate.max()) and spread["zero"] == pytest.approx((rate == 0).mean())
+    assert spread["effective"] == pytest.approx((own.sum() ** 2 / np.square(own).sum()) / (t.sum() ** 2 / np.square(t).sum()))
+
+
+def test_a_target_that_few_documents_could_serve_is_reported(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    with pytest.warns(UserWarning) as said:
+        rows = mixing.mix(docs, labels).collect()
+    rate, tokens = np.array([r.rate for r in rows]), np.array([r.tokens for r in rows])
+    assert any("mixing: no rates meet the targets" in str(w.message) for w in said)
+    own = (rate * tokens).sum() ** 2 / np.square(rate * tokens).sum() / (tokens.sum() ** 2 / np.square(tokens).sum())
+    assert all(r.effective == pytest.approx(own) for r in rows)
+    assert own >= mixing.CONCENTRATED or any("of the documents in effect" in str(w.message) for w in said)
+    print("MIX", len(rows), (rate == 0).mean(), rate.max(), own, [rows[0][f"off_{x}"] for x in mixing.DOMAINS])
 
 
 def test_rates_of_a_rare_domain_meet_its_target(spark):
@@ -143,8 +158,8 @@ def test_rates_of_a_rare_domain_meet_its_target(spark):
     t = rng.integers(20, 300, 1000)
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens long, posterior array<double>")
     goal = np.array([0.85, 0.12, 0.03])
-    start, steps, momentum, reached = mixing.fit_rates(df, goal)
-    rate = mixing.replay(p, start, steps, momentum, np.inf)[0]
+    start, steps, pulls, reached = mixing.fit_rates(df, goal)
+    rate = mixing.replay(p, start, steps, pulls, np.inf)
     assert (rate >= 0).all() and rate.max() > 4
     assert np.allclose((rate * t) @ p, reached) and np.abs(reached / t.sum() - goal).max() <= 1e-4
 
