@@ -26,6 +26,7 @@ def _seed(shard: int, k: int) -> int:
 
 
 def _power5(x: Column) -> Column:
+    """Of a lambda's variable, which costs nothing to name again."""
     two = x * x % P
     return two * two % P * x % P
 
@@ -36,12 +37,18 @@ def key_parts(key: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(digest, a, 7), 16, 10).cast("long") for a in (1, 8))
 
 
-def weight_score(a: Column, b: Column, shard: int, weight: float) -> Column:
-    """The shard's bid for a key; the least wins. A weight of 0 never wins against a positive one."""
-    x = _power5((a + _seed(shard, 0)) % P)
-    x = _power5((x + b + _seed(shard, 1)) % P)
-    x = _power5((x + _seed(shard, 2)) % P)
-    return -F.log((x + 0.5) / P) / F.lit(float(weight)) if weight > 0 else F.lit(math.inf)
+def bids(a: Column, b: Column, weights: Sequence[float]) -> Column:
+    """An array of (bid, shard), one for each weight; the least bid wins. A weight of 0 never wins against a positive one.
+
+    Three stages of fifth powers over the shards' seeds, each a ``transform`` of the one before: the plan has as many nodes
+    for a thousand shards as for one.
+    """
+    seeds = lambda k: F.array(*(F.lit(_seed(s, k)).cast("long") for s in range(len(weights))))
+    x = F.transform(F.transform(seeds(0), lambda s: (a + s) % P), _power5)
+    x = F.transform(F.zip_with(x, seeds(1), lambda x, s: (x + b + s) % P), _power5)
+    x = F.transform(F.zip_with(x, seeds(2), lambda x, s: (x + s) % P), _power5)
+    spread = F.zip_with(x, F.array(*(F.lit(float(w)) for w in weights)), lambda x, w: F.when(w > 0, -F.log((x + 0.5) / P) / w).otherwise(F.lit(math.inf)))
+    return F.transform(spread, lambda bid, shard: F.struct(bid.alias("bid"), shard.alias("shard")))
 
 
 def check_weights(weights: Sequence[float]) -> list[float]:
@@ -55,36 +62,36 @@ def assign(docs: DataFrame, key: str, weights: Sequence[float]) -> DataFrame:
     """``docs`` with ``shard`` and ``grown_shard``, the shard if one more of the mean weight is added."""
     weights = check_weights(weights)
     n, mean = len(weights), sum(weights) / len(weights)
-    rows = docs.withColumns(dict(zip(("__a", "__b"), key_parts(F.col(key)), strict=True)))
-    bids = F.array(*(F.struct(weight_score(F.col("__a"), F.col("__b"), s, w).alias("bid"), F.lit(s).alias("shard")) for s, w in enumerate(weights)))
-    rows = rows.withColumn("__best", F.array_min(bids)).withColumn("__more", weight_score(F.col("__a"), F.col("__b"), n, mean))
-    grown = F.when(F.col("__more") < F.col("__best.bid"), n).otherwise(F.col("__best.shard"))
-    return rows.withColumns({"shard": F.col("__best.shard"), "grown_shard": grown}).drop("__best", "__more", "__a")
+    own, other = key_parts(F.col(key))
+    rows = docs.select("*", bids(own, other, [*weights, mean]).alias("__bids"))
+    best = lambda k: F.array_min(F.slice("__bids", 1, k))["shard"]
+    return rows.withColumns({"shard": best(n), "grown_shard": best(n + 1)}).drop("__bids")
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, key: str = "doc_id", text: str = "text", block_rows: int = 50_000) -> DataFrame:
+def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, key: str = "doc_id", text: str = "text", block_rows: int = 500_000) -> DataFrame:
     """Every row with ``key``, ``size`` (UTF-8 bytes of the text plus 16), ``text_crc32``, ``law`` (``key``), ``shard``,
-    ``slot`` (gapless from 0 in each shard) and ``grown_shard``.
+    ``slot`` (gapless from 0 in each shard, by key, size and crc; nulls first) and ``grown_shard``.
 
     A null text has size 16 and crc 0, as an empty one; a null key is a key of its own. Rows that repeat a key share its
-    shard and get slots of their own. Slots are numbered in blocks of about ``block_rows`` rows (by hash, then key, size,
-    crc), so no task sorts a shard. An empty table gives no rows.
+    shard and get slots of their own. Rows are sorted in ranges of about ``block_rows``, which part equal rows too, and
+    slots are numbered within the ranges and carried on from one to the next, so neither a shard nor a repeated key meets
+    in one task. An empty table gives no rows.
     """
     weights = check_weights(weights)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    slim = docs.select(F.col(key).alias("__k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    blocks = max(1, math.ceil(docs.count() / (len(weights) * block_rows)))
-    rows = assign(slim, "__k", weights).withColumn("__block", F.col("__b") % blocks).drop("__b")
-    rows = cut(rows, "shards")
-    counts = rows.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("shard", "__block", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("shard", "__block").orderBy("__k", "size", "text_crc32")) - 1
-    placed = rows.withColumn("__place", place).join(offsets, ["shard", "__block"])
-    return placed.select(F.col("__k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__place") + F.col("__before")).cast("long").alias("slot"), "grown_shard")
-
-
-def oracle(shards: int = 40, block_rows: int = 50_000) -> str:
+    slim = docs.select(F.col(key).alias("__k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("__row"))
+    order = ["shard", "__k", "size", "text_crc32", "__row"]
+    ranged = assign(slim, "__k", weights).repartitionByRange(max(1, math.ceil(docs.count() / block_rows)), *order).sortWithinPartitions(*order)
+    rows = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "shards")
+    # a row for each shard and range
+    runs = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("shard", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    placed = rows.join(runs, ["shard", "__part"])
+    return placed.select(F.col("__k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__at") + F.col("__shift")).cast("long").alias("slot"), "grown_shard")
+
+
+def oracle(shards: int = 40) -> str:
     """The same rows for equal weights, as DuckDB SQL over ``documents``."""
     power = lambda x: f"(({x}) * ({x}) % {P})"
     fifth = lambda x: f"({power(power(x))} * ({x}) % {P})"
@@ -99,6 +106,5 @@ crc as (select *, xor(list_reduce(list_transform(range(strlen(h) // 2), lambda i
 one as (select *, {fifth(f"(a + {seed(0)}) % {P}")} as x from crc, range({shards + 1}) r(s)),
 two as (select * replace ({fifth(f"(x + b + {seed(1)}) % {P}")} as x) from one),
 three as (select * replace (-ln(({fifth(f"(x + {seed(2)}) % {P}")} + 0.5) / {P}) as x) from two),
-best as (select doc_id, size, text_crc32, b, arg_min(s, x) filter (s < {shards}) as shard, arg_min(s, x) as grown_shard from three group by all),
-placed as (select *, b % (select greatest(1, ceil(count(*) / ({shards} * {block_rows}.0)))::bigint from documents) as k from best)
-select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by k, doc_id, size, text_crc32) - 1 as slot, grown_shard::int as grown_shard from placed"""
+best as (select doc_id, size, text_crc32, arg_min(s, x) filter (s < {shards}) as shard, arg_min(s, x) as grown_shard from three group by all)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard::int as grown_shard from best"""
