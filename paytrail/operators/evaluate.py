@@ -57,3 +57,9 @@ def round_robin_batches(rows: DataFrame, key: str, batch: str, order: list[str],
     depth = F.row_number().over(Window.partitionBy(key, batch).orderBy(*order))
     drawn = rows.withColumn("depth", depth).where(F.col("depth") <= most)
     return drawn.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("depth", batch))).where(F.col("place") <= most)
+
+
+def query_text(shape: Column, words: dict[str, str], detail: Column, cross_border: Column) -> Column:
+    """What to ask the corpus about a candidate: its shape in words, a detail, and whether it crosses a border."""
+    known = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
+    return F.concat_ws("; ", known[shape], detail, F.when(cross_border, "cross-border"))

@@ -18,44 +18,61 @@ def _unit(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def knn(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", column: str = "embedding", same: str | None = None) -> DataFrame:
-    """``query_id``, ``rank``, ``key``, ``score``: the ``k`` nearest rows by cosine (ties to the smaller key), the query's own
-    left out; with ``same``, only among rows that share the query's value of that column.
-
-    Queries are sorted by key and taken in blocks of ``QUERY_BLOCK``; each block is one pass that keeps ``k`` rows per
-    query and task, so what shuffles doesn't grow with the pairs compared.
+def search(asked: DataFrame, rows: DataFrame, k: int, ask_key: str, key: str, column: str, same: str | None = None, own: bool = False) -> DataFrame:
+    """``ask_key``, ``rank``, ``key``, ``score``: the ``k`` of ``rows`` nearest to each of ``asked`` by cosine (ties to the smaller key), both
+    with vectors in ``column``; with ``same``, only among rows that share the query's value of that column. With
+    ``own``, keys are of one kind and a row doesn't answer its own. Vectors that are null, empty, hold a null, or aren't of the
+    commonest length take no part.
+
+    Queries are taken in blocks of ``QUERY_BLOCK``; each block is one pass over the rows that keeps ``k`` rows per query and
+    batch, so what shuffles doesn't grow with the pairs compared.
     """
-    fine = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0))
-    asked, spark, out = fine.where(is_query).select(key, column, *([same] if same else [])), vectors.sparkSession, None
+    spark, out = asked.sparkSession, None
+    whole = lambda df: df.where(F.col(column).isNotNull() & (F.size(column) > 0) & ~F.exists(column, lambda x: x.isNull()))
+    asked, rows = whole(asked), whole(rows)
+    dims = rows.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    kinds = f"`{ask_key}` {asked.schema[ask_key].dataType.simpleString()}, rank int, `{key}` {rows.schema[key].dataType.simpleString()}, score double"
+    if not dims:
+        return spark.createDataFrame([], kinds)
+    asked, rows = (df.where(F.size(column) == dims[0]["d"]) for df in (asked, rows))
     n = asked.count()
-    numbered = asked.withColumn("__b", F.expr(f"pmod(xxhash64(`{key}`), {max(1, -(-n // QUERY_BLOCK))})"))
+    numbered = asked.withColumn("__b", F.expr(f"pmod(xxhash64(`{ask_key}`), {max(1, -(-n // QUERY_BLOCK))})"))
     for block in range(max(1, -(-n // QUERY_BLOCK))):
-        own = numbered.where(F.col("__b") == block).drop("__b").toArrow()  # at most about QUERY_BLOCK rows
-        if not own.num_rows:
+        held = numbered.where(F.col("__b") == block).select(ask_key, column, *([same] if same else [])).toArrow()  # at most about QUERY_BLOCK rows
+        if not held.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((own[key].to_numpy(), _unit(own[column].combine_chunks()), own[same].to_numpy() if same else None))
+        sent = spark.sparkContext.broadcast((held[ask_key].combine_chunks(), _unit(held[column].combine_chunks()), held[same].to_numpy() if same else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, kinds = sent.value
+            ids, q, groups = sent.value
+            names = ids.to_numpy(zero_copy_only=False)
             for b in batches:
                 if not b.num_rows:
                     continue
-                rows = b.column(0).to_numpy()
                 score = q @ _unit(b.column(1)).T
-                score[ids[:, None] == rows[None, :]] = -np.inf
-                if kinds is not None:
-                    score[kinds[:, None] != b.column(2).to_numpy()[None, :]] = -np.inf
+                if own:
+                    score[names[:, None] == b.column(0).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                if groups is not None:
+                    score[groups[:, None] != b.column(2).to_numpy()[None, :]] = -np.inf
                 # as many as reach the k-th score of the batch, ties included
-                edge = np.partition(score, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(ids), -np.inf)
+                edge = np.partition(score, -k, axis=1)[:, -k] if b.num_rows > k else np.full(len(q), -np.inf)
                 i, j = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(rows[j], pa.int64()), pa.array(score[i, j])], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(score[i, j])], names=[ask_key, key, "score"])
 
-        found = fine.select(F.col(key).cast("long").alias(key), column, *([same] if same else [])).mapInArrow(run, f"query_id long, `{key}` long, score double")
+        found = rows.select(key, column, *([same] if same else [])).mapInArrow(run, kinds.replace(" rank int,", ""))
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+        return spark.createDataFrame([], kinds)
+    order = Window.partitionBy(ask_key).orderBy(F.desc(F.round("score", 9)), key)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(ask_key, "rank", key, "score")
+
+
+def knn(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", column: str = "embedding", same: str | None = None) -> DataFrame:
+    """``query_id``, ``rank``, ``key``, ``score``: the ``k`` nearest rows of each row for which ``is_query`` holds, its own left out; see
+    ``search``."""
+    rows = vectors.select(F.col(key).cast("long").alias(key), column, *([same] if same else []))
+    asked = vectors.where(is_query).select(F.col(key).cast("long").alias("query_id"), column, *([same] if same else []))
+    return search(asked, rows, k, "query_id", key, column, same, own=True)
 
 
 def rank_measures(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (1, 4, 8, 15)) -> DataFrame:

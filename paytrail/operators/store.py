@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from .report import STEPS, reusable_job, save_report
 
 SCHEMAS = {
     "reports": "report_id string, run_id string, period string, generated_at timestamp, risk_rating string, clean boolean, report_json string",
-    "findings": "finding_id string, report_id string, candidate_id string, pattern_type string, risk_level string, confidence double, status string, ordinal int, saved_at timestamp",
+    "findings": "finding_id string, report_id string, candidate_id string, pattern_type string, risk_level string, confidence double, status string, ordinal int, saved_at timestamp, version string",
+    "commits": "report_id string, version string, committed_at timestamp",
     "reviews": "review_id string, finding_id string, action string, reviewer string, at timestamp, note string",
     "jobs": "job_id string, batch_name string, batch_sha256 string, status string, submitted_at timestamp, finished_at timestamp, report_id string, error string, changed_at timestamp",
 }
@@ -36,7 +38,7 @@ def with_retry(write: Callable[[], None], attempts: int = 3, pause: float = 0.5)
 
 class Store:
     """Tables below ``root``. Rows are never changed: reports keep their first text, a finding's state follows from its
-    reviews, a job's is its newest row."""
+    reviews, a job's is its newest row, and a report's findings are those of its newest commit."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -56,20 +58,47 @@ class Store:
         fixed = rows.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(SCHEMAS[name])))
         with_retry(lambda: fixed.write.mode("append").parquet(f"{self.root}/{name}"))
 
-    def save(self, reports: DataFrame, findings: DataFrame) -> None:
-        """File reports once; findings may be filed again, the newest counts."""
+    def save(self, reports: DataFrame, findings: DataFrame) -> str:
+        """File reports, once, and their findings, anew each time; returns the version.
+
+        The two tables have no transaction in common, so findings are written under a version that nobody reads yet, then the
+        reports, and last a row in ``commits`` for each report, in one file. Whoever reads sees the findings of the commit
+        before until then, and never a part of them; a save that fails leaves rows that no commit names, and can be repeated.
+        """
+        version = uuid.uuid4().hex
+        self.append("findings", findings.withColumns({"saved_at": F.current_timestamp(), "version": F.lit(version)}))
         self.append("reports", save_report(self.read("reports"), reports))
-        self.append("findings", findings.withColumn("saved_at", F.current_timestamp()))
+        filed = self.read("findings").where(F.col("version") == version).select("report_id").unionByName(reports.select("report_id")).distinct()
+        self.append("commits", filed.select("report_id", F.lit(version).alias("version"), F.current_timestamp().alias("committed_at")).coalesce(1))
+        return version
+
+    def committed(self) -> DataFrame:
+        """``report_id``, ``version`` of the newest commit of each report; ties by version."""
+        return self.read("commits").groupBy("report_id").agg(F.max_by("version", F.struct("committed_at", "version")).alias("version"))
+
+    def reports(self) -> DataFrame:
+        """Filed reports, but for those whose first save hasn't come to its commit."""
+        begun = self.read("findings").where("version is not null").select("report_id").distinct()
+        return self.read("reports").join(begun.join(self.committed(), "report_id", "left_anti"), "report_id", "left_anti")
 
     def findings(self) -> DataFrame:
-        """Newest row of each finding, with the state that its reviews lead to."""
-        newest = Window.partitionBy("finding_id").orderBy(F.desc("saved_at"))
-        own = self.read("findings").withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+        """Findings of each report's newest commit, with the state that their reviews lead to. Rows of before there were commits
+        count where their report has none."""
+        newest = self.committed().withColumnRenamed("version", "now")
+        rows = self.read("findings").join(newest, "report_id", "left").where(F.col("version").eqNullSafe(F.col("now"))).drop("now")
+        one = Window.partitionBy("finding_id").orderBy(F.desc("saved_at"), "report_id", "candidate_id")
+        own = rows.withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn", "version")
         listed = self.read("reviews").groupBy("finding_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "review_id", "action"))), lambda x: x["action"]).alias("acts"))
         table = F.create_map(*(F.lit(x) for (s, a), t in STEPS.items() for x in (f"{s}>{a}", t)))
         fold = F.aggregate(F.coalesce("acts", F.array().cast("array<string>")), F.col("status"), lambda s, a: F.coalesce(F.try_element_at(table, F.concat_ws(">", s, a)), s))
         return own.join(listed, "finding_id", "left").withColumn("status", fold).drop("acts")
 
+    def report(self, report_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(the report's row, its findings in order, the history of their reviews, oldest first)."""
+        own = self.findings().where(F.col("report_id") == report_id)
+        history = self.read("reviews").join(own.select("finding_id"), "finding_id", "left_semi")
+        return self.reports().where(F.col("report_id") == report_id), own.orderBy("ordinal", "finding_id"), history.orderBy("at", "review_id")
+
     def review(self, finding_id: str, action: str, reviewer: str, note: str = "") -> str:
         """Append a review; returns the new state."""
         now = self.findings().where(F.col("finding_id") == finding_id).select("status").head()
@@ -84,7 +113,7 @@ class Store:
     def listing(self, period: str | None = None, limit: int = 50) -> DataFrame:
         """Newest reports first, with the number of findings and of those in doubt."""
         counts = self.findings().groupBy("report_id").agg(F.count("*").alias("findings"), F.count_if(F.col("status") == "needs_review").alias("needs_review"))
-        rows = self.read("reports").drop("report_json")
+        rows = self.reports().drop("report_json")
         rows = rows.where(F.col("period") == period) if period else rows
         return rows.join(counts, "report_id", "left").fillna(0, ["findings", "needs_review"]).orderBy(F.desc("generated_at"), "report_id").limit(limit)
 
@@ -103,7 +132,7 @@ class Store:
         self.append("jobs", own.withColumns(done))
 
     def jobs(self) -> DataFrame:
-        newest = Window.partitionBy("job_id").orderBy(F.desc("changed_at"))
+        newest = Window.partitionBy("job_id").orderBy(F.desc("changed_at"), F.desc("finished_at"), F.desc("status"))
         return self.read("jobs").withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
 
 

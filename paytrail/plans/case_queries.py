@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paytrail.operators import cases, detectors, evaluate
 
 from .cut import cut
-from .ledger_queries import WITH, P, _edges, _fan_sql
+from .ledger_queries import QUERY_TERMS, WITH, P, _edges, _fan_sql
 from .registry import query
 
 FANS = (("fan_in", "receiver_account", "sender_account", "distinct_senders"), ("fan_out", "sender_account", "receiver_account", "distinct_recipients"))
@@ -71,3 +71,14 @@ select payment_kind, batch, txn_ref, depth, place from (select *, row_number() o
 def round_robin_by_batch(spark, sf_dir):
     """Of each kind of payment 15 rows (the limit is the feature), one of every batch in turn; a sender's country is the batch."""
     return evaluate.round_robin_batches(_edges(spark, sf_dir), "payment_kind", "sender_country", ["ts", "txn_ref"], 15).select("payment_kind", F.col("sender_country").alias("batch"), "txn_ref", "depth", "place")
+
+
+@query(f"""{WITH}, {CASES}, crossing as (select case_id, bool_or(sender_country <> receiver_country) as c from legs join ledger using (txn_ref) group by 1)
+select case_id, case shape when 'fan_in' then '{QUERY_TERMS['fan_in']}' else '{QUERY_TERMS['fan_out']}' end || '; ' || size::varchar || ' payments' || case when c then '; cross-border' else '' end as query_text from cases join crossing using (case_id)""")
+def query_templates(spark, sf_dir):
+    """The words that an indicator search asks for each fan with."""
+    edges = cut(_edges(spark, sf_dir), "ledger")
+    found = fan_cases(edges)
+    legs = found.select("case_id", F.explode("refs").alias("txn_ref")).join(edges.select("txn_ref", (F.col("sender_country") != F.col("receiver_country")).alias("c")), "txn_ref")
+    crossing = legs.groupBy("case_id").agg(F.bool_or("c").alias("c"))
+    return found.join(crossing, "case_id").select("case_id", evaluate.query_text(F.col("shape"), QUERY_TERMS, F.concat(F.col("size").cast("string"), F.lit(" payments")), F.col("c")).alias("query_text"))

@@ -13,6 +13,8 @@ from .params import DAY_US, HOUR_US, PRECEDENCE, Params
 from .registry import query
 
 P = Params()
+#: The same without bounds on hops, levels and sides.
+ALL = Params(cycle_max_hops=None, max_frontier=None, max_block_side=None)
 WITH = f"with recursive ledger as ({source.ledger_sql('duckdb')})"
 FAN_DAYS, HUB_DAYS, FUNNEL_DAYS = P.window_days * DAY_US, P.hub_days * DAY_US, P.funnel_days * DAY_US
 REFS = "array_to_string(list_sort(list(distinct txn_ref)), '|')"
@@ -86,20 +88,34 @@ def edge_refs(spark, sf_dir):
     return graph.edge_refs(_edges(spark, sf_dir)).withColumn("refs", F.array_join("refs", "|"))
 
 
-@query(f"""{WITH}, {DEGREES},
+def _layers_sql(bound: str) -> str:
+    return f"""{WITH}, {DEGREES},
 pay as (select distinct receiver_account as node, sender_account as other from ledger where sender_account <> receiver_account),
 l0 as (select node as root, node as account from degrees where payers >= 6),
 n1 as (select distinct root, other as account from l0 join pay on pay.node = l0.account where other <> root),
-l1 as (select * from n1 where root in (select root from n1 group by root having count(*) <= 200)),
+l1 as (select * from n1 where root in (select root from n1 group by root {bound})),
 n2 as (select distinct root, other as account from l1 join pay on pay.node = l1.account where other <> root and (root, other) not in (select (root, account) from l1)),
-l2 as (select * from n2 where root in (select root from n2 group by root having count(*) <= 200)),
+l2 as (select * from n2 where root in (select root from n2 group by root {bound})),
 n3 as (select distinct root, other as account from l2 join pay on pay.node = l2.account where other <> root and (root, other) not in (select (root, account) from l1) and (root, other) not in (select (root, account) from l2)),
-l3 as (select * from n3 where root in (select root from n3 group by root having count(*) <= 200))
-select root, 1 as level, account from l1 union all select root, 2, account from l2 union all select root, 3, account from l3""")
-def multi_hop_layers(spark, sf_dir):
+l3 as (select * from n3 where root in (select root from n3 group by root {bound}))
+select root, 1 as level, account from l1 union all select root, 2, account from l2 union all select root, 3, account from l3"""
+
+
+def _layers(spark, sf_dir, params: Params) -> DataFrame:
     edges = _edges(spark, sf_dir)
     roots = graph.degrees(edges).where("payers >= 6").select(F.col("node").alias("root"))
-    return graph.multi_hop_layers(edges, roots, "in", 3, P).where("level > 0").select("root", "level", "account")
+    return graph.multi_hop_layers(edges, roots, "in", 3, params).where("level > 0").select("root", "level", "account")
+
+
+@query(_layers_sql("having count(*) <= 200"))
+def multi_hop_layers(spark, sf_dir):
+    return _layers(spark, sf_dir, P)
+
+
+@query(_layers_sql(""))
+def multi_hop_layers_unbounded(spark, sf_dir):
+    """Levels of any width."""
+    return _layers(spark, sf_dir, ALL)
 
 
 def _fan_sql(pattern: str, key: str, other: str, count: str) -> str:
@@ -236,6 +252,13 @@ def cycle_rings(spark, sf_dir):
     return detectors.with_refs(detectors.chains(edges, P).where("closed"), edges).select("origin", F.array_join("refs", "|").alias("refs"), "hops")
 
 
+@query(f"{WITH}, {PATHS.replace(f'and p.hops < {P.cycle_max_hops} ', '')} select origin, array_to_string(refs, '|') as refs, hops from paths where closed and hops >= {P.cycle_min_hops}")
+def cycle_rings_unbounded(spark, sf_dir):
+    """Rings of any length: the bound on hops lifted."""
+    edges = _edges(spark, sf_dir)
+    return detectors.with_refs(detectors.chains(edges, ALL).where("closed"), edges).select("origin", F.array_join("refs", "|").alias("refs"), "hops")
+
+
 @query(f"""{WITH}, {PATHS}, longer as (select distinct refs[1:hops - 1] as refs from paths where not closed and hops > 1)
 select origin, array_to_string(refs, '|') as refs, hops, closed from paths p where hops >= {P.cycle_min_hops} and (closed or not exists (select 1 from longer l where l.refs = p.refs))""")
 def cycle_chains(spark, sf_dir):
@@ -272,6 +295,12 @@ def bipartite_pairs(spark, sf_dir):
     return detectors.sender_pairs(_edges(spark, sf_dir), P)[1]
 
 
+@query(f"{WITH}, {LINKS.replace(f' having count(*) <= {P.max_block_side}', '')} select * from links")
+def bipartite_pairs_unbounded(spark, sf_dir):
+    """Linked senders, receivers of any number of senders among them."""
+    return detectors.sender_pairs(_edges(spark, sf_dir), ALL)[1]
+
+
 @query(f"{WITH}, {BLOCKS} select root as block, senders, receivers, refs, round(p / (s * r), 4) as density from sides join send using (root) join brefs using (root)")
 def bipartite_blocks(spark, sf_dir):
     found = detectors.bipartite_blocks(_edges(spark, sf_dir), P)
@@ -364,18 +393,19 @@ def background_rows(spark, sf_dir):
     return _edges(spark, sf_dir).join(source.labels(spark).select("txn_ref"), "txn_ref", "left_anti").select("txn_ref", "amount")
 
 
-@query(f"""{WITH}, ranked as (select *, row_number() over (partition by shape order by instance, txn_ref) as depth from ({source.labels_sql()}) l)
-select shape, instance, txn_ref, depth from ranked where depth <= 5""")
+@query(f"""{WITH}, drawn as (select shape, instance, txn_ref, row_number() over (partition by shape, instance order by us, txn_ref) as depth from ledger join ({source.labels_sql()}) l using (txn_ref))
+select * from (select *, row_number() over (partition by shape order by depth, instance) as place from drawn) where place <= 5""")
 def golden_round_robin(spark, sf_dir):
-    """The first rows of every shape in turn, as a labelled set draws them (the limit is the feature)."""
-    return evaluate.round_robin(source.labels(spark), "shape", ["instance", "txn_ref"], 5)
+    """The first five rows of every shape, one of each of its instances in turn, as a labelled set draws them (the limit is the feature)."""
+    rows = _edges(spark, sf_dir).select("txn_ref", "us").join(source.labels(spark), "txn_ref")
+    return evaluate.round_robin_batches(rows, "shape", "instance", ["us", "txn_ref"], 5).select("shape", "instance", "txn_ref", "depth", "place")
 
 
 @query(f"""{WITH}, seen as (select distinct l.txn_ref from ledger l), planted as ({source.labels_sql()}) select 'missing' as kind, txn_ref from planted where txn_ref not in (select txn_ref from seen)
-union all select 'unlabelled', txn_ref from seen where txn_ref like 'PLT%' and txn_ref not in (select txn_ref from planted)""")
+union all select 'unlabelled', txn_ref from seen where txn_ref not in (select txn_ref from planted)""")
 def dataset_drift(spark, sf_dir):
     """What a labelled set and the ledger don't share: EXCEPT both ways."""
-    planted, seen = source.labels(spark).select("txn_ref"), _edges(spark, sf_dir).select("txn_ref").where("txn_ref like 'PLT%'")
+    planted, seen = source.labels(spark).select("txn_ref"), _edges(spark, sf_dir).select("txn_ref")
     return planted.exceptAll(seen).select(F.lit("missing").alias("kind"), "txn_ref").unionByName(seen.exceptAll(planted).select(F.lit("unlabelled").alias("kind"), "txn_ref"))
 
 
@@ -383,14 +413,3 @@ QUERY_TERMS = {  # our wording for an indicator search of each shape
     "structuring": "deposits kept just under a reporting threshold", "fan_in": "many payers, one collecting account", "fan_out": "one account paying many others", "cycle": "money that returns to where it started",
     "scatter_gather": "split over intermediaries and collected again", "gather_scatter": "collected and passed on at once", "deposit_send": "cash paid in and sent on", "layered_fan": "collection in two layers", "bipartite": "a group paying the same group",
 }
-
-
-@query(" union all ".join(f"select '{p}' as pattern_type, '{QUERY_TERMS[p]}' || '; threshold ' || t::varchar || case when c then '; cross-border' else '' end as query_text from (values (10000, true), (3000, false)) x(t, c)" for p in PRECEDENCE))
-def query_templates(spark, sf_dir):
-    terms = F.create_map(*(F.lit(x) for kv in QUERY_TERMS.items() for x in kv))
-    cases = spark.createDataFrame([(p, t, c) for p in PRECEDENCE for t, c in ((10000, True), (3000, False))], "pattern_type string, t int, c boolean")
-    return cases.select("pattern_type", F.concat_ws("; ", terms[F.col("pattern_type")], F.concat(F.lit("threshold "), F.col("t").cast("string")), F.when(F.col("c"), "cross-border")).alias("query_text"))
-
-
-def confidence_of(members: DataFrame) -> DataFrame:
-    return scoring.summarise(members, ["anchor"], "fan_in", P.fan_min, P)

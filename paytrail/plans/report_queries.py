@@ -60,13 +60,20 @@ def mt103_quarantine(spark, sf_dir):
     return mt103.ingest(logs)[1].select("file", "reason")
 
 
-CASES = [("5669,49", "5669.49", None), ("5,669.49", None, "amount has a dot"), ("581046", None, "amount needs one decimal comma"), ("1,2,3", None, "amount needs one decimal comma"), ("0,00", "0.00", "amount is not positive"), ("12,5", "12.50", None), (",", None, "amount is not a number")]
+#: Ways to write an amount, by position: as it should be, with a dot, without a comma, with two, as zero, without digits.
+WAYS = ("replace(amount::varchar, '.', ',')", "amount::varchar", "replace(amount::varchar, '.', '')", "replace(amount::varchar, '.', ',') || ',0'", "'0,00'", "','")
+REASONS = (None, "amount has a dot", "amount needs one decimal comma", "amount needs one decimal comma", "amount is not positive", "amount is not a number")
 
 
-@query("select * from (values " + ", ".join(f"('{r}', {v + '::decimal(18,2)' if v else 'null::decimal(18,2)'}, {repr(w) if w else 'null'})" for r, v, w in CASES) + ") as t(raw, amount, reason)")
+@query(f"{WITH} select pos, case pos % 6 " + " ".join(f"when {k} then {w}" for k, w in enumerate(WAYS)) + " end as raw, case pos % 6 when 0 then amount when 4 then 0.00::decimal(18,2) end as amount, case pos % 6 "
+       + " ".join(f"when {k} then {repr(w) if w else 'null::varchar'}" for k, w in enumerate(REASONS)) + " end as reason from ledger")
 def swift_amount_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(r,) for r, _, _ in CASES], "raw string")
-    return rows.select("raw", mt103.parse_amount(F.col("raw")).alias("amount"), mt103.amount_reason(F.col("raw")).alias("reason"))
+    """Every amount of the ledger, well or badly written by its position, read back or refused."""
+    rows, text = source.ledger(spark, sf_dir), F.col("amount").cast("string")
+    comma = F.replace(text, F.lit("."), F.lit(","))
+    ways = F.array(comma, text, F.replace(text, F.lit("."), F.lit("")), F.concat(comma, F.lit(",0")), F.lit("0,00"), F.lit(","))
+    raw = rows.select("pos", ways[(F.col("pos") % 6).cast("int")].alias("raw"))
+    return raw.select("pos", "raw", mt103.parse_amount(F.col("raw")).alias("amount"), mt103.amount_reason(F.col("raw")).alias("reason"))
 
 
 #: Findings in the shape of the service's, from the labelled documents.

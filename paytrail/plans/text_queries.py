@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paytrail.functions import redact, text
+from paytrail.operators import embed
 from paytrail.operators import passages as passages_of
 from paytrail.operators import retrieval
 
@@ -219,3 +220,27 @@ def document_dates(spark, sf_dir):
         F.concat(F.lit("Tax Rules 2017 (Revised_"), F.date_format(day, "MMMM yyyy"), F.lit(").txt")), F.concat(F.lit("Framework "), F.date_format(day, "yyyy"), F.lit(".txt")), F.lit("notes.txt"),
     ]
     return orders.select("o_orderkey", text.document_date(F.get(F.array(*styles), F.col("o_orderkey") % 6)).alias("dated"))
+
+
+INDICATORS = """docs as (select doc_id, text from documents where lang = 'en' and text is not null),
+asked as (select item_id as query_id, text from benchmark),
+words as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from docs),
+freq as (select term, count(distinct doc_id) as df from words group by 1), n as (select count(*)::double as n from docs),
+tf as (select 'd' as side, doc_id as id, term, count(*) as tf from words group by all
+  union all select 'q', query_id, term, count(*) from (select query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from asked) group by all),
+raw as (select side, id, ('0x' || md5(term)[1:7])::bigint % 512 as bucket, sum(tf * ln(1 + n / coalesce(df, 1))) as w from tf left join freq using (term), n group by all),
+unit as (select side, id, bucket, w / sqrt(sum(w * w) over (partition by side, id)) as w from raw),
+scored as (select q.id as query_id, d.id as chunk_id, sum(q.w * d.w) as score from unit q join unit d using (bucket) where q.side = 'q' and d.side = 'd' group by 1, 2),
+near as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank from scored qualify rank <= 15),
+bags as (select query_id, chunk_id, rank, score, list_distinct(list_filter(regexp_split_to_array(lower(a.text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as own,
+  list_distinct(list_filter(regexp_split_to_array(lower(d.text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as other from near join asked a using (query_id) join docs d on d.doc_id = chunk_id),
+shared as (select query_id, chunk_id, rank, score, round(len(list_intersect(own, other)) / greatest(len(own), 1), 6) as overlap from bags)"""
+
+
+@query(f"""with {INDICATORS} select query_id, chunk_id, rank, round(score, 6) as score, overlap, row_number() over (partition by query_id order by overlap desc, rank)::int as new_rank from shared qualify new_rank <= 5""")
+def indicator_search(spark, sf_dir):
+    """The English documents nearest to every item of the benchmark by hashed terms, reranked."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en' and text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found, _ = embed.indicators(asked, docs, embed.HashedTerms(docs))
+    return found.withColumn("score", F.round("score", 6))

@@ -68,6 +68,31 @@ def test_store_keeps_reports_and_folds_reviews(spark, tmp_path):
     assert (row.findings, row.needs_review) == (1, 0) and s.listing("2023-01").count() == 0
 
 
+@pytest.mark.parametrize("broken", ["findings", "reports", "commits"])
+def test_a_save_that_fails_half_way_shows_nothing_of_itself(spark, tmp_path, monkeypatch, broken):
+    s, append = store.Store(spark, str(tmp_path)), store.Store.append
+    two = finding(spark).unionByName(finding(spark).withColumns({"finding_id": F.lit("f2"), "status": F.lit("needs_review")}))
+
+    def failing(self, name, rows):
+        if name == broken:
+            raise OSError("disk full")
+        append(self, name, rows)
+
+    seen = lambda: (sorted(r.finding_id for r in s.findings().collect()), [(r.report_id, r.findings, r.needs_review) for r in s.listing().collect()])
+    for before, rows in (([], two), (["f1", "f2"], finding(spark))):
+        monkeypatch.setattr(store.Store, "append", failing)
+        with pytest.raises(OSError):
+            s.save(report(spark, "text"), rows)
+        assert seen() == (before, [("r1", 2, 1)] if before else [])
+        monkeypatch.setattr(store.Store, "append", append)
+        s.save(report(spark, "text"), two if not before else rows)
+    # findings are written anew, so one that is gone is gone; the report keeps its first text
+    assert seen() == (["f1"], [("r1", 1, 0)]) and [r.report_json for r in s.reports().collect()] == ["text"]
+    own, findings, history = s.report("r1")
+    s.review("f1", "escalate", "ann")
+    assert (own.count(), [r.finding_id for r in findings.collect()]) == (1, ["f1"]) and [r.action for r in s.report("r1")[2].collect()] == ["escalate"] and "review_id" in history.columns
+
+
 def test_jobs_are_reused_by_digest_unless_they_failed(spark, tmp_path):
     s = store.Store(spark, str(tmp_path))
     assert s.submit("j1", "b", "d1") == "j1" and s.submit("j2", "b", "d1") == "j1"
