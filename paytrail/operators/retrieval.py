@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,52 @@ def fuse(ranked: DataFrame, by: list[str], k: int = 60) -> DataFrame:
     return ranked.groupBy(*by).agg(F.sum(1 / (k + F.col("rank"))).alias("fused"))
 
 
+#: Comparisons of a filter document.
+COMPARE = {
+    "$eq": lambda c, v: c.isNull() if v is None else c == v, "$ne": lambda c, v: c.isNotNull() if v is None else c != v, "$in": lambda c, v: c.isin(*v), "$nin": lambda c, v: ~c.isin(*v),
+    "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
+}
+
+
+def where(document: Mapping) -> Column:
+    """A filter document as one condition, of comparisons only, so that a scan can take it: a field with a value or with
+    comparisons, ``$and`` and ``$or`` of documents, ``$not`` of one. Several entries must all hold; an empty document holds for all
+    rows, an empty ``$and`` too, an empty ``$or`` or ``$in`` for none. What it doesn't know is refused."""
+    parts = []
+    for name, value in document.items():
+        if name in ("$and", "$or"):
+            each = [where(d) for d in value]
+            parts.append(reduce(Column.__and__ if name == "$and" else Column.__or__, each) if each else F.lit(name == "$and"))
+        elif name == "$not":
+            parts.append(~where(value))
+        elif name.startswith("$"):
+            raise ValueError(f"no such operator: {name}")
+        elif isinstance(value, Mapping):
+            unknown = set(value) - set(COMPARE)
+            if unknown:
+                raise ValueError(f"no such comparison: {', '.join(sorted(unknown))}")
+            parts += [COMPARE[op](F.col(name), list(x) if op in ("$in", "$nin") else x) for op, x in value.items()]
+        else:
+            parts.append(COMPARE["$eq"](F.col(name), value))
+    return reduce(Column.__and__, parts) if parts else F.lit(True)
+
+
+def obligations(curated: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``pattern_type``, ``chunk_id``, each once; notes: ``pattern_type``, ``missing``, ``code``).
+
+    ``curated``: ``pattern_type`` and the ``source_id`` and ``section_ref`` of each obligation, null for a shape without any. Keys
+    outlive the chunks' ids, so they are resolved here; two keys of one chunk give it once. A shape of whose keys some don't
+    resolve is noted with their number, one that has none left with a code.
+    """
+    found = resolve(curated.where("source_id is not null"), chunks)
+    hits = found.where("chunk_id is not null").select("pattern_type", "chunk_id").distinct()
+    missed = found.groupBy("pattern_type").agg(F.count_if(F.col("chunk_id").isNull()).alias("missing"))
+    some = hits.select("pattern_type").distinct().withColumn("some", F.lit(True))
+    each = curated.select("pattern_type").distinct().join(missed, "pattern_type", "left").join(some, "pattern_type", "left")
+    notes = each.select("pattern_type", F.coalesce("missing", F.lit(0)).alias("missing"), F.when(F.col("some").isNull(), "OBLIGATION_MAP_MISS").alias("code"))
+    return hits, notes.where("missing > 0 or code is not null")
+
+
 def resolve(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     """``wanted`` (``source_id``, ``section_ref``) with ``chunk_id``, null where the corpus has none; a section with several
     chunks gives the first."""

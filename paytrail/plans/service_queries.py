@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paytrail.operators import adjudicate, generate
+from paytrail.operators import adjudicate, generate, grounding, retrieval
 from paytrail.sources import ledger as source
 
 from .cut import cut
@@ -103,3 +103,67 @@ def manifest_check(spark, sf_dir):
     said = pages.select(name.alias("artifact"), F.when(F.col("page_id") % 9 == 0, "x").otherwise(F.sha2("html", 256)).alias("sha256"), F.lit("text").alias("role"), tier.alias("tier"), F.when(F.col("page_id") % 2 == 0, "binding").otherwise("illustrative").alias("authority"))
     said = said.unionByName(spark.createDataFrame([("gone", "x", "text", "guidance", "illustrative")], said.schema))
     return generate.manifest_problems(said, pages.select(name.alias("artifact"), F.col("html").cast("binary").alias("content")))
+
+
+CORPUS = {"$and": [{"lang": {"$in": ["en", "de"]}}, {"$or": [{"n_chars": {"$gte": 2000}}, {"source": {"$ne": "web"}}]}], "doc_id": {"$gt": 3}}
+
+
+@query("select doc_id, lang, source, n_chars from documents where lang in ('en', 'de') and (n_chars >= 2000 or source <> 'web') and doc_id > 3")
+def filtered_corpus(spark, sf_dir):
+    """Documents that a nested filter document lets through."""
+    return table(spark, sf_dir, "documents").where(retrieval.where(CORPUS)).select("doc_id", "lang", "source", "n_chars")
+
+
+SECTIONS = """chunks as (select source as source_id, lang as section_ref, min(doc_id) as chunk_id from documents where text is not null group by 1, 2),
+curated as (select distinct source as pattern_type, source as source_id, lang as section_ref from documents union all select distinct source, source, 'repealed' from documents
+  union all select distinct source, source, 'en' from documents union all select 'uncurated', null, null)"""
+
+
+def _curated(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("source").alias("pattern_type"), F.col("source").alias("source_id"), F.col("lang").alias("section_ref")).distinct()
+    more = [own.select("pattern_type", "source_id", F.lit(x).alias("section_ref")).distinct() for x in ("repealed", "en")]
+    none = spark.createDataFrame([("uncurated", None, None)], own.schema)
+    chunks = docs.where("text is not null").select(F.col("source").alias("source_id"), F.col("lang").alias("section_ref"), F.col("doc_id").alias("chunk_id"))
+    return own.unionByName(more[0]).unionByName(more[1]).unionByName(none), chunks
+
+
+@query(f"with {SECTIONS} select distinct pattern_type, chunk_id from curated join chunks using (source_id, section_ref)")
+def obligations_by_key(spark, sf_dir):
+    """Curated keys of every source resolved to documents, each once though keys repeat."""
+    return retrieval.obligations(*_curated(spark, sf_dir))[0]
+
+
+@query(f"""with {SECTIONS} select pattern_type, count(*) filter (source_id is not null and chunk_id is null) as missing, case when count(chunk_id) = 0 then 'OBLIGATION_MAP_MISS' end as code
+from curated left join chunks using (source_id, section_ref) group by 1 having count(*) filter (source_id is not null and chunk_id is null) > 0 or count(chunk_id) = 0""")
+def obligation_notes(spark, sf_dir):
+    """Sources of whose curated keys some, or all, don't resolve."""
+    return retrieval.obligations(*_curated(spark, sf_dir))[1]
+
+
+REPLIES = "doc_id % 4 = 0 or (doc_id % 4 = 1 and {attempt} > 1) or (doc_id % 4 = 2 and {attempt} > 2)"
+
+
+def _reply(rows, attempt: int):
+    """A drafter that needs as many attempts as the row's number says, or never gets it right."""
+    right = F.to_json(F.struct(F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("narrative"), F.when(F.col("toxic") == 1, "high").otherwise("low").alias("risk_level"), F.array(F.lit("law:1")).alias("cited")))
+    wrong = F.when(F.col("doc_id") % 3 == 0, "I would say low.").when(F.col("doc_id") % 3 == 1, '{"narrative": "n", "risk_level": "dire", "cited": []}').otherwise('{"narrative": "n", "risk_level": "low"}')
+    return rows.withColumn("reply", F.when(F.expr(REPLIES.format(attempt=attempt)), right).otherwise(wrong))
+
+
+@query(f"""select doc_id, case when a <= 3 then 'Document ' || doc_id::varchar end as narrative, case when a <= 3 then case when toxic = 1 then 'high' else 'low' end end as risk_level, least(a, 3)::int as attempts,
+  case when a > 3 then 'SCHEMA_PARSE_FAILURE: ' || case doc_id % 3 when 0 then 'not an object of the schema' when 1 then 'no such risk level' else 'no list of citations' end end as note
+from (select *, doc_id % 4 + 1 as a from labels)""")
+def grounded_drafts(spark, sf_dir):
+    """A draft for every labelled document, repaired up to three times."""
+    return grounding.ground(table(spark, sf_dir, "labels").select("doc_id", "toxic"), _reply).select("doc_id", "narrative", "risk_level", "attempts", "note")
+
+
+@query()
+def trimmed_payloads(spark, sf_dir):
+    """A nested payload of every conversation, cut down."""
+    turns = table(spark, sf_dir, "conversations")
+    entry = F.struct("turn", "role", F.struct(F.split("text", " ").alias("words"), F.lit("bulk").alias("batch_graph")).alias("body"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    payload = F.to_json(F.struct("conv_id", F.col("t").alias("records"), F.col("t").alias("turns")))
+    return grounding.trimmed(rows.select("conv_id", payload.alias("payload")), "payload")
