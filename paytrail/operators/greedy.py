@@ -12,7 +12,6 @@ takes them in order instead.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 

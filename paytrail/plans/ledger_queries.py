@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytrail.operators import baseline, detectors, evaluate, graph, greedy, scoring
+from paytrail.operators import baseline, detectors, evaluate, graph, greedy
 from paytrail.sources import ledger as source
 
 from .cut import cut
-from .params import DAY_US, HOUR_US, PRECEDENCE, Params
+from .params import DAY_US, HOUR_US, Params
 from .registry import query
 
 P = Params()

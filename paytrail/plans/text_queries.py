@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paytrail.functions import redact, text
+from paytrail.functions import chunks, redact, text
 from paytrail.operators import embed
 from paytrail.operators import passages as passages_of
 from paytrail.operators import retrieval
@@ -33,22 +33,31 @@ def tidy_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.tidy(F.col("text"))).alias("digest"))
 
 
-@query()
+SHORT = ", ".join(f"'{a}'" for a in sorted(text.ABBREVIATIONS))
+
+
+@query(rf"""with lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as ln from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
+words as (select doc_id, ln, unnest(w) as w, generate_subscripts(w, 1) as k from (select doc_id, ln, regexp_extract_all(line, '[^\s]+\s*') as w from lines)),
+ends as (select *, regexp_matches(rtrim(w), '[.!?]+["'')\]]*$') and regexp_matches(lead(w) over o, '^[\p{{Lu}}(‘“"'']') and lower(regexp_extract(rtrim(w), '([^(\[]*?)[.!?]+["'')\]]*$', 1)) not in ({SHORT})
+  and not regexp_full_match(regexp_extract(rtrim(w), '([^(\[]*?)[.!?]+["'')\]]*$', 1), '\p{{L}}') as e from words window o as (partition by doc_id, ln order by k)),
+numbered as (select *, coalesce(sum(e::int) over (partition by doc_id, ln order by k rows between unbounded preceding and 1 preceding), 0) as s from ends),
+found as (select doc_id, ln, s, rtrim(string_agg(w, '' order by k)) as piece from numbered group by 1, 2, 3)
+select doc_id, (row_number() over (partition by doc_id order by ln, s) - 1)::int as ordinal, piece from found""")
 def split_sentences(spark, sf_dir):
-    return text.explode_texts(table(spark, sf_dir, "documents"), "doc_id", text.sentences)
+    return chunks.sentences(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query()
 def semantic_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("text", text.normalize(F.col("text")))
-    return text.explode_texts(docs, "doc_id", text.chunk)
+    return chunks.chunk(docs, "doc_id")
 
 
 @query()
 def chunk_sizes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("text", text.normalize(F.col("text")))
     n = F.length("piece")
-    return text.explode_texts(docs, "doc_id", text.chunk).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+    return chunks.chunk(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
 
 
 STRIP = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|li|h[1-6]|tr)>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g')"""

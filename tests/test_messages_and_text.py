@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from paytrail.functions import redact, text
+from paytrail.functions import chunks, redact, text
 from paytrail.operators import evaluate, report, retrieval
 from paytrail.sources import ledger, mt103
 
@@ -116,33 +116,13 @@ def test_masking(spark):
     assert got.m["kind"] == "A1" and got.m["sender_account"].startswith("ACCT-")
 
 
-def test_sentences_and_chunks():
-    assert text.sentences("See Art. 5 of it. Then No. 8.3.1 applies. (a) It ends.\n(b) Next one") == ["See Art. 5 of it.", "Then No. 8.3.1 applies.", "(a) It ends.", "(b) Next one"]
-    body = " ".join(f"Sentence number {i} is about {'cats' if i < 40 else 'bonds'}." for i in range(90))
-    chunks = text.chunk(body)
-    assert " ".join(chunks) == body and all(len(c) <= text.MAX_CHARS for c in chunks) and len(chunks) > 1
-    assert text.chunk("word " * 900)[0].count("word") == 400 and text.chunk("") == [] and text.chunk("short") == ["short"]
-    table = "Intro\n/Table Start\nTerm\tMeaning\n" + "\n".join(f"t{i}\t{'m' * 50}" for i in range(100)) + "\n/Table End"
-    assert text.split_table("/Table Start\nA\tB\n\t\n1\t2\n/Table End", 50) == ["A | B\n1 | 2"]
-    parts = text.split_table(table, 500)
-    assert parts[0] == "Intro" and all(p.startswith("Term | Meaning\n") and len(p) <= 500 for p in parts[1:])
-
-
-def test_sections_follow_the_deepest_label():
-    body = "\n\n".join(["(a) One", "(1) Two", "(i) Three", "(ii) Four", "more", "(2) Five", "(b) Six"])
-    assert [r for r, _ in text.sections(body, "§ 1")] == ["§ 1(a)", "§ 1(a)(1)", "§ 1(a)(1)(i)", "§ 1(a)(1)(ii)", "§ 1(a)(2)", "§ 1(b)"]
-    assert text.sections("no label", "§ 2") == [("§ 2", "no label")]
-    found, prose = text.guidance("Red Flags\n• First thing\ncontinues here.\nPlain prose follows.\n• Second\nPage 1 of 2\nPage 2 of 2")
-    assert found == [("Red Flags ¶ 1", "First thing continues here."), ("Red Flags ¶ 2", "Second")] and prose == "Red Flags\nPlain prose follows."
-
-
 def test_pages_and_xml(spark):
     page = '<style>x</style><div id="block-body" class="c"><p>A &amp; B</p><br>C</div><div class="tab-content">z</div>'
     df = spark.createDataFrame([(1, page)], "page_id long, html string")
     assert df.select(text.html_to_text(F.col("html")).alias("t")).first().t == "A & B\n\nC\n\nz"
     assert df.select(text.html_to_text(text.region(F.col("html"), 'id="block-body"', "tab-content")).alias("t")).first().t == "A & B\n\nC"
     xml = spark.createDataFrame([(1, '<DIV8 N="1010.311"><HEAD>h</HEAD><P>(a) <I>One</I></P><P>(b) Two</P></DIV8>')], "id long, xml string")
-    assert [(r.section_ref, r.text) for r in text.cfr_sections(xml, "id").collect()] == [("§ 1010.311(a)", "(a) One"), ("§ 1010.311(b)", "(b) Two")]
+    assert [(r.section_ref, r.text) for r in chunks.cfr_sections(xml, "id").collect()] == [("§ 1010.311(a)", "(a) One"), ("§ 1010.311(b)", "(b) Two")]
     odd = spark.createDataFrame([(1, "\ufb01ne\u200b\ttext  here \n\n\n\nend ")], "id long, t string")
     assert odd.select(text.normalize(F.col("t")).alias("t")).first().t == "fine text here\n\nend"
 
