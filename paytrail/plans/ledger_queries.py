@@ -9,8 +9,8 @@ from paytrail.operators import baseline, detectors, evaluate, graph, greedy
 from paytrail.sources import ledger as source
 
 from .cut import cut
-from .params import DAY_US, HOUR_US, Params
-from .registry import query
+from .params import DAY_US, HOUR_US, PRECEDENCE, Params
+from .registry import ORACLES, query
 
 P = Params()
 #: The same without bounds on hops, levels and sides.
@@ -266,7 +266,23 @@ def cycle_chains(spark, sf_dir):
     return detectors.with_refs(detectors.chains(edges, P), edges).select("origin", F.array_join("refs", "|").alias("refs"), "hops", "closed")
 
 
-@query()
+def _kept_sql(sets: str) -> str:
+    """SQL of the ordered fold over ``sets`` (``no`` from 1, ``refs``): ``no`` of those that stay."""
+    return f"""pick as (select 0::bigint as no, []::varchar[][] as kept, false as took
+  union all
+  select no, case when goes then kept else kept || [refs] end, not goes from (
+    select c.no, p.kept, c.refs, len(list_filter(p.kept, lambda k: len(list_intersect(k, c.refs)) / len(c.refs)::double > {P.overlap})) > 0 as goes from pick p join {sets} c on c.no = p.no + 1)),
+stay as (select no from pick where took)"""
+
+
+CYCLES = f"""longer as (select distinct refs[1:hops - 1] as refs from paths where not closed and hops > 1),
+rings as (select *, row_number() over (order by hops desc, refs) as no from paths p where hops >= {P.cycle_min_hops} and last_amount::double / first_amount::double >= {P.retained}
+  and (closed or not exists (select 1 from longer l where l.refs = p.refs)))"""
+
+
+@query(f"""{WITH}, {PATHS}, {CYCLES}, {_kept_sql('rings')},
+legs as (select no, origin as anchor, hops, round(last_amount::double / first_amount::double, 4) as retained_fraction, unnest(refs) as txn_ref from rings join stay using (no))
+{_candidates("cycle", "select legs.*, amount, us from legs join ledger using (txn_ref)", "no, anchor, hops, retained_fraction", P.cycle_min_hops, ", hops, retained_fraction")}""")
 def cycle(spark, sf_dir):
     return _flat(detectors.cycle(_edges(spark, sf_dir), P), "hops", "retained_fraction")
 
@@ -307,7 +323,18 @@ def bipartite_blocks(spark, sf_dir):
     return found.select("block", F.array_join("senders", ",").alias("senders"), F.array_join("receivers", ",").alias("receivers"), F.array_join("refs", "|").alias("refs"), "density")
 
 
-@query()
+STACKS = f"""{BLOCKS},
+dense as (select root as block, senders, receivers, refs, round(p / (s * r), 4) as density from sides join send using (root) join brefs using (root) where p / (s * r) >= {P.block_density}),
+met as (select distinct a, b from (select block as a, unnest(string_split(receivers, ',')) as x from dense) u join (select block as b, unnest(string_split(senders, ',')) as x from dense) d using (x) where a <> b),
+climb as (select block as x, block as y from dense union select x, case when m.a = y then m.b else m.a end from climb join met m on m.a = y or m.b = y),
+stacks as (select x as block, min(y) as stack from climb group by 1),
+bodies as (select stack, count(*) as layers, array_to_string(list_sort(list_distinct(flatten(list(string_split(senders, ','))))), ',') as senders,
+  array_to_string(list_sort(list_distinct(flatten(list(string_split(receivers, ','))))), ',') as receivers, min(density) as density from dense join stacks using (block) group by 1),
+parts as (select distinct stack, txn_ref from (select stack, unnest(string_split(refs, '|')) as txn_ref from dense join stacks using (block)))"""
+
+
+@query(f"""{WITH}, {STACKS} {_candidates("bipartite", "select stack, string_split(senders, ',')[1] as anchor, layers, senders, receivers, density, txn_ref, amount, us from parts join ledger using (txn_ref) join bodies using (stack)",
+  "stack, anchor, layers, senders, receivers, density", P.block_min_src * P.block_min_dst, ", layers, senders, receivers, density", f"having max(us) - min(us) <= {P.block_days * DAY_US}")}""")
 def bipartite(spark, sf_dir):
     return _flat(detectors.bipartite(_edges(spark, sf_dir), P), "layers", "senders", "receivers", "density")
 
@@ -322,7 +349,18 @@ def detect_all_raw(spark, sf_dir):
     return _flat(detectors.detect_raw(_edges(spark, sf_dir), P), "pattern_type", "attributes")
 
 
-@query()
+SHAPES = {**{p: (p,) for p in PRECEDENCE}, "layered_fan": ("layered_fan_in", "layered_fan_out")}
+#: All candidates in order, each with the first one before it that stays and covers it.
+DECIDED = f"""found as ({" union all ".join(f"select candidate_id, '{p}' as pattern_type, string_split(refs, '|') as refs from ({ORACLES[q]})" for p, qs in SHAPES.items() for q in qs)}),
+ordered as (select *, row_number() over (order by list_position([{", ".join(f"'{p}'" for p in PRECEDENCE)}], pattern_type), -len(refs), candidate_id) as no from found),
+pick as (select 0::bigint as no, []::varchar[][] as kept, []::varchar[] as ids, null::varchar as absorber
+  union all
+  select no, case when hit is null then kept || [refs] else kept end, case when hit is null then ids || [candidate_id] else ids end, ids[hit] from (
+    select c.no, p.kept, p.ids, c.refs, c.candidate_id, nullif(list_position(list_transform(p.kept, lambda k: len(list_intersect(k, c.refs)) / len(c.refs)::double > {P.overlap}), true), 0) as hit from pick p join ordered c on c.no = p.no + 1)),
+decided as (select candidate_id, pattern_type, refs, absorber is null as kept, absorber from ordered join pick using (no))"""
+
+
+@query(f"with recursive {DECIDED} select candidate_id, pattern_type, kept, absorber from decided")
 def reconcile(spark, sf_dir):
     return _audit(spark, sf_dir)[1].select("candidate_id", "pattern_type", "kept", "absorber")
 
@@ -369,7 +407,8 @@ def recall_by_pattern(spark, sf_dir):
     return evaluate.recall(found.where("kept"), source.labels(spark))
 
 
-@query()
+@query(f"""{WITH}, {DECIDED}, flagged as (select count(distinct r) as flagged from (select unnest(refs) as r from decided where kept))
+select flagged, (select count(*) from ledger) as total, round(flagged / (select count(*) from ledger), 6) as share from flagged""")
 def alert_volume(spark, sf_dir):
     edges, found = _audit(spark, sf_dir)
     return evaluate.alert_volume(found.where("kept"), edges)
