@@ -31,6 +31,6 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 
 def test_registry_is_complete():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert ngram_join.choose_bands(0.8) == (18, 4)
