@@ -35,6 +35,15 @@ def recall(found: DataFrame, labels: DataFrame, share: float = 0.5) -> DataFrame
     return each.groupBy("shape").agg(F.count("*").alias("instances"), ok("any").alias("found"), ok("named").alias("named"))
 
 
+def summary(recalled: DataFrame) -> DataFrame:
+    """One row of what ``recall`` gives: ``instances``, ``recall``, ``named_recall``, and the ``weakest`` shape with its recall, the first by name of
+    several."""
+    share = F.col("found") / F.col("instances")
+    low = F.min(F.struct(share.alias("share"), "shape"))
+    total = recalled.agg(F.sum("instances").alias("instances"), F.sum("found").alias("f"), F.sum("named").alias("n"), low.alias("low"))
+    return total.select("instances", F.round(F.col("f") / F.col("instances"), 6).alias("recall"), F.round(F.col("n") / F.col("instances"), 6).alias("named_recall"), F.col("low.shape").alias("weakest"), F.round("low.share", 6).alias("weakest_recall"))
+
+
 def alert_volume(found: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows in a candidate, all rows, and their share."""
     flagged = found.select(F.explode("refs").alias("txn_ref")).agg(F.countDistinct("txn_ref").alias("flagged"))
@@ -46,11 +55,6 @@ def partition_of(key: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(key, 256), 1, 2), 16, 10).cast("int") % 2 == 0, "dev").otherwise("eval")
 
 
-def round_robin(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
-    """The first ``most`` rows of each key, with their place."""
-    return rows.withColumn("depth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("depth") <= most).select(key, *order, "depth")
-
-
 def round_robin_batches(rows: DataFrame, key: str, batch: str, order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each key, one of every batch in turn: by ``depth``, the place in the batch, then by batch; ``place``
     is where that puts a row. No batch can give more than ``most``, so the limit applies before batches meet."""

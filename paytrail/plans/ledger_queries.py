@@ -401,12 +401,25 @@ def baseline_alert_volume(spark, sf_dir):
     return flagged.crossJoin(edges.agg(F.count("*").alias("total"))).withColumn("share", F.round(F.col("flagged") / F.col("total"), 6))  # one row each
 
 
-@query()
+RECALLED = f"""{DECIDED}, planted as ({source.labels_sql()}),
+hits as (select pattern_type, shape, instance, txn_ref from (select pattern_type, unnest(refs) as txn_ref from decided where kept) join planted using (txn_ref)),
+reached as (select instance, count(distinct txn_ref) as n, count(distinct txn_ref) filter (pattern_type = shape) as own from hits group by 1),
+sizes as (select instance, shape, count(*) as size from planted group by 1, 2),
+recalled as (select shape, count(*) as instances, count(*) filter (coalesce(n, 0) >= size * 0.5) as found, count(*) filter (coalesce(own, 0) >= size * 0.5) as named from sizes left join reached using (instance) group by 1)"""
+
+
+@query(f"with recursive {RECALLED} select * from recalled")
 def recall_by_pattern(spark, sf_dir):
     edges, found = _audit(spark, sf_dir)
     return evaluate.recall(found.where("kept"), source.labels(spark))
 
 
+@query(f"with recursive {RECALLED} select (select sum(instances)::bigint from recalled) as instances, (select round(sum(found) / sum(instances), 6) from recalled) as recall, (select round(sum(named) / sum(instances), 6) from recalled) as named_recall, shape as weakest, round(found / instances, 6) as weakest_recall from recalled order by found / instances, shape limit 1")
+def recall_summary(spark, sf_dir):
+    """Recall over all shapes, and the shape that is found least (one row is the feature)."""
+    return evaluate.summary(recall_by_pattern(spark, sf_dir))
+
+
 @query(f"""{WITH}, {DECIDED}, flagged as (select count(distinct r) as flagged from (select unnest(refs) as r from decided where kept))
 select flagged, (select count(*) from ledger) as total, round(flagged / (select count(*) from ledger), 6) as share from flagged""")
 def alert_volume(spark, sf_dir):

@@ -10,7 +10,7 @@ from paytrail import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Run in other tests already, with minutes of joins between them.
-SLOW = {"detect_all", "detect_all_raw", "reconcile", "recall_by_pattern", "alert_volume"}
+SLOW = {"detect_all", "detect_all_raw", "reconcile", "recall_by_pattern", "recall_summary", "alert_volume"}
 
 
 def plain(v):
