@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paytrail.operators import windows
+from paytrail.operators import detectors, windows
 
 DAY = 100
 
@@ -55,3 +55,13 @@ def test_a_busy_account_fills_several_tasks(spark):
 
 def test_the_number_of_rows_decides(spark):
     assert windows.time_block(spark.range(10)) is None and windows.time_block(spark.range(10), 5) == windows.DAY_US
+
+
+def test_structuring_by_block_equals_that_of_one_task(spark, monkeypatch):
+    """Larger ledgers number rows by blocks of time, as longs; the claims' fold has to take them."""
+    rows = [(f"t{i:02d}", f"a{i % 3}", f"b{i % 2}", 9_000.0 + i, i * windows.DAY_US // 2) for i in range(24)]
+    frame = spark.createDataFrame(rows, "txn_ref string, sender_account string, receiver_account string, amount double, us long").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    pick = lambda: sorted((r["anchor"], r["side"], tuple(r["refs"])) for r in detectors.structuring(frame).collect())
+    want = pick()
+    monkeypatch.setattr(detectors, "time_block", lambda rows: windows.DAY_US)
+    assert want and pick() == want
