@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors held at a time; more are searched in further passes over the data.
 QUERY_BLOCK = 20_000
+#: Scores closer than this may tie in the order, which goes by nine digits.
+TIE = 2e-9
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -55,9 +57,9 @@ def search(asked: DataFrame, rows: DataFrame, k: int, ask_key: str, key: str, co
                     score[names[:, None] == b.column(0).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
                 if groups is not None:
                     score[groups[:, None] != b.column(2).to_numpy()[None, :]] = -np.inf
-                # as many as reach the k-th score of the batch, ties included
+                # as many as reach the k-th score of the batch, with all that tie with it once rounded
                 edge = np.partition(score, -k, axis=1)[:, -k] if b.num_rows > k else np.full(len(q), -np.inf)
-                i, j = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
+                i, j = np.nonzero((score >= edge[:, None] - TIE) & np.isfinite(score))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(score[i, j])], names=[ask_key, key, "score"])
 
         found = rows.select(key, column, *([same] if same else [])).mapInArrow(run, kinds.replace(" rank int,", ""))

@@ -81,3 +81,9 @@ def test_indicators_and_what_they_note(spark):
     with pytest.warns(UserWarning, match="indicator search failed"):
         found, notes = embed.indicators(asked, chunks, broken)
     assert found.count() == 0 and sorted(r.query_id for r in notes.collect()) == [1, 2, 3]
+
+
+def test_a_tie_of_rounded_scores_goes_to_the_smaller_key(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1e-6]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "k long, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "q long, v array<double>")
+    assert [r["k"] for r in retrieval.search(asked, rows, 1, "q", "k", "v").collect()] == [1]
