@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors held at a time; more are searched in further passes over the data.
 QUERY_BLOCK = 20_000
+#: Scores held at a time; a batch is compared with as many queries at once as keep to this.
+SCORES = 2_000_000
 #: Scores closer than this may tie in the order, which goes by nine digits.
 TIE = 2e-9
 
@@ -52,15 +54,20 @@ def search(asked: DataFrame, rows: DataFrame, k: int, ask_key: str, key: str, co
             for b in batches:
                 if not b.num_rows:
                     continue
-                score = q @ _unit(b.column(1)).T
-                if own:
-                    score[names[:, None] == b.column(0).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                if groups is not None:
-                    score[groups[:, None] != b.column(2).to_numpy()[None, :]] = -np.inf
-                # as many as reach the k-th score of the batch, with all that tie with it once rounded
-                edge = np.partition(score, -k, axis=1)[:, -k] if b.num_rows > k else np.full(len(q), -np.inf)
-                i, j = np.nonzero((score >= edge[:, None] - TIE) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(score[i, j])], names=[ask_key, key, "score"])
+                own_names, own_unit = b.column(0).to_numpy(zero_copy_only=False), _unit(b.column(1)).T
+                own_groups = None if groups is None else b.column(2).to_numpy()
+                step = max(1, SCORES // b.num_rows)
+                for at in range(0, len(q), step):
+                    some = slice(at, at + step)
+                    score = q[some] @ own_unit
+                    if own:
+                        score[names[some, None] == own_names[None, :]] = -np.inf
+                    if groups is not None:
+                        score[groups[some, None] != own_groups[None, :]] = -np.inf
+                    # as many as reach the k-th score of the batch, with all that tie with it once rounded
+                    edge = np.partition(score, -k, axis=1)[:, -k] if b.num_rows > k else np.full(len(score), -np.inf)
+                    i, j = np.nonzero((score >= edge[:, None] - TIE) & np.isfinite(score))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + at)), b.column(0).take(pa.array(j)), pa.array(score[i, j])], names=[ask_key, key, "score"])
 
         found = rows.select(key, column, *([same] if same else [])).mapInArrow(run, kinds.replace(" rank int,", ""))
         out = found if out is None else out.unionByName(found)

@@ -87,3 +87,12 @@ def test_a_tie_of_rounded_scores_goes_to_the_smaller_key(spark):
     rows = spark.createDataFrame([(1, [1.0, 1e-6]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "k long, v array<double>").coalesce(1)
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "q long, v array<double>")
     assert [r["k"] for r in retrieval.search(asked, rows, 1, "q", "k", "v").collect()] == [1]
+
+
+def test_search_by_a_few_scores_at_a_time(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "k long, v array<double>").coalesce(1)
+    asked = rows.withColumnRenamed("k", "q")
+    want = sorted(map(tuple, retrieval.search(asked, rows, 3, "q", "k", "v", own=True).collect()))
+    monkeypatch.setattr(retrieval, "SCORES", 100)
+    got = sorted(map(tuple, retrieval.search(asked, rows, 3, "q", "k", "v", own=True).collect()))
+    assert len(want) == 120 and [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
