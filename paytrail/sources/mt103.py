@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,20 +72,57 @@ def split_messages(logs: DataFrame) -> DataFrame:
     return as_lines(logs).where("ordinal > 0").withColumn("closed", before).where("coalesce(closed, 0) = 0").select("file", "ordinal", "ln", "line")
 
 
-def read_fields(lines: DataFrame) -> DataFrame:
-    """One row per message: ``first`` line, ``ended``, ``raw`` and ``fields``, a map of tag to its lines. A line without a
-    tag continues the tag above; a tag that comes again takes the place of the first."""
-    flow = Window.partitionBy("file", "ordinal").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    inner = (F.col("line") != CLOSE) & ~F.startswith("line", F.lit(OPEN))
-    tagged = lines.withColumn("tag", F.when(inner, F.nullif(F.regexp_extract("line", TAG, 1), F.lit(""))))
-    tagged = tagged.withColumns({"nth": F.count("tag").over(flow), "value": F.trim(F.when(F.col("tag").isNotNull(), F.regexp_extract("line", TAG, 2)).otherwise(F.col("line")))})
-    body = tagged.where(inner & (F.col("nth") > 0) & (F.col("tag").isNotNull() | (F.col("value") != "")))
-    values = body.groupBy("file", "ordinal", "nth").agg(F.max("tag").alias("tag"), F.transform(F.array_sort(F.collect_list(F.struct("ln", "value"))), lambda x: x["value"]).alias("lines"))
-    last = values.groupBy("file", "ordinal", "tag").agg(F.max_by("lines", "nth").alias("lines"))
-    maps = last.groupBy("file", "ordinal").agg(F.map_from_entries(F.collect_list(F.struct("tag", "lines"))).alias("fields"))
-    whole = tagged.groupBy("file", "ordinal").agg(F.min_by("line", "ln").alias("first"), (F.max_by("line", "ln") == CLOSE).alias("ended"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("raw"))
-    empty = F.create_map().cast("map<string,array<string>>")
-    return whole.join(maps, ["file", "ordinal"], "left").withColumn("fields", F.coalesce("fields", empty))
+def messages(logs: DataFrame) -> DataFrame:
+    """``file``, ``ordinal`` (from 1), ``lines`` of every message, up to its end if it has one. A whole text is cut within its row, so nothing is
+    shuffled; lines are brought together by message once."""
+    if "line" in logs.columns:
+        listed = F.array_sort(F.collect_list(F.struct("ln", "line")))
+        return split_messages(logs).groupBy("file", "ordinal").agg(F.transform(listed, lambda x: x["line"]).alias("lines"))
+    parts = F.split(F.concat(F.lit("\n"), "text"), r"(?:\r\n|\r|\n)(?=\{1:)")  # the first is what stands before all messages
+    own = logs.select("file", F.posexplode(parts).alias("ordinal", "part")).where("ordinal > 0")
+    lines = F.transform(F.split("part", r"\r\n|\r|\n"), lambda x: F.rtrim(x))  # the lambda keeps the index from it
+    return own.select("file", F.col("ordinal").cast("long").alias("ordinal"), _let(lines, _until_close).alias("lines"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _until_close(lines: Column) -> Column:
+    end = F.array_position(lines, CLOSE).cast("int")
+    return F.when(end > 0, F.slice(lines, F.lit(1), end)).otherwise(lines)
+
+
+def _fields(lines: Column) -> Column:
+    """Map of tag to its lines, of the lines of a message."""
+    tag = lambda x: F.nullif(F.regexp_extract(x, TAG, 1), F.lit(""))
+    read = lambda x: _let(tag(x), lambda t: F.struct(t.alias("tag"), F.trim(F.when(t.isNotNull(), F.regexp_extract(x, TAG, 2)).otherwise(x)).alias("value")))
+    inner = F.transform(F.filter(lines, lambda x: (x != CLOSE) & ~F.startswith(x, F.lit(OPEN))), read)
+
+    def by_tag(own: Column) -> Column:
+        starts = F.filter(F.transform(own, lambda x, i: F.when(x["tag"].isNotNull(), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: last(own, at))
+
+    def last(own: Column, at: Column) -> Column:
+        said = lambda part: F.transform(F.filter(part, lambda x: x["tag"].isNotNull() | (x["value"] != "")), lambda x: x["value"])
+        lines_of = F.transform(at, lambda i, k: said(F.slice(own, i + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - i)))
+        tags = F.transform(at, lambda i: F.get(own, i)["tag"])
+        return _let(F.struct(tags.alias("tags"), F.reverse(tags).alias("back"), lines_of.alias("lines")), picked)
+
+    def picked(x: Column) -> Column:
+        names = F.array_distinct(x["tags"])
+        return F.map_from_arrays(names, F.transform(names, lambda t: F.get(x["lines"], F.size(x["tags"]) - F.array_position(x["back"], t).cast("int"))))
+
+    return _let(inner, by_tag)
+
+
+def read_fields(messages: DataFrame) -> DataFrame:
+    """One row per message (``file``, ``ordinal``, ``lines``): ``first`` line, ``ended``, ``raw`` and ``fields``, a map of tag to its lines. A line without
+    a tag continues the tag above; a tag that comes again takes the place of the first."""
+    read = lambda x: F.struct(F.get(x, F.lit(0)).alias("first"), (F.element_at(x, -1) == CLOSE).alias("ended"), F.array_join(x, "\n").alias("raw"), _fields(x).alias("fields"))
+    # generated, so that no filter on what follows reads a message again
+    return messages.select("file", "ordinal", F.explode(F.transform(F.array("lines"), read)).alias("m")).select("file", "ordinal", "m.*")
 
 
 def amount_reason(raw: Column) -> Column:
@@ -140,7 +179,7 @@ def parse_messages(logs: DataFrame) -> DataFrame:
         .when(first("20") == "", "no reference").when(clock.isNull(), "no such time")
     )
     joined = lambda tag: F.coalesce(F.array_join(f(tag), " "), F.lit(""))
-    rows = read_fields(split_messages(logs)).select(
+    rows = read_fields(messages(logs)).select(
         "file", "ordinal", F.nullif(first("20"), F.lit("")).alias("reference"), parse_value_date(part(1)).alias("value_date"), part(2).alias("currency"), parse_amount(part(3)).alias("amount"),
         account("50K").alias("sender_account"), F.coalesce(F.get(f("50K"), F.lit(1)), F.lit("")).alias("sender_name"), address("50K").alias("sender_address"), first("52A").alias("sender_bic"), country_of(first("52A")).alias("sender_country"),
         account("59").alias("receiver_account"), F.coalesce(F.get(f("59"), F.lit(1)), F.lit("")).alias("receiver_name"), address("59").alias("receiver_address"), first("57A").alias("receiver_bic"), country_of(first("57A")).alias("receiver_country"),

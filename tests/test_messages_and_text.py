@@ -167,3 +167,13 @@ def test_files_are_audited_once(spark, tmp_path):
         q = incremental.audit_stream(incremental.arrivals(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda rows, n: seen.extend(r.reference for r in rows.collect()))
         q.awaitTermination(120)
     assert seen == ["REF001"]
+
+
+def test_whole_texts_are_parsed_without_a_shuffle(spark):
+    odd = ["{1:F01X}\r\n:20:A \r:70:x\r\n\r\n  y \n-}\nbetween\n:99:no\n{1:F01Y}\n:70:a\n:70:b\n{1:last", "no message", "\n{1:F01Z}\nbefore a tag\n:20:\n-} \n{2:not\n"]
+    logs = spark.createDataFrame([(str(i), t) for i, t in enumerate(odd)], "file string, text string")
+    pick = lambda logs: sorted((r["file"], r["ordinal"], r["first"], r["ended"], r["raw"], sorted((k, tuple(v)) for k, v in r["fields"].items())) for r in mt103.read_fields(mt103.messages(logs)).collect())
+    own = pick(logs)
+    assert own == pick(mt103.text_lines(logs)) and [r[:2] for r in own] == [("0", 1), ("0", 2), ("0", 3), ("2", 1)]
+    assert own[0][5] == [("20", ("A",)), ("70", ("x", "y"))] and own[1][5] == [("70", ("b",))] and own[3][3:] == (True, "{1:F01Z}\nbefore a tag\n:20:\n-}", [("20", ("",))])
+    assert "Exchange" not in mt103.parse_messages(spark.read.text("/dev/null").select(F.lit("f").alias("file"), F.col("value").alias("text")))._jdf.queryExecution().executedPlan().toString()
