@@ -49,10 +49,14 @@ class HashedTerms:
         return summed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
 
     def __call__(self, rows: DataFrame) -> DataFrame:
-        held = self.weights(rows).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # ``dims`` entries at most
+        held = self.weights(rows).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # ``dims`` entries at most
         known = rows.select("id").join(held.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "m")
-        none = F.coalesce("m", F.create_map().cast("map<int,double>"))
-        return known.select("id", F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.coalesce(F.try_element_at(none, i), F.lit(0.0))).alias("vector"))
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        at = lambda own, i: F.coalesce(F.when(i >= 0, F.get(own, i)["bucket"]), F.lit(-1))
+        # each weight behind the zeros since the one before it: linear, where a look-up by bucket scans all weights
+        filled = lambda own: F.flatten(F.transform(own, lambda e, i: F.concat(zeros(e["bucket"] - at(own, i - 1) - 1), F.array(e["w"]))))
+        dense = F.transform(F.array("m"), lambda own: F.concat(filled(own), zeros(self.dims - 1 - at(own, F.size(own) - 1))))[0]
+        return known.select("id", F.when(F.col("m").isNull(), zeros(F.lit(self.dims))).otherwise(dense).alias("vector"))
 
 
 class VectorCache:
@@ -99,7 +103,8 @@ def indicators(queries: DataFrame, chunks: DataFrame, encode: Encoder, where: Co
     pool = chunks.where(where) if where is not None else chunks
     pool = pool.select("chunk_id", "text")
     try:
-        vectors = lambda rows, key: encode(rows.select(F.col(key).alias("id"), "text")).withColumnRenamed("id", key)
+        # encoded once: the search reads them more than once
+        vectors = lambda rows, key: cut(encode(rows.select(F.col(key).alias("id"), "text")).withColumnRenamed("id", key), "vectors")
         near = cut(search(vectors(asked, "query_id"), vectors(pool, "chunk_id"), k, "query_id", "chunk_id", "vector"), "indicators").where("score > 0")
         texts = near.join(asked.withColumnRenamed("text", "asked"), "query_id").join(pool, "chunk_id")
         found = cut(lexical_rerank(texts, F.col("asked"), F.col("text"), keep).select("query_id", "chunk_id", "rank", "score", "overlap", "new_rank"), "reranked")
