@@ -94,9 +94,11 @@ def table_list(text: Column, most: int = MAX_CHARS) -> Column:
 
 def hashed_words(text: Column, dims: int = 64) -> Column:
     """A stand-in for an embedding model that needs none: hashed words as a map from bucket to sum, zeros left out."""
-    each = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""), lambda w: F.crc32(w.cast("binary")))
-    sign = lambda h: F.when(F.shiftright(h, 16) % 2 == 1, 1.0).otherwise(-1.0)
-    sums = lambda own: F.transform(F.array_distinct(F.transform(own, lambda h: h % dims)), lambda i: F.struct(i.alias("i"), F.aggregate(own, F.lit(0.0), lambda s, h: s + F.when(h % dims == i, sign(h)).otherwise(0.0)).alias("x")))
+    # a word's code is twice its bucket, and one more for a word that adds; codes are counted by what is left without them
+    code = lambda h: h % dims * 2 + F.shiftright(h, 16) % 2
+    each = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""), lambda w: code(F.crc32(w.cast("binary"))))
+    total = lambda own, i: (F.size(F.array_remove(own, i * 2)) - F.size(F.array_remove(own, i * 2 + 1))).cast("double")
+    sums = lambda own: F.transform(F.array_distinct(F.transform(own, lambda c: F.shiftright(c, 1))), lambda i: F.struct(i.alias("i"), total(own, i).alias("x")))
     return F.map_from_entries(F.transform(F.array(each), sums)[0])
 
 
@@ -114,9 +116,10 @@ def chunk(docs: DataFrame, key: str, text: str = "text", encode: Callable[[DataF
     """``key``, ``ordinal`` (from 0), ``piece``: chunks of normalised texts. Tables go by rows, short texts whole, others are cut where
     neighbouring sentences differ most. ``encode`` adds ``vector`` to rows of ``key``, ``ordinal``, ``piece``; without one, hashed words are
     compared. Keys tell texts apart; a null text has no chunk."""
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     region, body = F.rlike("t", F.lit(TABLE)), F.col("t")
-    own = cut(own.withColumn("s", F.when(~region & (F.length("t") > most), sentence_list(body))), "sentences")  # split once, used three times
+    # split once, used three times; nulls go behind the cut, as a filter before it would make the texts twice
+    own = cut(own.withColumn("s", F.when(~region & (F.length("t") > most), sentence_list(body))), "sentences").where("t is not null")
     alone = F.when(region, table_list(body, most)).when(F.length("t") <= most, F.filter(F.array(body), lambda t: t != "")).when(F.size("s") < 2, wrap_list(body, most))
     whole = own.where(F.col("s").isNull() | (F.size("s") < 2)).select("k", alone.alias("c"))
     rows = own.where(F.size("s") >= 2).select("k", F.size("s").alias("n"), F.posexplode("s").alias("ordinal", "piece"))

@@ -90,3 +90,12 @@ def test_sections_follow_the_deepest_label(spark):
 def test_guidance(spark, body, items, prose):
     found, around = chunks.guidance(spark.createDataFrame([(1, body), (2, None), (3, "")], "k int, t string"), "k", "t")
     assert [(r.section_ref, r.text) for r in found.orderBy("k", "ln").collect()] == items and [r.text for r in around.collect()] == [prose]
+
+
+def test_texts_are_made_once(spark, monkeypatch):
+    """A filter on a normalised text would normalise it again, Python step included."""
+    plans, real = [], chunks.cut
+    monkeypatch.setattr(chunks, "cut", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    docs = spark.createDataFrame([(1, "One. Two."), (2, None)], "doc_id long, text string").withColumn("text", text.normalize(F.col("text")))
+    assert [tuple(r) for r in chunks.chunk(docs, "doc_id").collect()] == [(1, 0, "One. Two.")]
+    assert plans[0].count("ArrowEvalPython") == 1
