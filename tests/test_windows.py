@@ -65,3 +65,19 @@ def test_structuring_by_block_equals_that_of_one_task(spark, monkeypatch):
     want = pick()
     monkeypatch.setattr(detectors, "time_block", lambda rows: windows.DAY_US)
     assert want and pick() == want
+
+
+def test_a_large_ledger_without_busy_accounts_needs_no_blocks(spark):
+    rows = spark.range(2000).select((F.col("id") % 500).cast("string").alias("k"))
+    assert windows.time_block(rows, 100) == windows.DAY_US and windows.account_block(rows, "k", 100) is None
+    assert windows.account_block(rows.unionByName(rows.where("k = '7'").crossJoin(spark.range(30)).select("k")), "k", 100) == windows.DAY_US
+    assert windows.account_block(rows.limit(0), "k", 100) is None
+
+
+def test_gather_scatter_by_block_equals_that_of_one_task(spark, monkeypatch):
+    rows = [(f"t{i:02d}", f"a{i % 5}", f"a{(i * 7 + 1) % 6}", 100.0 + i, i * windows.DAY_US // 3) for i in range(90)]
+    frame = spark.createDataFrame(rows, "txn_ref string, sender_account string, receiver_account string, amount double, us long").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    pick = lambda: sorted((r["anchor"], tuple(r["refs"]), r["distinct_senders"], r["distinct_recipients"]) for r in detectors.gather_scatter(frame).collect())
+    want = pick()
+    monkeypatch.setattr(detectors, "account_block", lambda rows, key: windows.DAY_US)
+    assert want and pick() == want
