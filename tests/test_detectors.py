@@ -226,3 +226,50 @@ def test_settings_are_checked():
     with pytest.raises(ValueError):
         Weights(tightness=0.9)
     assert list(detectors.detectors()) == list(Params().precedence) and len(list(itertools.chain(Params().precedence))) == 9
+
+
+def paths_brute(legs, least=1, span=14, most=25):
+    """(positions, closed) of all simple paths forward in time, and those of them that no open one goes on from."""
+    every, open_ones = [], [([i], [*dict.fromkeys(leg[:2])], leg) for i, leg in enumerate(legs)]
+    kept = []
+    every += [(p, False) for p, _, _ in open_ones]
+    while open_ones:
+        longer = []
+        for path, visited, last in open_ones:
+            goes_on = False
+            for i, (s, r, _, day) in enumerate(legs):
+                if s == last[1] and 0 <= day - last[3] <= span and len(path) < most:
+                    home = r == legs[path[0]][0]
+                    if home:
+                        every.append(([*path, i], True))
+                        kept.append(every[-1])
+                    elif r not in visited:
+                        goes_on = True
+                        longer.append(([*path, i], [*visited, r], legs[i]))
+                        every.append(([*path, i], False))
+            if not goes_on:
+                kept.append((path, False))
+        open_ones = longer
+    order = lambda rows: sorted((tuple(p), c) for p, c in rows if len(p) >= least)
+    return order(every), order(kept)
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("most", [None, 4])
+def test_paths_and_chains_against_brute_force(spark, seed, most):
+    rng = random.Random(seed)
+    legs = [(f"a{rng.randrange(13)}", f"a{rng.randrange(13)}", 100, rng.randrange(45)) for _ in range(44)] + [("s", "s", 1, 0), ("s", "s", 1, 1), ("s", "a1", 1, 2), ("a1", "s", 1, 3)]
+    e, params = edges(spark, legs), Params(cycle_max_hops=most)
+    every, kept = paths_brute(legs, most=most or 99)
+    got = detectors.temporal_paths(e, params, refs=True).collect()
+    assert sorted((tuple(r.path), r.closed) for r in got) == every and all(r.refs == [f"T{i:04d}" for i in r.path] and r.hops == len(r.path) for r in got)
+    assert sorted((tuple(r.path), r.closed) for r in detectors.chains(e, params).collect()) == [k for k in kept if len(k[0]) >= 3]
+    assert any(len(p) > 4 for p, _ in paths_brute(legs, most=99)[0])
+
+
+def test_the_ledger_is_read_for_the_first_joins_only(spark, monkeypatch):
+    """Later hops take their legs from the paths found so far."""
+    wrote, cut = [], detectors.counted_cut
+    monkeypatch.setattr(detectors, "counted_cut", lambda df, label: wrote.append(df._jdf.queryExecution().analyzed().toString()) or cut(df, label))
+    detectors.chains(edges(spark, [(f"a{i}", f"a{i + 1}", 100, i) for i in range(7)]))
+    assert len(wrote) == 6 and "LogicalRDD" in wrote[0] and not any("LogicalRDD" in w for w in wrote[1:])
