@@ -99,6 +99,35 @@ def select_cases(cases: DataFrame, total: int, priority: Sequence[str], share: f
     return summed.where(F.col("running") <= F.floor(F.lit(total) * share + 1e-9)).select("place", "case_id", "shape", "size", "running")
 
 
+def _first_payments(edges: DataFrame, max_hops: int) -> DataFrame:
+    """``node``, ``outs``: of each account that pays the first payments to different receivers, one more than ``max_hops``."""
+    firsts = edges.groupBy("sender_account", "receiver_account").agg(F.min("pos").alias("pos"))
+    place = F.row_number().over(Window.partitionBy("sender_account").orderBy("pos"))
+    return firsts.withColumn("place", place).where(F.col("place") <= max_hops + 1).groupBy(F.col("sender_account").alias("node")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("receiver_account").alias("to")))).alias("outs"))
+
+
+def _begin(outs: DataFrame) -> DataFrame:
+    return outs.select(F.col("node").alias("start"), "node", F.array("node").alias("visited"), F.array().cast("array<bigint>").alias("path"), F.lit(False).alias("closed"))
+
+
+def _step(met: DataFrame) -> DataFrame:
+    """Walks, joined with the ``outs`` of their nodes, one payment on."""
+    step = met.withColumn("next", F.when(~F.col("closed"), F.get(F.filter("outs", lambda e: (e["to"] == F.col("start")) | ~F.array_contains("visited", e["to"])), F.lit(0))))
+    moved = F.col("next").isNotNull()
+    return step.select(
+        "start", F.when(moved, F.col("next.to")).otherwise(F.col("node")).alias("node"), F.when(moved, F.concat("visited", F.array("next.to"))).otherwise(F.col("visited")).alias("visited"),
+        F.when(moved, F.concat("path", F.array("next.pos"))).otherwise(F.col("path")).alias("path"), (F.col("closed") | (moved & (F.col("next.to") == F.col("start")))).alias("closed"),
+    )
+
+
+def _walks(outs: DataFrame, max_hops: int) -> DataFrame:
+    walk = _begin(outs)
+    for _ in range(max_hops):
+        walk = _step(walk.join(outs, "node", "left"))
+        # a walk that ended keeps its node, whose payments all lead to visited accounts
+    return walk.select("start", "path", F.size("path").alias("hops"), "closed")
+
+
 def walks(edges: DataFrame, max_hops: int = 10) -> DataFrame:
     """From each account that pays: ``start``, ``path`` (positions), ``hops``, ``closed``, walking on along the first payment whose
     receiver hasn't been visited, or is the start, where the walk ends.
@@ -106,32 +135,43 @@ def walks(edges: DataFrame, max_hops: int = 10) -> DataFrame:
     A walk has visited at most ``max_hops`` accounts, so the first receivers of an account, one more than that, always
     have its next step among them, however busy it is.
     """
-    firsts = edges.groupBy("sender_account", "receiver_account").agg(F.min("pos").alias("pos"))
-    place = F.row_number().over(Window.partitionBy("sender_account").orderBy("pos"))
-    outs = firsts.withColumn("place", place).where(F.col("place") <= max_hops + 1).groupBy(F.col("sender_account").alias("node")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("receiver_account").alias("to")))).alias("outs"))
-    outs = cut(outs, "first-payments")
-    walk = outs.select(F.col("node").alias("start"), "node", F.array("node").alias("visited"), F.array().cast("array<bigint>").alias("path"), F.lit(False).alias("closed"))
-    for _ in range(max_hops):
-        step = walk.join(outs, "node", "left").withColumn("next", F.when(~F.col("closed"), F.get(F.filter("outs", lambda e: (e["to"] == F.col("start")) | ~F.array_contains("visited", e["to"])), F.lit(0))))
-        moved = F.col("next").isNotNull()
-        walk = step.select(
-            "start", F.when(moved, F.col("next.to")).otherwise(F.col("node")).alias("node"), F.when(moved, F.concat("visited", F.array("next.to"))).otherwise(F.col("visited")).alias("visited"),
-            F.when(moved, F.concat("path", F.array("next.pos"))).otherwise(F.col("path")).alias("path"), (F.col("closed") | (moved & (F.col("next.to") == F.col("start")))).alias("closed"),
-        )
-        # a walk that ended keeps its node, whose payments all lead to visited accounts
+    return _walks(cut(_first_payments(edges, max_hops), "first-payments"), max_hops)
+
+
+#: Starts, those with the earliest first payments, that are tried before all others.
+EARLY_STARTS = 2_000
+
+
+def _early(outs: DataFrame, max_hops: int, starts: int) -> DataFrame:
+    """The walks of ``max_hops`` payments from the ``starts`` with the earliest first payments. The walks are few and go to the table, which
+    is never shuffled."""
+    walk = _begin(outs.orderBy(F.get("outs", F.lit(0))["pos"]).limit(starts))
+    for hop in range(1, max_hops + 1):
+        walk = _step(outs.join(F.broadcast(walk), "node")).where(F.size("path") == hop)
     return walk.select("start", "path", F.size("path").alias("hops"), "closed")
 
 
-def longest_walks(edges: DataFrame, most: int, min_hops: int = 3, max_hops: int = 10) -> DataFrame:
+def longest_walks(edges: DataFrame, most: int, min_hops: int = 3, max_hops: int = 10, early: int = EARLY_STARTS) -> DataFrame:
     """``place`` (from 1), ``start``, ``path``, ``hops``, ``closed`` of up to ``most`` walks, each the longest along payments that those
-    before it haven't used; ties go to the start whose first payment is earlier. Ends before a walk of too few hops."""
-    found, left, none = [], edges.select("pos", "sender_account", "receiver_account"), None
+    before it haven't used; ties go to the start whose first payment is earlier. Ends before a walk of too few hops.
+
+    No walk is longer than ``max_hops``, and a walk's first payment is its start's first. So once a walk from the ``early`` starts is as long, no
+    later start can have a better one; else all starts are walked from. Of the first payments only those of accounts on a found walk change.
+    """
+    outs = cut(_first_payments(edges, max_hops), "first-payments")
+    found, used, left, none = [], None, outs, None
+    best_of = lambda rows, place: counted_cut(rows.orderBy(F.desc("hops"), F.get("path", F.lit(0))).limit(1).where(F.col("hops") >= min_hops).select(F.lit(place).alias("place"), "*"), "walk")
     for place in range(1, most + 1):
-        best = walks(left, max_hops).orderBy(F.desc("hops"), F.get("path", F.lit(0))).limit(1).where(F.col("hops") >= min_hops)
-        best, n = counted_cut(best.select(F.lit(place).alias("place"), "*"), "walk")
+        best, n = best_of(_early(left, max_hops, early), place)
+        if not n:
+            best, n = best_of(_walks(left, max_hops), place)
         none = best if none is None else none
         if not n:
             break
         found.append(best)
-        left = left.join(best.select(F.explode("path").alias("pos")), "pos", "left_anti")  # ten positions at most
+        legs = best.select(F.explode("path").alias("pos"))  # ten positions at most
+        used = legs if used is None else used.unionByName(legs)
+        payers = F.broadcast(cut(edges.join(F.broadcast(used), "pos", "left_semi").select(F.col("sender_account")).distinct(), "payers"))
+        again = cut(_first_payments(edges.join(payers, "sender_account", "left_semi").join(F.broadcast(used), "pos", "left_anti"), max_hops), "first-payments")
+        left = outs.join(payers.withColumnRenamed("sender_account", "node"), "node", "left_anti").unionByName(again)
     return reduce(DataFrame.unionByName, found) if found else none

@@ -98,3 +98,15 @@ def test_running_totals_over_many_tasks(spark):
         total += x
         want.append((k, x, total, n))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_longest_walks_from_early_starts_are_those_of_all(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(i, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for i in range(60)]
+    frame = spark.createDataFrame(edges, "pos long, sender_account string, receiver_account string")
+    best = max(walks_brute(edges, 3).items(), key=lambda x: (len(x[1][0]), -x[1][0][0]))
+    whole, walked = [], cases._walks
+    monkeypatch.setattr(cases, "_walks", lambda *a: whole.append(1) or walked(*a))
+    for early in (1, 12):  # the first start alone may not get that far, then all are tried
+        assert [(r.place, r.start, r.path) for r in cases.longest_walks(frame, 1, 1, 3, early).collect()] == [(1, best[0], best[1][0])]
+    assert len(best[1][0]) == 3 and len(whole) < 2
