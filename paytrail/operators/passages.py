@@ -4,19 +4,26 @@ A passage is looked up by one n-gram of its inner words, the rarest that it has:
 text's words, those between are whole ones. Passages of one or two words have no inner word; their longest word is found
 within the words of the texts first, by the letters it starts with, and those words are their anchors. Every look-up is an
 equi-join on a hash, and what it finds is verified on the whole text.
+
+The n-grams of the texts are made once and met where they are made: as long as the passages' keys are few, neither n-grams nor
+texts are shuffled. Only n-grams that a passage has are written.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from paytrail.plans.cut import cut
+
 #: Inner words that an anchor has, where the passage has as many.
 GRAM = 5
 #: Letters by which a word is looked up inside other words.
 LETTERS = 3
+#: Bytes of keys, or of passages with the texts to be searched for them, that may be broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -24,9 +31,11 @@ def words(text: Column) -> Column:
 
 
 def _keys(own: Column, n: int) -> Column:
-    """Hashes of the distinct n-grams of a list of words. The list is a lambda's variable, so it is made once, not once a gram."""
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit(n), F.slice(w, i + 1, n)))
-    return F.transform(F.array(own), lambda w: F.when(F.size(w) >= n, F.array_distinct(grams(w))).otherwise(F.array().cast("array<bigint>")))[0]
+    """Hashes of the distinct n-grams of a list of words. Each word is hashed once; the list of hashes is a lambda's variable, so it is made once,
+    not once a gram."""
+    grams = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.lit(n), *(F.get(h, i + j) for j in range(n))))
+    hashes = F.transform(own, lambda w: F.xxhash64(w))
+    return F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= n, F.array_distinct(grams(h))).otherwise(F.array().cast("array<bigint>")))[0]
 
 
 def _asked(passages: DataFrame, passage: str) -> DataFrame:
@@ -44,17 +53,28 @@ def _short(asked: DataFrame, texts: DataFrame) -> DataFrame:
     starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(LETTERS)), lambda q: F.struct(q.alias("q"), F.substring(F.col("word"), i, q).alias("gram"))))
     grams = known.select("word", F.explode(F.array_distinct(F.flatten(starts))).alias("g")).select("word", "g.q", "g.gram")
     found = mine.join(grams, ["q", "gram"]).where(F.contains("word", F.col("w")))
-    return found.select("p", F.xxhash64(F.lit(1), F.array("word")).alias("k")).distinct()
+    return found.select("p", F.xxhash64(F.lit(1), F.xxhash64("word")).alias("k")).distinct()
 
 
-def _anchors(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """``p``, ``k``: the key of each passage's rarest inner n-gram; one that no text has finds nothing, as it should."""
+def _inner_keys(asked: DataFrame) -> DataFrame:
+    """``p``, ``k``: the keys of each passage's inner n-grams."""
     keys = F.when(F.col("n") == GRAM, _keys(F.col("inner"), GRAM)).otherwise(_keys(F.col("inner"), 1))
-    own = asked.where("n > 0").select("p", F.explode(keys).alias("k"))
-    times = held.join(own.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("f"))
+    return asked.where("n > 0").select("p", F.explode(keys).alias("k"))
+
+
+def _rarest(own: DataFrame, hits: DataFrame) -> DataFrame:
+    """``p``, ``k``: the key of each passage's rarest inner n-gram; one that no text has finds nothing, as it should."""
+    times = hits.groupBy("k").agg(F.count("*").alias("f"))
     return own.join(times, "k", "left").groupBy("p").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "k")).alias("x")).select("p", "x.k")
 
 
+def _sent(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a table, which joins are told to broadcast if it is small; its bytes are counted while it is written."""
+    seen, size = Observation(), reduce(Column.__add__, (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns))
+    table = cut(rows.observe(seen, F.sum(size + 16).alias("bytes")), label)
+    return F.broadcast(table) if (seen.get["bytes"] or 0) <= BROADCAST_BYTES else table
+
+
 def containment(passages: DataFrame, docs: DataFrame, passage: str, text: str, key: str) -> DataFrame:
     """``passages`` with ``key`` of each row of ``docs`` whose text holds the passage.
 
@@ -62,14 +82,18 @@ def containment(passages: DataFrame, docs: DataFrame, passage: str, text: str, k
     have their rows; a null key stays null.
     """
     texts = docs.select(F.col(key).alias("d"), F.col(text).alias("body")).where("body is not null")
-    asked = _asked(passages, passage)
+    asked = cut(_asked(passages, passage), "asked")
     sizes = {r["n"] for r in asked.select("n").distinct().collect()}  # three at most
     if not sizes:
         return passages.limit(0).crossJoin(docs.select(key).limit(0))  # no rows
     lists = [_keys(words(F.col("body")), n) for n in (1, GRAM) if n in sizes or (n == 1 and 0 in sizes)]
     held = texts.select("d", F.explode(F.concat(*lists)).alias("k"))
-    found = [_anchors(asked, held)] * bool(sizes - {0}) + [_short(asked, texts)] * (0 in sizes)
-    met = held.join(reduce(DataFrame.unionByName, found), "k").select(F.col("d").alias("at"), "p").distinct()
+    own = cut(_inner_keys(asked), "inner-keys")
+    short = [cut(_short(asked, texts), "short-keys")] * (0 in sizes)
+    keys = _sent(reduce(DataFrame.unionByName, [own, *short]).select("k").distinct(), "keys")
+    hits = cut(held.join(keys, "k", "left_semi"), "hits")
+    found = _sent(reduce(DataFrame.unionByName, [_rarest(own, hits), *short]), "anchors")
+    met = _sent(hits.join(found, "k").select(F.col("d").alias("at"), "p").distinct(), "met")
     sure = texts.join(met, F.col("d").eqNullSafe(F.col("at"))).where(F.contains("body", F.col("p"))).select("d", "p")
     return passages.join(sure, F.col(passage) == F.col("p")).drop("p").withColumnRenamed("d", key)
 

@@ -1,11 +1,13 @@
 """Containment by anchors against a plain search, and the map from documents to texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from paytrail.operators import passages
+from paytrail.plans.cut import cut
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -38,6 +40,36 @@ def test_nothing_to_look_up(spark):
     assert passages.containment(some, docs.limit(0), "passage", "body", "doc").count() == 0 == passages.containment(some, docs, "passage", "body", "doc").count()
 
 
+def _some_texts(spark):
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(40)) + " here are some words that texts share") for i in range(50)]
+    asked = [(i, docs[i][1][3:90]) for i in range(0, 50, 5)] + [(60, "are some words that texts"), (61, "re some wor"), (62, "x3"), (63, "no such thing is in here at all")]
+    want = sorted((i, d) for i, p in asked for d, t in docs if p in t)
+    return spark.createDataFrame(asked, "item long, passage string"), spark.createDataFrame(docs, "doc long, body string"), want
+
+
+def test_few_passages_shuffle_neither_texts_nor_their_grams(spark, monkeypatch):
+    asked, docs, want = _some_texts(spark)
+    tables = []
+    monkeypatch.setattr(passages, "cut", lambda df, label: tables.append(df) or cut(df, label), raising=False)
+    got = passages.containment(asked, docs, "passage", "body", "doc")
+    assert sorted((r.item, r.doc) for r in got.collect()) == want
+    for df in [t for t in tables if t.columns == ["d", "k"]] + [got]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"Exchange hashpartitioning\((\w+)", plan)) <= {"passage", "p"}  # the passages' own join, on what was found
+
+
+def test_many_passages_find_the_same_by_shuffle(spark, monkeypatch):
+    asked, docs, want = _some_texts(spark)
+    monkeypatch.setattr(passages, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = passages.containment(asked, docs, "passage", "body", "doc")
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.item, r.doc) for r in got.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_the_longest_passages_are_the_probes(spark):
     rows = [("a", "x" * n) for n in (10, 201, 300, 250)] + [("b", "y" * n) for n in range(1, 9)] + [("b", None)]
     got = passages.probes(spark.createDataFrame(rows, "doc string, passage string"), "doc", "passage")
