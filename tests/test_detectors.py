@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paytrail.operators import detectors, evaluate, graph, greedy
+from paytrail.operators import detectors, evaluate, graph, greedy, windows
 from paytrail.operators.components import connected_components
 from paytrail.plans.params import Params, Weights
 from paytrail.sources import ledger
@@ -202,6 +202,22 @@ def test_planted_shapes_are_found_and_ids_are_stable(spark):
     assert all(r.found == r.instances for r in rec.values()) and sum(r.named for r in rec.values()) >= 10
 
 
+def test_the_audit_by_blocks_of_time_equals_that_of_one_task(spark, monkeypatch, tmp_path):
+    """Ledgers of millions of rows are dealt by blocks of time in every shape that has windows; what follows takes their candidates as they come."""
+    spark.createDataFrame([(i, START, 1, "view", -1.0) for i in range(4)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    e, params = ledger.ledger(spark, str(tmp_path)), Params()
+
+    def audit():
+        decided = greedy.reconcile(detectors.detect_raw(e, params), params.precedence, params.overlap)
+        recalled = evaluate.summary(evaluate.recall(decided.where("kept"), ledger.labels(spark))).first()
+        return sorted((r.candidate_id, r.kept, r.absorber or "", r.confidence) for r in decided.collect()), tuple(recalled)
+
+    want = audit()
+    for module, name in ((detectors, "time_block"), (detectors, "account_block"), (windows, "account_block")):
+        monkeypatch.setattr(module, name, lambda *_: windows.DAY_US)
+    assert len(want[0]) > 10 and want[1][1] == 1.0 and audit() == want
+
+
 def test_tables_of_detectors_in_threads_belong_to_the_caller(spark):
     from paytrail.plans import cut
 
