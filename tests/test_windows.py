@@ -81,3 +81,18 @@ def test_gather_scatter_by_block_equals_that_of_one_task(spark, monkeypatch):
     want = pick()
     monkeypatch.setattr(detectors, "account_block", lambda rows, key: windows.DAY_US)
     assert want and pick() == want
+
+
+def test_structuring_of_a_large_ledger_without_busy_accounts_takes_no_blocks(spark, monkeypatch):
+    """Its runs are written once for each side, by accounts alone; with a busy account by blocks, with the same result."""
+    rows = [(f"t{i:02d}", f"a{i % 3}", f"b{i % 2}", 9_000.0 + i, i * windows.DAY_US // 2) for i in range(24)]
+    frame = spark.createDataFrame(rows, "txn_ref string, sender_account string, receiver_account string, amount double, us long").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    wrote, cut, busy = [], detectors.cut, detectors.account_block
+    monkeypatch.setattr(detectors, "cut", lambda df, label: wrote.append((label, df._jdf.queryExecution().analyzed().toString())) or cut(df, label))
+    pick = lambda: sorted((r["anchor"], r["side"], tuple(r["refs"])) for r in detectors.structuring(frame).collect())
+    want = pick()
+    monkeypatch.setattr(detectors, "time_block", lambda rows: windows.DAY_US)
+    assert want and pick() == want
+    assert [label for label, _ in wrote] == ["runs"] * 4 and not any("block#" in plan for _, plan in wrote)
+    monkeypatch.setattr(detectors, "account_block", lambda rows, key: busy(rows, key, 3))
+    assert pick() == want and all("block#" in plan for _, plan in wrote[4:])
