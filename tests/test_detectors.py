@@ -289,3 +289,14 @@ def test_the_ledger_is_read_for_the_first_joins_only(spark, monkeypatch):
     monkeypatch.setattr(detectors, "counted_cut", lambda df, label: wrote.append(df._jdf.queryExecution().analyzed().toString()) or cut(df, label))
     detectors.chains(edges(spark, [(f"a{i}", f"a{i + 1}", 100, i) for i in range(7)]))
     assert len(wrote) == 6 and "LogicalRDD" in wrote[0] and not any("LogicalRDD" in w for w in wrote[1:])
+
+
+def test_a_layered_fan_joins_the_ledger_with_itself_once(spark, monkeypatch):
+    """What follows reads the legs from a table; the ledger gives only the hand-offs and the roots again."""
+    legs = [(f"x{b}{i}", f"b{b}", 1500, i) for b in range(2) for i in range(3)] + [(f"b{b}", "root", 4400, 5) for b in range(2)]
+    wrote, cut = [], detectors.cut
+    monkeypatch.setattr(detectors, "cut", lambda df, label: wrote.append(label) or cut(df, label))
+    out = detectors.layered_fan(edges(spark, legs), "in")
+    assert wrote == ["legs", "branches"] and out._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 2
+    (row,) = out.collect()
+    assert (row.anchor, row.branch_count, row.leaf_count, row.n) == ("root", 2, 6, 8)
