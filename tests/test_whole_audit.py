@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import duckdb
 import pytest
 
 from paytrail import catalog
@@ -10,6 +11,7 @@ from paytrail.operators import detectors
 from paytrail.plans import ledger_queries
 from paytrail.plans.params import Params
 
+from .test_catalog import plain
 from .test_detectors import edges
 
 P = 499
@@ -43,8 +45,13 @@ def test_detect_all_raw_takes_wide_levels_wide_sides_and_long_chains(spark, fold
     assert [x["hops"] for p, a, x in found if (p, a) == ("cycle", "A450")] == [27]
 
 
-@pytest.mark.parametrize("name", ["detect_all", "detect_all_raw", "adjudicated_findings", "compliance_report", "report_invariants"])
-def test_queries_without_sql_lift_all_bounds(spark, folder, monkeypatch, name):
+WHOLE = ["detect_all", "detect_all_raw", "adjudicated_findings", "compliance_report", "report_invariants"]
+#: The bounds (max_frontier, max_block_side, cycle_max_hops) of each query of the audit.
+BOUNDS = {**dict.fromkeys(WHOLE, (None, None, None)), **dict.fromkeys(["recall_by_pattern", "recall_summary"], (None, 50, 25))}
+
+
+@pytest.mark.parametrize("name", BOUNDS)
+def test_bounds_of_the_queries(spark, folder, monkeypatch, name):
     class Seen(Exception):
         pass
 
@@ -55,7 +62,7 @@ def test_queries_without_sql_lift_all_bounds(spark, folder, monkeypatch, name):
     with pytest.raises(Seen) as seen:
         catalog.queries()[name](spark, folder)
     params = seen.value.args[0]
-    assert (params.max_frontier, params.max_block_side, params.cycle_max_hops) == (None, None, None)
+    assert (params.max_frontier, params.max_block_side, params.cycle_max_hops) == BOUNDS[name]
 
 
 @pytest.mark.parametrize("most", [200, 3])
@@ -66,3 +73,26 @@ def test_wide_levels_by_join_equal_those_by_array(spark, monkeypatch, most):
     monkeypatch.setattr(detectors, "WIDE_LEVEL", most)
     out = {r.anchor: (r.branch_count, r.leaf_count, r.n) for r in detectors.layered_fan(edges(spark, legs), "in", Params(max_frontier=None)).collect()}
     assert out["root"] == (5, 15, 20) and out["small"] == (2, 4, 6)
+
+
+@pytest.fixture(scope="module")
+def duck(folder):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["recall_by_pattern"])
+def test_sql_and_code_lift_the_same_bounds(spark, folder, duck, name):
+    df = catalog.queries()[name](spark, folder)
+    columns = sorted(df.columns)
+    want = duck.sql(catalog.oracle_sql()[name])
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=str) == sorted(([plain(w[i]) for i in at] for w in want.fetchall()), key=str)
+
+
+def test_the_bounds_that_the_sql_states(spark, folder, duck):
+    """Shapes of the made-up ledger that each SQL finds: recall takes levels of any width."""
+    shape = lambda sql, p, extra: duck.sql(f"with recursive {sql} select count(*) from decided where pattern_type = '{p}' and candidate_id like '{p}:{extra}:%'").fetchall()[0][0]
+    assert [shape(sql, "layered_fan", "A0") for sql in (ledger_queries.DECIDED, ledger_queries.DECIDED_LEVELS)] == [0, 1]
+    assert [shape(sql, "bipartite", "A310") for sql in (ledger_queries.DECIDED, ledger_queries.DECIDED_LEVELS)] == [0, 0]
