@@ -20,6 +20,8 @@ from .store import with_retry
 Encoder = Callable[[DataFrame], DataFrame]
 #: Note of a query that found no indicator.
 EMPTY = "EMPTY_INDICATOR_RETRIEVAL"
+#: Note of a query whose search failed: whether it has indicators isn't known.
+FAILED = "FAILED_INDICATOR_RETRIEVAL"
 
 
 def terms(text: Column) -> Column:
@@ -88,12 +90,13 @@ class VectorCache:
         return named.join(self._known(), "digest").drop("digest")
 
 
-def indicators(queries: DataFrame, chunks: DataFrame, encode: Encoder, where: Column | None = None, k: int = 15, keep: int = 5, hint: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def indicators(queries: DataFrame, chunks: DataFrame, encode: Encoder, where: Column | None = None, k: int = 15, keep: int = 5, hint: DataFrame | None = None, degrade: bool = True) -> tuple[DataFrame, DataFrame]:
     """(``query_id``, ``chunk_id``, ``rank`` of the search, ``score``, ``overlap``, ``new_rank``; notes: ``query_id``, ``code``).
 
     The ``k`` chunks of ``where`` nearest to each query by cosine, put in order anew by the words they share with it, of which
     ``keep`` stay. A ``hint`` (``query_id``, ``text``) takes the place of a query's text. Queries that find nothing are noted. A failing
-    encoder or search gives no indicators and notes every query: what rests on them goes on without.
+    encoder or search gives no indicators and notes every query as failed: what rests on them goes on without. Whoever doesn't read the notes sets
+    ``degrade`` to False, and gets the failure.
     """
     spark = queries.sparkSession
     asked = queries.select("query_id", "text")
@@ -102,15 +105,19 @@ def indicators(queries: DataFrame, chunks: DataFrame, encode: Encoder, where: Co
         asked = asked.join(told, "query_id", "left").select("query_id", F.coalesce("hint", "text").alias("text"))
     pool = chunks.where(where) if where is not None else chunks
     pool = pool.select("chunk_id", "text")
+    code = EMPTY
     try:
         # encoded once: the search reads them more than once
         vectors = lambda rows, key: cut(encode(rows.select(F.col(key).alias("id"), "text")).withColumnRenamed("id", key), "vectors")
         near = cut(search(vectors(asked, "query_id"), vectors(pool, "chunk_id"), k, "query_id", "chunk_id", "vector"), "indicators").where("score > 0")
         texts = near.join(asked.withColumnRenamed("text", "asked"), "query_id").join(pool, "chunk_id")
         found = cut(lexical_rerank(texts, F.col("asked"), F.col("text"), keep).select("query_id", "chunk_id", "rank", "score", "overlap", "new_rank"), "reranked")
-    except Exception as e:  # indicators are worth having, not worth failing for
+    except Exception as e:  # for a caller that reads the notes, indicators are worth having, not worth failing for
+        if not degrade:
+            raise
+        code = FAILED
         warnings.warn(f"indicator search failed: {type(e).__name__}", stacklevel=2)
         kinds = {f.name: f.dataType.simpleString() for f in (*asked.schema.fields, *pool.schema.fields)}
         found = spark.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank int, score double, overlap double, new_rank int")
     missing = asked.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found, missing.withColumn("code", F.lit(EMPTY))
+    return found, missing.withColumn("code", F.lit(code))

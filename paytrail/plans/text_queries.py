@@ -251,5 +251,5 @@ def indicator_search(spark, sf_dir):
     """The English documents nearest to every item of the benchmark by hashed terms, reranked."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en' and text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found, _ = embed.indicators(asked, docs, embed.HashedTerms(docs))
+    found, _ = embed.indicators(asked, docs, embed.HashedTerms(docs), degrade=False)
     return found.withColumn("score", F.round("score", 6))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paytrail import catalog
 from paytrail.operators import embed, retrieval
 
 TEXTS = ["Cash in, cash out.", "cash deposits below the limit", "wires to many, many receivers", "", None, "Été 2024: été"]
@@ -83,6 +84,25 @@ def test_indicators_and_what_they_note(spark):
     assert found.count() == 0 and sorted(r.query_id for r in notes.collect()) == [1, 2, 3]
 
 
+def test_a_failed_search_is_no_empty_one(spark, monkeypatch):
+    """The notes tell them apart, and a query that has no notes to show fails."""
+    chunks = spark.createDataFrame([("a", "cash")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "zzz")], "query_id long, text string")
+    plain_encoder = embed.HashedTerms(chunks, dims=16)
+
+    def broken(rows):
+        return rows.select("id", F.array(F.raise_error(F.lit("no model")).cast("double")).alias("vector"))
+
+    assert [r.code for r in embed.indicators(asked, chunks.where("false"), plain_encoder)[1].collect()] == [embed.EMPTY]
+    with pytest.warns(UserWarning, match="indicator search failed"):
+        assert [r.code for r in embed.indicators(asked, chunks, broken)[1].collect()] == [embed.FAILED]
+    with pytest.raises(Exception, match="no model"):
+        embed.indicators(asked, chunks, broken, degrade=False)
+    monkeypatch.setattr(embed.HashedTerms, "__call__", lambda self, rows: broken(rows))
+    with pytest.raises(Exception, match="no model"):
+        catalog.queries()["indicator_search"](spark, "/root/testdata/sf0.001")
+
+
 def test_a_tie_of_rounded_scores_goes_to_the_smaller_key(spark):
     rows = spark.createDataFrame([(1, [1.0, 1e-6]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "k long, v array<double>").coalesce(1)
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "q long, v array<double>")
