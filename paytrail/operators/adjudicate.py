@@ -27,7 +27,8 @@ def bundles(candidates: DataFrame, obligations: DataFrame, indicators: DataFrame
     law = obligations.groupBy("pattern_type").agg(F.array_sort(F.collect_set("chunk_id")).alias("law"))
     hints = indicators.where(F.col("rank") <= n).groupBy("pattern_type").agg(F.array_sort(F.collect_set("chunk_id")).alias("hints"))
     empty = F.array().cast("array<string>")
-    both = candidates.join(law, "pattern_type", "left").join(hints, "pattern_type", "left")
+    # a row for each shape: dealt by shape, candidates would meet in nine tasks
+    both = candidates.join(F.broadcast(law), "pattern_type", "left").join(F.broadcast(hints), "pattern_type", "left")
     return both.withColumns({"shown": F.array_distinct(F.concat(F.coalesce("law", empty), F.coalesce("hints", empty))), "needs_law": F.size(F.coalesce("law", empty)) == 0}).drop("law", "hints")
 
 

@@ -5,9 +5,10 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from paytrail import catalog
-from paytrail.operators import detectors
+from paytrail.operators import adjudicate, detectors
 from paytrail.plans import ledger_queries
 from paytrail.plans.params import Params
 
@@ -99,3 +100,17 @@ def test_the_bounds_that_the_sql_states(spark, folder, duck):
         return [sum(p == shape and f":{anchor}:" in i and n >= least for p, i, n in rows) for shape, anchor, least in (("layered_fan", "A0", 1), ("bipartite", "A310", 1), ("cycle", "A450", 27))]
 
     assert [found(sql) for sql in (ledger_queries.DECIDED, ledger_queries.DECIDED_LEVELS, ledger_queries.DECIDED_ALL)] == [[0, 0, 0], [1, 0, 0], [1, 1, 1]]
+
+
+def test_candidates_are_not_dealt_by_shape(spark):
+    """Nine shapes would make nine tasks of all candidates, with the most common shape in one of them."""
+    found = spark.range(1000).select(F.col("id").cast("string").alias("candidate_id"), F.when(F.col("id") % 10 == 0, "cycle").otherwise("layered_fan").alias("pattern_type"))
+    law = spark.createDataFrame([("cycle", "law:1"), ("cycle", "law:2")], "pattern_type string, chunk_id string")
+    hints = spark.createDataFrame([("layered_fan", "hint:1", 1), ("layered_fan", "hint:9", 9)], "pattern_type string, chunk_id string, rank int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = adjudicate.bundles(found, law, hints)
+        assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+        assert {(r.pattern_type, tuple(r.shown), r.needs_law) for r in out.collect()} == {("cycle", ("law:1", "law:2"), False), ("layered_fan", ("hint:1",), True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
